@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, sharding
+from . import langid, mixing, pii, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_pseudonymise")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_identify_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.identify(docs.select("doc_id", "text"), langid.fit_language_model(docs))
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
