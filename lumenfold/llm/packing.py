@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_text, hex_number, staged
 
@@ -178,7 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     encoder = WordTokenizer(tokenizer)
-    schema = rows.drop("text").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long").add("ids", "array<int>")
+    schema = rows.drop("text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("ids", T.ArrayType(T.IntegerType()))
 
     def cut(batches):
         for batch in batches:
