@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, forest, langid, mixing, packing, pii, sharding, topk
+from . import boilerplate, ctph, forest, langid, mixing, packing, pii, sharding, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fingerprint")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_extract_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract_main_text(table(spark, sf_dir, "pages"))
