@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, ctph, forest, langid, mixing, packing, pii, sharding, topk
+from . import boilerplate, ctph, forest, langid, licenses, mixing, packing, pii, sharding, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_extract_main_text")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_scan_licenses")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))

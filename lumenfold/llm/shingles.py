@@ -14,6 +14,8 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PIECE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SEPARATOR = np.ones(256, dtype=bool)
+_SEPARATOR[[*b"0123456789abcdefghijklmnopqrstuvwxyz"]] = False
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -35,39 +37,50 @@ def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
     return table[:n]
 
 
-def _pieces(data: bytes):
+def _pieces(data: bytes, between: np.ndarray):
     at = 0
     while len(data) - at > _PIECE_BYTES:
         end = at + _PIECE_BYTES
-        while end < len(data) and not _SPACE[data[end]]:
+        while end < len(data) and not between[data[end]]:
             end += 1
         yield data[at:end]
         at = end
     yield data[at:] if at else data
 
 
-def _hash_piece(data: bytes) -> np.ndarray:
+def _hash_piece(data: bytes, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word."""
     if not data:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~between[raw]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power_table("up", _BASE, len(raw)), out=sums[1:])
     own = (sums[ends] - sums[starts]) * _power_table("down", _BASE_INVERSE, len(raw))[starts]
-    return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """One 64-bit hash for each word of the text, in order; none for a null text."""
     if not text:
         return np.zeros(0, dtype=np.uint64)
-    parts = [_hash_piece(p) for p in _pieces(text.encode("utf-8", "surrogatepass").lower())]
+    parts = [_hash_piece(p, _SPACE)[0] for p in _pieces(text.encode("utf-8", "surrogatepass").lower(), _SPACE)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each run of ASCII letters and digits, A-Z lower-cased."""
+    at, parts = 0, []
+    for piece in _pieces(text.encode("utf-8", "surrogatepass").lower(), _SEPARATOR):
+        hashes, starts, ends = _hash_piece(piece, _SEPARATOR)
+        parts.append((hashes, starts + at, ends + at))
+        at += len(piece)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` words, in order; a shorter text is one run of all its words."""
     if len(words) == 0:
