@@ -28,7 +28,7 @@ def age_days(published: Column, as_of: str) -> Column:
 
 def authors_list(authors: Column, most: int = 5) -> Column:
     """Comma-separated names, trimmed, empty ones dropped, the first few; a JSON array is read as such."""
-    split = F.slice(F.filter(F.transform(F.split(authors, ","), F.trim), lambda a: a != ""), 1, most)
+    split = F.slice(F.filter(F.transform(F.split(authors, ","), lambda a: F.trim(a)), lambda a: a != ""), 1, most)
     return F.when(authors.startswith("["), json_list(authors)).otherwise(F.coalesce(split, F.array().cast("array<string>")))
 
 
