@@ -1,0 +1,143 @@
+"""Mixing, pseudonyms and sharding: plain versions, odd inputs, and the SQL of their queries."""
+
+import hashlib
+import math
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from lumenfold.llm import mixing, pii, queries, sharding
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+
+
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op10_shard_documents", "op4_top_k"])
+def test_query_equals_sql(name, same_rows):
+    same_rows(queries.QUERIES[name], queries.ORACLE[name])
+
+
+def fill(sizes, weights, most=3):
+    """Targets by resharing the excess again and again."""
+    total, capped = sum(sizes), set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in capped]
+        left = total - sum(most * sizes[i] for i in capped)
+        level = left / sum(weights[i] for i in free) if free else 0
+        over = {i for i in free if weights[i] * level > most * sizes[i]}
+        if not over:
+            return [most * sizes[i] if i in capped else weights[i] * level for i in range(len(sizes))]
+        capped |= over
+
+
+@pytest.mark.parametrize("sizes", [[5, 5, 5], [100, 1, 1, 1], [1, 1, 50, 3, 0, 7], [9], [1000, 2, 900, 1, 1]])
+def test_targets_equal_the_loop(spark, sizes):
+    rows = [(f"s{i}", n) for i, n in enumerate(sizes)]
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    assert [got[f"s{i}"] for i in range(len(sizes))] == pytest.approx(fill(sizes, [i % 3 + 1 for i in range(len(sizes))]))
+
+
+def test_mix_takes_near_targets_and_agrees_with_its_plan(spark):
+    rows = docs(spark, [(i, "a b c " * (i % 7 + 1), None if i % 3 == 0 else f"s{i % 3}") for i in range(900)])
+    plan = mixing.mixing_plan(rows).collect()
+    for target in {r["target"] for r in plan}:
+        own = [r for r in plan if r["target"] == target]
+        assert sum(r["taken"] for r in own) == pytest.approx(target, rel=0.05)
+    assert all(r["taken"] <= 3 * r["size"] for r in plan)
+    assert sorted(map(tuple, mixing.mixing_plan(rows).collect())) == sorted(map(tuple, plan))
+    mixed = mixing.mix_sources(rows)
+    assert mixed.columns == rows.columns
+    counts = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert counts == {r["doc_id"]: r["copies"] for r in plan if r["copies"]}
+
+
+def test_mix_of_odd_rows(spark):
+    assert mixing.mixing_plan(docs(spark, [])).count() == 0
+    odd = docs(spark, [(None, None, None), (1, "", None), (1, "", None), (2, " \t\n", "a"), (3, "x" * 100000 + " y", "b")]).withColumn("size", F.lit("clash")).withColumn("fraction", F.lit(1))
+    got = sorted((r["size"], r["source_size"]) for r in mixing.mixing_plan(odd).collect())
+    assert got == [(0, 0), (0, 0), (0, 0), (0, 0), (2, 2)]
+    assert mixing.mix_sources(odd).columns == odd.columns
+
+
+def test_pseudonyms(spark):
+    text = "Mail ann.72@mail3.example.com or ANN.72@MAIL3.EXAMPLE.COM, card 4111 1111 1111 1111 (not 4111 1111 1111 1112), 4111111111111111, ip 42.144.35.254 not 300.1.1.1, tel +1 (017) 555-7713 or +1*** (017)%%% 555-7713, born 1984-02-29 = 29/02/1984, not 2023-02-30, key b44e15e09fd311c3cf3163b66d5a9875b883d8ce, SSN 123-45-6789, GB82 WEST 1234 5698 7654 32. Version 2.0."
+    row = pii.pii_report(docs(spark, [(1, text, "a")])).first()
+    out = row["text"]
+    assert [row[f"n_{k}"] for k in pii.KINDS] == [2, 2, 1, 2, 1, 1, 2, 1]
+    a, b = re.findall(r"(\S+)@mail3\.example\.com", out, re.I)
+    assert a != "ann.72" and a.lower() == b.lower() and b.isupper() is True
+    for kept in ("4111 1111 1111 1112", "300.1.1.1", "2023-02-30", "Version 2.0."):
+        assert kept in out
+    for gone in ("4111 1111 1111 1111", "42.144.35.254", "555-7713", "1984-02-29", "b44e15e0", "123-45-6789", "WEST 1234"):
+        assert gone not in out
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) ", out)[1]
+    digits = [int(c) for c in card.replace(" ", "")][::-1]
+    assert sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) in range(0, 200, 10)
+    assert card.replace(" ", "") in out.split("), ")[1]
+    day = re.search(r"born (\d{4})-(\d\d)-(\d\d) = (\d\d)/(\d\d)/(\d{4})", out).groups()
+    assert day[:3] == day[:2:-1]
+    iban = re.search(r"GB\d\d( \w{4}){4} \w\w", out)[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_date_permutation_is_one_to_one(spark):
+    days = spark.range(20000).select(F.col("id").alias("doc_id"), F.date_format(F.expr("date_add(date'1970-01-01', cast(id as int))"), "yyyy-MM-dd").alias("text"))
+    out = [r["text"] for r in pii.pseudonymise(days).select("text").collect()]
+    assert len(set(out)) == 20000 and all(re.fullmatch(r"(1[89]|2[01])\d\d-\d\d-\d\d", t) for t in out)
+
+
+def feistel(text, key, tag, rounds=8):
+    """The plain form of the digit permutation."""
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(1, rounds + 1):
+        h = hashlib.sha512(f"{key}|{tag}|{i}|{b.lower()}".encode()).hexdigest()
+        a, b = b, "".join(str((int(c) + int(h[2 * p : 2 * p + 2], 16)) % 10) for p, c in enumerate(a))
+    return a + b
+
+
+def test_phone_permutation_equals_plain_form(spark):
+    got = pii.pseudonymise(docs(spark, [(1, "555-123-4567", "a")]), "k").first()["text"]
+    assert got.replace("-", "") == feistel("5551234567", "k", "phone")
+
+
+def test_pseudonyms_of_odd_rows(spark):
+    odd = docs(spark, [(None, None, "a"), (1, "", "a"), (2, "x@" * 50000, "a"), (3, "1" * 100000, "a"), (4, "a" * 200000 + "@b.c", "a"), (4, "é 1.2.3.4", None), (4, "é 1.2.3.4", None)]).withColumn("found", F.lit(1))
+    out = pii.pseudonymise(odd)
+    assert out.columns == odd.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert got[0][1] is None and got[1][1] == "" and got[2][1] == "x@" * 50000 and got[3][1] == "1" * 100000 and got[4][1] == "a" * 200000 + "@b.c"
+    assert got[5] == got[6] and got[5][1].startswith("é ") and got[5][1] != "é 1.2.3.4"
+    assert pii.pii_report(docs(spark, [])).count() == 0
+
+
+def jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = math.floor((b + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return b
+
+
+@pytest.mark.parametrize("shards", [1, 24, 1000])
+def test_jump_hash_equals_the_published_loop(spark, shards):
+    rows = docs(spark, [(i, f"t{i}", "a") for i in range(300)])
+    for r in sharding.shard_documents(rows, shards).collect():
+        key = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:16], 16)
+        assert (r["shard"], r["grown_shard"]) == (jump(key, shards), jump(key, shards + 1))
+        assert r["grown_shard"] in (r["shard"], shards)
+        assert r["text_crc32"] == zlib.crc32(f"t{r['doc_id']}".encode())
+
+
+def test_slots_are_gapless_with_repeated_and_null_keys(spark):
+    odd = docs(spark, [(None, None, None)] * 5 + [(7, "é", "a")] * 9 + [(i, "", "a") for i in range(60)] + [(None, "x" * 50000, None)]).withColumn("shard", F.lit("clash"))
+    rows = sharding.shard_documents(odd, 4).collect()
+    assert len(rows) == 75 and {r["size"] for r in rows} == {8, 10, 50008}
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_documents(docs(spark, [])).count() == 0
