@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.vectors import dense_topk
 from ..operators.fusion import recency_rerank, rrf, sparse_topk
 
@@ -18,3 +21,31 @@ def hybrid_search(query_vectors: DataFrame, query_terms: DataFrame, vectors: Dat
     fused = rrf([dense_topk(query_vectors, vectors, n), sparse_topk(query_terms, postings, n)])
     ranked = recency_rerank(fused.join(papers.select("paper_id", "arxiv_id", "title"), "paper_id"), as_of_month)
     return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "paper_id", "final_score", "title")
+
+
+def rewrite_queries(queries: DataFrame, rewriter=None, text: str = "text") -> DataFrame:
+    """``query``: the text as a rewriter (a function from column to column; none keeps it) would have it.
+
+    Academic-looking and blank queries are left alone, as are those for which the rewriter gives nothing usable.
+    """
+    plain = F.trim(F.col(text))
+    rewritten = scalars.accept_rewrite(F.coalesce(rewriter(plain), F.lit("")), plain) if rewriter else plain
+    return queries.withColumn("query", F.when((plain == "") | scalars.looks_academic(plain), plain).otherwise(rewritten))
+
+
+def encode(texts: DataFrame, encoder, dim: int, key: str, text: str = "text") -> DataFrame:
+    """``key``, ``embedding`` by ``encoder`` (a function from a list of strings to a matrix); blank texts give zeros.
+
+    The encoder runs on batches inside the tasks; texts are not exchanged.
+    """
+
+    def run(batches):
+        for batch in batches:
+            plain = [(t or "").strip() for t in batch[text]]
+            matrix = np.zeros((len(plain), dim))
+            filled = [i for i, t in enumerate(plain) if t]
+            if filled:
+                matrix[filled] = np.asarray(encoder([plain[i] for i in filled]), dtype=float)
+            yield pd.DataFrame({key: batch[key], "embedding": list(matrix)})
+
+    return texts.select(key, text).mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<double>")
