@@ -6,12 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 FORMATS = ("parquet", "orc", "csv", "json", "text", "xml", "jdbc")
 
 
-def read_table(spark: SparkSession, source: str, fmt: str = "parquet", schema: StructType | str | None = None, **options) -> DataFrame:
+def read_table(spark: SparkSession, source: str, fmt: str = "parquet", schema: T.StructType | str | None = None, **options) -> DataFrame:
     """A table from a path, or from a database with ``fmt='jdbc'`` (``source`` is the table, ``url`` an option).
 
     Schemas are given, not guessed, except for self-describing formats.
@@ -42,12 +42,12 @@ def export_ids(table: DataFrame, column: str, path: str) -> None:
     table.where(F.col(column).isNotNull() & (F.col(column) != "")).select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _pack(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _unpack(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f4"))
 
