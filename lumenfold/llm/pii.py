@@ -1,13 +1,13 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel networks in SQL expressions.
 
-Candidates are found by one pattern and validated by kind: card numbers by their check digit, account numbers (IBAN) by
+Candidates are found by one pattern and validated by kind: card numbers by issuer range and check digit, account numbers (IBAN) by
 the remainder modulo 97, addresses by their octets, dates by the calendar.  What is valid is permuted within its format
 under a key, so equal values have equal pseudonyms in every document and no table of values is kept.
 
 Kinds and their permutations (all one-to-one within the format):
 
 * ``email``: letters and digits of the local part move within their class; the case pattern and the domain stay;
-* ``card``: all digits but the last are permuted, the last becomes the check digit again;
+* ``card``: the issuer's four digits stay, those after them are permuted, the last becomes the check digit again;
 * ``iban``: country code stays, the account part moves within its classes, the check digits are made anew;
 * ``phone``: the last ten digits are permuted, prefix and punctuation stay;
 * ``ssn``: nine digits;
@@ -32,6 +32,8 @@ _DATE = r"(?<![\d./-])(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}([./])\d{2}\2\d{4})(?!\d|[
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"
 _IBAN = r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"
 _CARD = r"(?<!\d)(?<!\d[.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|-\d)"
+#: First digits of the card issuers' number ranges.
+_ISSUERS = "^(?:4|5|6|3[04-9]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720))"
 #: Groups of three, three and four digits; up to three symbols may stick to a group's end.
 _PHONE = r"(?<![\w+])(?:\+\d{1,3}[^\w\s]{0,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[^\w\s]{0,3}[ .-]?\d{3}[.-]\d{4}(?![\d-])"
 #: All candidates; the date's groups are the only ones that capture, so their numbers hold here too.
@@ -151,7 +153,8 @@ def _kind(m: str) -> str:
 
 def _pseudonym(kind: str, m: str, key: str) -> str:
     at = f"instr({m}, '@')"
-    body = _permuted(f"left({_digits(m)}, length({_digits(m)}) - 1)", key, "card", "digit")
+    body = _permuted(f"substr({_digits(m)}, 5, length({_digits(m)}) - 5)", key, "card", "digit")
+    body = f"concat(left({_digits(m)}, 4), {body})"
     card = f"element_at(transform(array({body}), d -> {_reset(m, f'concat(d, cast((10 - {_luhn("d", 0)} % 10) % 10 as string))')}), 1)"
     phone = f"element_at(transform(array({_permuted(f'right({_digits(m)}, 10)', key, 'phone', 'digit')}), d -> {_reset(m, 'd', f'(length({_digits(m)}) - 10)')}), 1)"
     compact = f"upper(replace({m}, ' ', ''))"
