@@ -147,7 +147,7 @@ def _kind(m: str) -> str:
         when {m} rlike {whole(_IPV4)} then case when forall(split({m}, '[.]'), x -> cast(x as int) <= 255) then 'ipv4' end
         when {m} rlike {whole(_SSN)} then case when {m} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}$' then 'ssn' end
         when {m} rlike {whole(_IBAN)} then case when {_mod97(f"concat(substr({compact}, 5), left({compact}, 4))")} = 1 then 'iban' end
-        when {m} rlike {whole(_CARD)} then case when {_luhn(_digits(m), 1)} % 10 = 0 and not {_digits(m)} rlike '^0+$' then 'card' end
+        when {m} rlike {whole(_CARD)} then case when {_luhn(_digits(m), 1)} % 10 = 0 and {_digits(m)} rlike '{_ISSUERS}' then 'card' end
         when {m} rlike {whole(_PHONE)} then 'phone' end"""
 
 
