@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 EPS = 1e-10
-#: Query vectors that travel with a task at once; more are searched in several passes.
+#: Query vectors that travel with a task at once; more are sent in blocks.
 QUERY_BLOCK = 4096
 
 
@@ -39,46 +41,79 @@ def centroid(table: DataFrame, key: str, vector: str = "embedding") -> DataFrame
     return parts.groupBy(key).agg(F.transform(ordered, lambda p: p["m"]).alias("centroid"))
 
 
+def _best_of_batch(query_ids, matrix: np.ndarray, barred: list, names: np.ndarray, rows: np.ndarray, k: int):
+    """(query, items, scores) of each query's k best rows, ties to smaller names."""
+    scores = np.round(rows @ matrix.T, 9)
+    for j, q in enumerate(query_ids):
+        own, out = scores[:, j], barred[j]
+        allowed = np.flatnonzero(~np.isin(names, out)) if out is not None and len(out) else np.arange(len(names))
+        if len(allowed) > k:
+            cut = np.partition(own[allowed], len(allowed) - k)[len(allowed) - k]
+            allowed = allowed[own[allowed] >= cut]
+        top = allowed[np.lexsort([names[allowed], -own[allowed]])[:k]]
+        yield q, names[top], own[top]
+
+
+def _frame(found, query: str, item: str) -> pd.DataFrame:
+    found = list(found)
+    if not found:
+        return pd.DataFrame({query: [], item: [], "score": []})
+    sizes = [len(n) for _, n, _ in found]
+    return pd.DataFrame({query: np.repeat([q for q, *_ in found], sizes), item: np.concatenate([n for _, n, _ in found]), "score": np.concatenate([s for *_, s in found])})
+
+
+def _packed(table: DataFrame, key: str, vector: str, size: int, extra: str | None = None) -> DataFrame:
+    """Rows of ``size`` vectors each: ``ids``, ``rows`` (64-bit floats as bytes), ``extra`` lists; numbered by ``block``."""
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                lists = [list(x) if x is not None else [] for x in part[extra]] if extra else []
+                yield pd.DataFrame([{"ids": part[key].to_numpy(np.int64).tobytes(), "rows": np.stack(part[vector]).astype(float).tobytes(), "extra": lists}])
+
+    packed = table.mapInPandas(pack, "ids binary, rows binary, extra array<array<bigint>>")
+    return staged(packed.withColumn("block", F.monotonically_increasing_id()), "vectors")
+
+
 def dense_topk(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame | None = None, query="query_id", item="paper_id", vector="embedding", k_column: str | None = None) -> DataFrame:
     """``query_id``, ``paper_id``, ``score`` (inner product), ``rank`` of each query's k best items, ties to smaller ids.
 
-    Items are read once per block of queries; each batch keeps its own k best per query before the exchange.  ``exclude``
+    Up to ``QUERY_BLOCK`` queries travel with the tasks that read the items.  More are packed in blocks that are sent to
+    blocks of items by number.  Either way each batch keeps its own k best per query before the exchange.  ``exclude``
     (query, item) pairs are left out before the cut, so lists are never short because of them.  ``k_column`` gives a k
     per query, at most ``k``.
     """
-    spark, n = items.sparkSession, queries.count()
-    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).select(query, vector).collect()
-        if not own:
-            continue
-        ids = [r[query] for r in own]
+    schema = f"{query} long, {item} long, score double"
+    asks = queries.select(query, vector)
+    if exclude is None:
+        asks = asks.withColumn("barred", F.lit(None).cast("array<bigint>"))
+    else:
+        asks = asks.join(exclude.groupBy(query).agg(F.collect_set(item).alias("barred")), query, "left")
+    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        own = asks.collect()
+        ids, barred = [r[query] for r in own], [r["barred"] for r in own]
         matrix = np.array([r[vector] for r in own], dtype=float)
-        barred: dict = {}
-        if exclude is not None:
-            pairs = exclude.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{query} long")), query)
-            for r in pairs.groupBy(query).agg(F.collect_set(item).alias("items")).collect():
-                barred[r[query]] = r["items"]
 
-        def score(batches, ids=ids, matrix=matrix, barred=barred):
+        def score(batches):
+            for batch in batches:
+                if len(batch) and ids:
+                    yield _frame(_best_of_batch(ids, matrix, barred, batch[item].to_numpy(), np.stack(batch[vector]).astype(float), k), query, item)
+
+        out = items.select(item, vector).mapInPandas(score, schema)
+    else:
+        packed_items, packed_queries = _packed(items, item, vector, 4096), _packed(asks, query, vector, 256, "barred")
+        numbers = packed_items.agg(F.collect_list("block").alias("numbers"))
+        sent = packed_queries.join(F.broadcast(numbers)).select(F.explode("numbers").alias("block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("extra").alias("q_barred"))
+
+        def meet(batches):
             for batch in batches:
-                if batch.empty:
-                    continue
-                names = batch[item].to_numpy()
-                scores = np.round(np.stack(batch[vector].to_numpy()).astype(float) @ matrix.T, 9)
-                for j, q in enumerate(ids):
-                    own = scores[:, j]
-                    allowed = np.flatnonzero(~np.isin(names, barred[q])) if q in barred else np.arange(len(names))
-                    if len(allowed) > k:
-                        cut = np.partition(own[allowed], len(allowed) - k)[len(allowed) - k]
-                        allowed = allowed[own[allowed] >= cut]
-                    top = allowed[np.lexsort([names[allowed], -own[allowed]])[:k]]
-                    yield pd.DataFrame({query: q, item: names[top], "score": own[top]})
-
-        part = items.select(item, vector).mapInPandas(score, f"{query} long, {item} long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], f"{query} long, {item} long, score double")
+                for r in batch.itertuples():
+                    names, query_ids = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
+                    rows, matrix = np.frombuffer(r.rows).reshape(len(names), -1), np.frombuffer(r.q_rows).reshape(len(query_ids), -1)
+                    yield _frame(_best_of_batch(query_ids, matrix, list(r.q_barred), names, rows, k), query, item)
+
+        out = packed_items.select("block", "ids", "rows").join(sent, "block").drop("block").mapInPandas(meet, schema)
     rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), item))
     ranked = out.withColumn("rank", rank).where(F.col("rank") <= k)
     if k_column:

@@ -146,3 +146,20 @@ def test_upsert_merge_and_replace(spark):
 def test_sessions_break_at_the_gap(spark):
     rows = spark.createDataFrame([(1, 1, 0), (2, 1, 600), (3, 1, 9000)], "id long, user_id long, s long").withColumn("timestamp", F.timestamp_seconds("s").cast("timestamp_ntz"))
     assert sorted(r["n"] for r in evaluation.sessions(rows, 60).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_dense_topk_equals_all_pairs(spark, monkeypatch, block):
+    from lumenfold.functions import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(6)
+    v, q = rng.normal(size=(50, 4)), rng.normal(size=(7, 4))
+    items = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "paper_id long, embedding array<double>")
+    asks = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id long, embedding array<double>")
+    bar = spark.createDataFrame([(0, i) for i in range(40)] + [(1, 5)], "query_id long, paper_id long")
+    got = {(r["query_id"], r["rank"]): r["paper_id"] for r in vectors.dense_topk(asks, items, 5, exclude=bar).collect()}
+    barred = {(0, i) for i in range(40)} | {(1, 5)}
+    for i in range(7):
+        order = [j for j in np.argsort(-(v @ q[i]), kind="stable") if (i, j) not in barred][:5]
+        assert [got[i, n + 1] for n in range(5)] == order
