@@ -3,7 +3,7 @@
 A rolling hash of the last seven bytes ends a chunk wherever its low bits are all ones; each chunk gives one character.
 The number of bits (the level) follows from the text's length alone, so that a signature has 32 to 64 characters as a
 rule, and a fingerprint holds the signatures of two neighbouring levels: ``level:signature:signature``.  Texts whose
-lengths differ by up to a factor of two thus always have a level in common.
+lengths differ by up to a factor of two thus always have a level in common.  Where repetitive text has no end for long, chunks end on a fixed grid instead.
 """
 
 from __future__ import annotations
@@ -20,15 +20,21 @@ from .shingles import _BASE, _BASE_INVERSE, _power_table, mix
 
 WINDOW = 7
 CHARACTERS = 64
-#: Shortest run that two signatures must share to be alike at all.
-COMMON = 4
+#: Chunks of so many expected lengths are cut on the grid.
+LONG_CHUNK = 8
+#: Shortest run that two signatures must share to be alike at all; shorter for signatures of few characters.
+COMMON, COMMON_SHORT, SHORT = 4, 2, 12
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _PIECE = 1 << 22
 
 
 def _marks(data: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of chunks at this level (exclusive), whether they are ends at the next level, and hash sums up to them."""
-    ends, next_level, sums, total, scale = [], [], [], np.uint64(0), np.uint64(1)
+    """Ends of chunks (exclusive) and grid points; for each, up to which level it is an end (-1: on the grid alone); sums.
+
+    The text's end is an end at all levels.
+    """
+    ends, levels, sums, total, scale = [], [], [], np.uint64(0), np.uint64(1)
+    grid = LONG_CHUNK << bits
     for at in range(0, len(data), _PIECE):
         raw = np.frombuffer(data[max(0, at - WINDOW + 1) : at + _PIECE], dtype=np.uint8).astype(np.uint32) + np.uint32(1)
         lead = min(at, WINDOW - 1)
@@ -39,13 +45,15 @@ def _marks(data: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rolled = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         rolled ^= rolled >> np.uint32(13)
         low = np.uint32((1 << bits) - 1)
-        hits = np.flatnonzero((rolled & low) == low)
+        hit = (rolled & low) == low
+        at_grid = np.arange(-at % grid, len(rolled) + 1, grid) - 1
+        points = np.union1d(np.flatnonzero(hit), at_grid[at_grid >= 0])
         own = np.cumsum(raw[lead:].astype(np.uint64) * _power_table("up", _BASE, len(rolled))) * scale + total
-        ends.append(hits + at + 1)
-        next_level.append((rolled[hits] >> np.uint32(bits)) & np.uint32(1) == 1)
-        sums.append(own[hits])
-        total, scale = own[-1], scale * np.uint64(pow(int(_BASE), len(rolled), 1 << 64))
-    return np.append(np.concatenate(ends), len(data)), np.append(np.concatenate(next_level), True), np.append(np.concatenate(sums), total)
+        ends.append(points + at + 1)
+        levels.append(np.where(hit[points], bits + ((rolled[points] >> np.uint32(bits)) & np.uint32(1)).astype(int), -1))
+        sums.append(own[points])
+        total, scale = own[-1], np.uint64(int(scale) * pow(int(_BASE), len(rolled), 1 << 64) % (1 << 64))
+    return np.append(np.concatenate(ends), len(data)), np.append(np.concatenate(levels), bits + 1), np.append(np.concatenate(sums), total)
 
 
 def _spaced(ends: np.ndarray, least: int) -> np.ndarray:
@@ -61,7 +69,12 @@ def _spaced(ends: np.ndarray, least: int) -> np.ndarray:
     return np.array(kept)
 
 
-def _signature(ends: np.ndarray, sums: np.ndarray, bits: int) -> str:
+def _signature(ends: np.ndarray, levels: np.ndarray, sums: np.ndarray, bits: int) -> str:
+    real, grid = levels >= bits, LONG_CHUNK << bits
+    known = np.concatenate([[0], ends[real]])
+    gap = np.diff(known)[np.minimum(np.searchsorted(known, ends), len(known) - 1) - 1]
+    use = real | ((ends % grid == 0) & (gap > grid))
+    ends, sums = ends[use], sums[use]
     own = _spaced(ends, max(1, (1 << bits) >> 3))
     ends, sums = ends[own], sums[own]
     if len(ends) > 1 and ends[-1] == ends[-2]:
@@ -80,8 +93,8 @@ def fingerprint(text: str | None) -> str:
     if not data:
         return "0::"
     bits = max(2, (max(1, len(data) // CHARACTERS) - 1).bit_length())
-    ends, next_level, sums = _marks(data, bits)
-    return f"{bits}:{_signature(ends, sums, bits)}:{_signature(ends[next_level], sums[next_level], bits + 1)}"
+    marks = _marks(data, bits)
+    return f"{bits}:{_signature(*marks, bits)}:{_signature(*marks, bits + 1)}"
 
 
 def longest_common_subsequence(a: str, b: str) -> int:
@@ -100,7 +113,8 @@ def longest_common_subsequence(a: str, b: str) -> int:
 def _alike(a: str, b: str) -> float:
     if a == b:
         return 1.0 if a else 0.0
-    n = min(COMMON, len(a), len(b))
+    shorter = min(len(a), len(b))
+    n = min(COMMON_SHORT if shorter <= SHORT else COMMON, shorter)
     if not n or {a[i : i + n] for i in range(len(a) - n + 1)}.isdisjoint(b[i : i + n] for i in range(len(b) - n + 1)):
         return 0.0
     return 2 * longest_common_subsequence(a, b) / (len(a) + len(b))
