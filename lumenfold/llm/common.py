@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_root, staged  # noqa: F401
+
 #: A side with at most this many narrow rows (a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Words are runs of characters other than ASCII white space.
@@ -18,21 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to shared storage and read back: computed once, lineage cut, safe from lost executors."""
-    path = f"{shared_root(df.sparkSession)}/lumenfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """For jobs run inside: at most so many rows in a batch handed to Python, where rows hold whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, staged
+from .common import BROADCAST_ROWS, arrow_rows, small, staged
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -37,6 +37,8 @@ NEIGHBOURS = 4
 HUBS = 3
 #: Signatures must agree in so many hashes of 128 for a pair to be confirmed on full sets: 4.7 deviations below 0.85.
 AGREE = 89
+#: Rows of texts or sets in a batch handed to Python.
+BATCH_ROWS = 1000
 #: Shingles that a block of the last comparison holds, about.
 BLOCK_SHINGLES = 1_000_000
 
@@ -82,8 +84,9 @@ def _signatures(batch: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(batch["signature"]), dtype=np.uint8).reshape(len(batch), HASHES)
 
 
-def _regions(rows: DataFrame) -> DataFrame:
-    """Rows (``rep``, ``signature``) that share a region with others: ``rep``, ``signature``, ``tree``, ``region``."""
+def _regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (``rep``, ``signature``) that share a region with others, as (``rep``, ``tree``, ``region``) of small regions
+    and the same with ``signature`` of larger ones."""
 
     def heads(batches):
         for batch in batches:
@@ -98,28 +101,29 @@ def _regions(rows: DataFrame) -> DataFrame:
                 for tree in np.unique(batch["tree"]):
                     own = np.flatnonzero(batch["tree"].to_numpy() == tree)
                     region[own] = _head(signatures[own], tree, depth)
-                yield batch.assign(region=region)
+                yield batch[["rep", "tree"]].assign(region=region)
 
         return step
 
     def shared(table):
         counts = table.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return table.join(small(staged(counts, "forest-counts")), ["tree", "region"])
-
-    found = staged(shared(rows.mapInPandas(heads, "rep long, tree int, region long")), "forest-regions")
-    found = found.join(rows.select("rep", "signature"), "rep")
-    kept, columns = [], ["rep", "signature", "tree", "region"]
-    for depth in DEPTHS[1:]:
-        found = staged(found.select(*columns, "n"), "forest-regions")
-        kept.append(found.where(F.col("n") <= REGION_ROWS).select(columns))
-        dense = found.where(F.col("n") > REGION_ROWS).select(columns)
+        return staged(table.join(small(staged(counts, "forest-counts")), ["tree", "region"]), "forest-regions")
+
+    columns, few, many = ["rep", "tree", "region"], [], []
+    found = shared(rows.mapInPandas(heads, "rep long, tree int, region long"))
+    for depth in (*DEPTHS[1:], None):
+        few.append(found.where(F.col("n") <= SMALL_REGION).select(columns))
+        many.append(found.where((F.col("n") > SMALL_REGION) & (F.col("n") <= REGION_ROWS)).select(columns))
+        dense = found.where(F.col("n") > REGION_ROWS)
         if dense.isEmpty():
-            return _union(kept)
-        found = shared(dense.mapInPandas(deeper(depth), "rep long, signature binary, tree int, region long"))
-    # What no prefix separates is dealt by id; the last comparison joins what the deal parts.
-    n = F.ceil(F.col("n") / REGION_ROWS)
-    dealt = F.when(F.col("n") > REGION_ROWS, F.xxhash64("region", F.pmod(F.xxhash64("rep"), n))).otherwise(F.col("region"))
-    return _union([*kept, found.withColumn("region", dealt).select(columns)])
+            break
+        if depth is None:
+            # What no prefix separates is dealt by id; the last comparison joins what the deal parts.
+            part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / REGION_ROWS))
+            many.append(dense.select("rep", "tree", F.xxhash64("region", part).alias("region")))
+            break
+        found = shared(dense.select(columns).join(rows, "rep").mapInPandas(deeper(depth), "rep long, tree int, region long"))
+    return _union(few), _union(many).join(rows, "rep")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -129,25 +133,34 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _candidates(regions: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` of rows whose signatures agree, from every region."""
+    few, many = _regions(rows)
+
+    def agreeing(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), HASHES) for c in ("x", "y"))
+            yield batch.loc[(x == y).sum(axis=1) >= AGREE, ["a", "b"]]
+
+    left, right = (few.select(F.col("rep").alias(c), "tree", "region") for c in ("a", "b"))
+    pairs = left.join(right, ["tree", "region"]).where("a < b").select("a", "b").distinct()
+    for name, signature_ in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(rows.select(F.col("rep").alias(name), F.col("signature").alias(signature_)), name)
+    close = pairs.mapInPandas(agreeing, "a long, b long")
 
     def compare(region: pd.DataFrame) -> pd.DataFrame:
         signatures, ids = _signatures(region), region["rep"].to_numpy()
         order = np.lexsort([ids, *signatures[:, _ORDERS[int(region["tree"].iloc[0])]].T[::-1]])
         signatures, ids, n = signatures[order], ids[order], len(ids)
-        if n <= SMALL_REGION:
-            i, j = np.triu_indices(n, 1)
-        else:
-            common = np.array([np.bincount(c, minlength=256).argmax() for c in signatures.T], dtype=np.uint8)
-            hubs = np.argsort(-(signatures == common).sum(axis=1), kind="stable")[:HUBS]
-            near = [(np.arange(n - d), np.arange(d, n)) for d in range(1, NEIGHBOURS + 1)] + [(np.full(n, h), np.arange(n)) for h in hubs]
-            i, j = (np.concatenate(x) for x in zip(*near, strict=True))
-        good = np.concatenate([(signatures[i[s]] == signatures[j[s]]).sum(axis=1) >= AGREE for s in _slices(len(i), 65536)] or [np.zeros(0, dtype=bool)])
+        common = np.array([np.bincount(c, minlength=256).argmax() for c in signatures.T], dtype=np.uint8)
+        hubs = np.argsort(-(signatures == common).sum(axis=1), kind="stable")[:HUBS]
+        near = [(np.arange(n - d), np.arange(d, n)) for d in range(1, min(NEIGHBOURS, n - 1) + 1)] + [(np.full(n, h), np.arange(n)) for h in hubs]
+        i, j = (np.concatenate(x) for x in zip(*near, strict=True))
+        good = np.concatenate([(signatures[i[s]] == signatures[j[s]]).sum(axis=1) >= AGREE for s in _slices(len(i), 16384)])
         a, b = np.minimum(ids[i], ids[j])[good], np.maximum(ids[i], ids[j])[good]
         return pd.DataFrame({"a": a, "b": b})[a != b]
 
-    return regions.groupBy("tree", "region").applyInPandas(compare, "a long, b long").distinct()
+    return close.union(many.groupBy("tree", "region").applyInPandas(compare, "a long, b long")).distinct()
 
 
 def _slices(n: int, step: int):
@@ -243,13 +256,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     share a key share its component.  A null key takes no part in links and is its own component (null, kept).
     An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), k, percent)
+
+
+def _near_duplicates(rows: DataFrame, k: int, percent: int) -> DataFrame:
     sketched = staged(sketches(rows, k), "forest-sketches")
     usable = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "set_a", "set_b"]
     distinct = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     distinct = staged(distinct, "forest-distinct")
-    pairs = staged(_candidates(_regions(distinct.select("rep", "signature"))), "forest-pairs")
+    pairs = staged(_candidates(distinct.select("rep", "signature")), "forest-pairs")
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "forest-ids")
     sets = _sets(rows, ids, k)
     links = staged(_confirmed(pairs, sets, percent), "forest-links").distinct()

@@ -37,8 +37,8 @@ _MARK = "▁"
 _LETTERS = re.compile(r"[^\W\d_]{1,%d}" % STRETCH)
 #: Keeps forward sums near 1: each character counts this much more, and the logarithm is corrected.
 _LIFT = 30.0
-_CHUNK_CHARS = 2_000_000
-_CACHED_WORDS = 300_000
+_CHUNK_CHARS = 1_000_000
+_CACHED_WORDS = 200_000
 _TABLE_BITS = 20
 
 
