@@ -11,6 +11,8 @@ from ..sources.staging import shared_root, staged  # noqa: F401
 
 #: A side with at most this many narrow rows (a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes in a batch of texts or sets handed to Python, about.
+BATCH_BYTES = 8 << 20
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,15 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """For jobs run inside: at most so many rows in a batch handed to Python, where rows hold whole texts or sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES):
+    """For jobs run inside: at most so many rows, and about so many bytes, in a batch handed to Python, where rows hold
+    whole texts or sets."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name, None) for name in limits}
     try:
+        for name, limit in limits.items():
+            own = int(before[name] or 0)
+            spark.conf.set(name, str(min(limit, own) if own > 0 else limit))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_rows, small, staged
+from .common import BROADCAST_ROWS, arrow_batches, small, staged
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     share a key share its component.  A null key takes no part in links and is its own component (null, kept).
     An empty table gives no rows; other columns are not read.
     """
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
         return _near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), k, percent)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, staged
+from .common import arrow_batches, staged
 
 PIVOTS = 24
 BLOCK_ROWS = 4096
@@ -136,7 +136,7 @@ def top_k(table: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5,
                 )
 
     best = met.mapInPandas(search, "query_block long, place int, query_id long, vec_id long, score long")
-    with arrow_rows(table.sparkSession, BATCH_BLOCKS):
+    with arrow_batches(table.sparkSession, BATCH_BLOCKS):
         best = staged(best, "topk-best")
     rank = F.row_number().over(W.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
