@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import forest, langid, mixing, packing, pii
-from lumenfold.llm.common import staged, table
+from lumenfold.llm.common import BATCH_BYTES, staged, table
 
 #: A document whose likeliest language has a smaller share of the likelihood is rejected, like one without letters.
 LEAST_LANGUAGE_SHARE = 0.5
 PSEUDONYM_KEY = "corpus"
+#: Rows, and bytes, in a batch of whole texts handed to Python.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches for all stages: their results are computed after a stage has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled rows teach; the others go."""
+    _small_batches(spark)
     predicted = langid.identify(docs, langid.fit_language_model(docs))
     return predicted.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
 
@@ -39,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places the documents' tokens in sequences of fixed length."""
+    _small_batches(spark)
     return packing.pack_documents(docs)
 
 

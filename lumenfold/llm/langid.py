@@ -293,11 +293,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     text if the model has no language.  All rows stay, repeated ones too; nothing is exchanged.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
-    def predict(batches):
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, share = model.predict([t if isinstance(t, str) else None for t in batch[text]])
-            yield batch.assign(lang_pred=names, score=share)
+            names, share = model.predict([t if isinstance(t, str) else None for t in batch])
+            yield pd.DataFrame({"lang_pred": names, "score": share})
 
-    return docs.select(*kept).mapInPandas(predict, schema)
+    # Only texts go to Python and only predictions come back; a condition on them must not score the texts again.
+    guess = docs.select(*kept, predict.asNondeterministic()(F.col(text)).alias("__guess"))
+    return guess.select(*kept, "__guess.lang_pred", "__guess.score")
