@@ -2,11 +2,13 @@
 
 Templates are short license notices and the heads of long ones.  Their word trigrams are winnowed into an inverted index
 of a few hundred hashes.  A document is hashed whole; hits of its winnowed trigrams in the index, gathered by template
-and diagonal, are candidates, and each is aligned with its template by a local alignment within a band.
+and diagonal, are candidates; local alignments within a band around each such diagonal find all notices there.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ BAND = 12
 #: Share of a template's words that an alignment must match to be reported.
 LEAST_COVERAGE = 0.7
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Windows of one text whose alignments are remembered for the same words further on.
+SEEN_WINDOWS = 4096
 
 # License notices as their licenses print them.
 TEMPLATES: dict[str, list[str]] = {
@@ -122,38 +126,87 @@ def align(template: np.ndarray, words: np.ndarray, band: int = BAND) -> tuple[in
     return best
 
 
+def _reachable(template: np.ndarray, padded: np.ndarray, band: int = BAND) -> int:
+    """At least as many words as an alignment in the band can match."""
+    short = len(template) + 2 * band - len(padded)
+    views = np.lib.stride_tricks.sliding_window_view(np.concatenate([padded, np.zeros(max(0, short), dtype=np.uint64)]), 2 * band + 1)
+    return int((views[: len(template)] == template[:, None]).any(axis=1).sum())
+
+
+def _alignments(template: np.ndarray, padded: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(matched words, first word, end word) of notices side by side in one window: the best, then those before and after it."""
+    found, ranges = [], [(0, len(padded))]
+    while ranges:
+        low, high = ranges.pop()
+        part = np.zeros_like(padded)
+        part[low:high] = padded[low:high]
+        if _reachable(template, part) < least * len(template):
+            continue
+        score, matched, a, b = align(template, part)
+        if score <= 0:
+            continue
+        if matched / len(template) >= least:
+            found.append((matched, a, b))
+        ranges += [(low, a), (b, high)]
+    return found
+
+
+def _apart(found: set[tuple]) -> list[tuple]:
+    """Of rows that overlap, the one with most matched words (then the better covered, then the first), in order of place."""
+    firsts: list[int] = []
+    kept: list[tuple] = []
+    for row in sorted(found, key=lambda r: (-r[0], -r[1], r[2], r[4], r[5])):
+        at = bisect_left(firsts, row[2])
+        if (at == 0 or kept[at - 1][3] <= row[2]) and (at == len(kept) or row[3] <= firsts[at]):
+            firsts.insert(at, row[2])
+            kept.insert(at, row)
+    return kept
+
+
 def scan_text(text: str, index: TemplateIndex, least: float = LEAST_COVERAGE) -> list[tuple]:
     """(license, template, coverage, first character, end character, matched words) of the notices in a text.
 
-    Of alignments that overlap, the one with most matched words is kept (then the better covered, then the first).
+    Every diagonal with a hit gets its window, unless a complete notice already explains all its hits, and every window
+    gives all notices side by side in it.  Of alignments that overlap, the one with most matched words is kept (then the
+    better covered, then the first).
     """
     words, starts, ends = word_spans(text)
-    found = []
+    found: set[tuple] = set()
     hits = index.hits(words)
     if not len(hits):
         return []
     hits = hits[np.lexsort([hits[:, 1], hits[:, 0]])]
     new = np.flatnonzero(np.append(True, (np.diff(hits[:, 0]) != 0) | (np.diff(hits[:, 1]) > BAND)))
+    seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
     for part in np.split(hits, new[1:]):
         name, number, template = index.templates[part[0, 0]]
-        first = int(np.median(part[:, 1])) - BAND
-        lead = max(0, -first)
-        window = words[max(0, first) : first + len(template) + 2 * BAND + 1]
-        # A window cut by the text's start is moved along the band by words that match nothing.
-        padded = np.concatenate([np.zeros(lead, dtype=np.uint64), window])
-        score, matched, a, b = align(template, padded)
-        coverage = matched / len(template)
-        if score > 0 and coverage >= least:
-            a, b = max(a, lead) + max(0, first) - lead, b + max(0, first) - lead
-            found.append((matched, coverage, a, b, name, number))
-    kept: list[tuple] = []
-    for row in sorted(found, key=lambda r: (-r[0], -r[1], r[2], r[4], r[5])):
-        if all(row[3] <= k[2] or row[2] >= k[3] for k in kept):
-            kept.append(row)
-    data, out = text.encode("utf-8", "surrogatepass"), []
-    for matched, coverage, a, b, name, number in sorted(kept, key=lambda r: r[2]):
-        begin = len(data[: starts[a]].decode("utf-8", "surrogatepass"))
-        out.append((name, number, coverage, begin, begin + len(data[starts[a] : ends[b - 1]].decode("utf-8", "surrogatepass")), matched))
+        diagonals, first_hit = np.unique(part[:, 1], return_index=True)
+        own = dict(zip(diagonals.tolist(), np.split(part[:, 2], first_hit[1:]), strict=True))
+        whole = np.zeros(0, dtype=np.int64)
+        for centre in dict.fromkeys([int(np.median(part[:, 1])), *own]):
+            if centre in own and len(whole) and np.isin(own[centre], whole).all():
+                continue
+            first = centre - BAND
+            lead = max(0, -first)
+            # A window cut by the text's start is moved along the band by words that match nothing.
+            padded = np.concatenate([np.zeros(lead, dtype=np.uint64), words[max(0, first) : first + len(template) + 2 * BAND + 1]])
+            key = (int(part[0, 0]), padded.tobytes())
+            if key not in seen:
+                if len(seen) >= SEEN_WINDOWS:
+                    seen.clear()
+                seen[key] = _alignments(template, padded, least)
+            for matched, a, b in seen[key]:
+                a, b = max(a, lead) + max(0, first) - lead, b + max(0, first) - lead
+                found.add((matched, matched / len(template), a, b, name, number))
+                if matched == len(template) == b - a:
+                    # Grams that begin in a complete notice and end behind it are left to their own windows.
+                    whole = np.append(whole[whole > centre - len(template) - 2 * BAND], np.arange(a, max(a + 1, b - GRAM_WORDS + 1)))
+    data, out, char, byte = text.encode("utf-8", "surrogatepass"), [], 0, 0
+    length = lambda low, high: len(data[low:high].decode("utf-8", "surrogatepass"))
+    for matched, coverage, a, b, name, number in _apart(found):
+        begin = char + length(byte, int(starts[a]))
+        char, byte = begin + length(int(starts[a]), int(ends[b - 1])), int(ends[b - 1])
+        out.append((name, number, coverage, begin, char, matched))
     return out
 
 

@@ -293,6 +293,19 @@ def test_license_notices(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("line", ["Released under the MIT License.", "foo - Licensed under the MIT License.", "Licensed under CC BY 4.0.", "Released under the MIT license, as bar is."])
+def test_repeated_license_lines(line):
+    index, n = licenses.TemplateIndex(licenses.TEMPLATES), 100
+    text = "é\n" + "\n".join([line] * n)
+    found = licenses.scan_text(text, index)
+    assert len(found) == n and {r[:3] for r in found} == {found[0][:3]} and found[0][2] == 1.0
+    assert [r[3] // (len(line) + 1) for r in found] == list(range(n))
+    assert all(text[r[3] : r[4]] == text[found[0][3] : found[0][4]] for r in found)
+    # A damaged notice in each line as well.
+    damaged = licenses.TEMPLATES["MPL-2.0"][0].replace("Source Code Form", "Source File")
+    assert len(licenses.scan_text("\n".join([damaged] * 20), index)) == 20
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(0)
     for _ in range(20):
