@@ -1,7 +1,8 @@
 """License scans: winnowed fingerprints pick candidate places, banded alignment measures them.
 
-Templates are short license notices and the heads of long ones.  Their word trigrams are winnowed into an inverted index
-of a few hundred hashes.  A document is hashed whole; hits of its winnowed trigrams in the index, gathered by template
+Templates are short license notices, the paragraphs of licenses, and whole texts where paragraphs alone do not tell near
+licenses apart (the two of BSD, the GNU family): of those the one with most matched words wins.  Their word trigrams are winnowed into an inverted index
+of some thousand hashes.  A document is hashed whole; hits of its winnowed trigrams in the index, gathered by template
 and diagonal, are candidates; local alignments within a band around each such diagonal find all notices there.
 """
 
@@ -13,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .license_texts import BODIES
 from .shingles import gram_hashes, word_spans
 
 GRAM_WORDS = 3
@@ -75,6 +77,80 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
 }
 
+# The standard notices that licenses of one family share but for a few words.
+_GNU = (
+    "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by "
+    "the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+)
+_GNU_WARRANTY = (
+    " This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+    "FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General Public License along with this {what}"
+)
+_GNU_SEE = ". If not, see <https://www.gnu.org/licenses/>."
+_GNU_WRITE = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_DISCLAIMER = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE {who} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def _gnu(kind: str, version: str, what: str = "program") -> list[str]:
+    """The standard notice's first paragraph, and all of it."""
+    new = version == "3"
+    own = {"what": what, "kind": kind, "version": version, "mark": ":" if new else ";", "comma": "," if new else ";"}
+    return [_GNU.format(**own), (_GNU + _GNU_WARRANTY).format(**own) + (_GNU_SEE if new else _GNU_WRITE)]
+
+
+for _name, _texts in {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "MIT": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        _MIT_DISCLAIMER.format(who="AUTHORS OR COPYRIGHT HOLDERS"),
+    ],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _gnu("", "3")[1]],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", _gnu("", "2")[1]],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", *_gnu("Lesser ", "3")],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", *_gnu("Lesser ", "2.1", "library")],
+    "LGPL-2.0": ["This work is licensed under the GNU Library General Public License, version 2.", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991", *_gnu("Library ", "2", "library")],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", *_gnu("Affero ", "3")],
+    "BSD-2-Clause": [_BSD_CLAUSES, _BSD_CLAUSES + _BSD_DISCLAIMER],
+    "BSD-3-Clause": [_BSD_CLAUSES + _BSD_NAMES, _BSD_CLAUSES + _BSD_NAMES + _BSD_DISCLAIMER],
+    "ISC": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+        "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, "
+        "the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and "
+        "future rights to this software under copyright law. " + _MIT_DISCLAIMER.format(who="AUTHORS") + " For more information, please refer to <https://unlicense.org/>"
+    ],
+}.items():
+    TEMPLATES[_name] = TEMPLATES.get(_name, []) + _texts
+for _name, _texts in BODIES.items():
+    TEMPLATES[_name] = TEMPLATES.get(_name, []) + _texts
+
 
 def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions of the least hash (the last of equals) of every ``window`` neighbouring ones."""
@@ -178,19 +254,26 @@ def scan_text(text: str, index: TemplateIndex, least: float = LEAST_COVERAGE) ->
     hits = hits[np.lexsort([hits[:, 1], hits[:, 0]])]
     new = np.flatnonzero(np.append(True, (np.diff(hits[:, 0]) != 0) | (np.diff(hits[:, 1]) > BAND)))
     seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+    known, common = -1, np.zeros(0, dtype=np.int64)
     for part in np.split(hits, new[1:]):
         name, number, template = index.templates[part[0, 0]]
+        t, size = int(part[0, 0]), len(template) + 2 * BAND + 1
+        if t != known:
+            known, common = t, np.append(0, np.cumsum(np.isin(words, template)))
         diagonals, first_hit = np.unique(part[:, 1], return_index=True)
         own = dict(zip(diagonals.tolist(), np.split(part[:, 2], first_hit[1:]), strict=True))
         whole = np.zeros(0, dtype=np.int64)
-        for centre in dict.fromkeys([int(np.median(part[:, 1])), *own]):
+        centres = np.append(int(np.median(part[:, 1])), diagonals)
+        # Windows that hold too few of the template's words cannot give a notice.
+        enough = common[np.clip(centres - BAND + size, 0, len(words))] - common[np.clip(centres - BAND, 0, len(words))] >= least * len(template)
+        for centre in dict.fromkeys(centres[enough].tolist()):
             if centre in own and len(whole) and np.isin(own[centre], whole).all():
                 continue
             first = centre - BAND
             lead = max(0, -first)
             # A window cut by the text's start is moved along the band by words that match nothing.
-            padded = np.concatenate([np.zeros(lead, dtype=np.uint64), words[max(0, first) : first + len(template) + 2 * BAND + 1]])
-            key = (int(part[0, 0]), padded.tobytes())
+            padded = np.concatenate([np.zeros(lead, dtype=np.uint64), words[max(0, first) : first + size]])
+            key = (t, padded.tobytes())
             if key not in seen:
                 if len(seen) >= SEEN_WINDOWS:
                     seen.clear()

@@ -306,6 +306,30 @@ def test_repeated_license_lines(line):
     assert len(licenses.scan_text("\n".join([damaged] * 20), index)) == 20
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_each_template_is_its_license(name):
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    for template in licenses.TEMPLATES[name]:
+        assert {r[0] for r in licenses.scan_text("Some words before. " + template + " And some words after.", index)} == {name}
+
+
+def test_near_licenses_are_told_apart():
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    names = lambda text: [r[0] for r in licenses.scan_text(text, index)]
+    agpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    )
+    assert names(agpl) == ["AGPL-3.0"] and names(agpl.replace("Affero", "Lesser").replace("program", "library")) == ["LGPL-3.0"] and names(agpl.replace("Affero ", "")) == ["GPL-3.0"]
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    two = head + (
+        " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    )
+    assert names(two) == ["BSD-2-Clause"]
+    assert names(two + " 3. " + licenses.TEMPLATES["BSD-3-Clause"][1]) == ["BSD-3-Clause"]
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(0)
     for _ in range(20):
