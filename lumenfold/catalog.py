@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from .operators import clustering, evaluation, fusion, ranking, state, tables
 from .plans.recommend import multi_interest, profile_table, recommend
 from .plans.search import hybrid_search
 from .schemas import CATEGORY_GROUPS
+from .sources.staging import shared_root
 from .sources.tables import SQL, interactions, papers, read, vectors as vector_table, with_tables
 from .streaming.state import stream_user_state, stream_window_counts
 
@@ -771,10 +773,23 @@ def sessions(spark, sf):
 
 
 def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The result of a stream over all that its source holds."""
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """The result of a stream over all that its source holds, written by tasks to shared storage, a folder per batch.
+
+    A batch that is written again replaces its own folder.  In complete mode the last batch is the result.
+    """
+    root = f"{shared_root(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
+    ids: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batches/number={number}")
+        ids.append(number)
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    if not ids:
+        return spark.createDataFrame([], stream.schema)
+    wanted = sorted(set(ids))[-1:] if mode == "complete" else sorted(set(ids))
+    return spark.read.schema(stream.schema).parquet(*[f"{root}/batches/number={i}" for i in wanted])
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:

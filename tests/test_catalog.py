@@ -18,6 +18,12 @@ def test_stream_state_equals_batch(spark, sf):
     assert sum(stream[u] == batch[u] for u in batch) >= 0.9 * len(batch)
 
 
+def test_streams_are_written_by_tasks(spark, sf):
+    for name in ("stream_user_state", "stream_window_counts"):
+        files = catalog.QUERIES[name](spark, sf).inputFiles()
+        assert files and all(f.endswith(".parquet") and "/lumenfold/" in f for f in files)
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
