@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.vectors import cosine
+from ..sources.staging import staged
 
 # Feature weights, decay and diversity.
 WEIGHTS = {"lt": 0.40, "st": 0.25, "recency": 0.15, "rank": 0.10, "negative": 0.15}
 DECAY = 0.002
 MMR_LAMBDA = 0.6
 EXPLORE = 2
+#: Items, and examples, that meet at once.
+ITEM_BLOCK, EXAMPLE_BLOCK = 2048, 256
 
 
 def features(candidates: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
@@ -101,35 +104,54 @@ def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     ``examples``: ``query_id``, ``paper_id``, ``embedding``, ``positive``.  The score is the best positive similarity if it
     beats the best negative one, else minus the square of the latter.  Examples themselves are not returned; queries
-    without positives give no rows.  Examples are bounded per user and travel with the task in blocks of queries.
+    without positives give no rows.  Examples and items are packed into blocks in tasks and meet by number; a query's
+    examples are dealt over several blocks, and its best similarities per item are joined in Spark.
     """
-    from ..functions.vectors import QUERY_BLOCK
-
-    spark = items.sparkSession
     useful = examples.join(examples.where("positive").select("query_id").distinct(), "query_id", "left_semi")
-    blocks, out = max(1, -(-useful.count() // QUERY_BLOCK)), None
-    for b in range(blocks):
-        own = useful.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id", "paper_id").toPandas()
-        if own.empty:
-            continue
-        groups = [(q, np.stack(g["embedding"]).astype(float), g["positive"].to_numpy(bool), set(g["paper_id"])) for q, g in own.groupby("query_id")]
-
-        def score(batches, groups=groups):
-            for batch in batches:
-                if batch.empty:
-                    continue
-                v, names = np.stack(batch["embedding"]).astype(float), batch["paper_id"].to_numpy()
-                for q, examples_, positive, known in groups:
-                    near = np.round(v @ examples_.T, 9)
-                    good, bad = near[:, positive].max(axis=1), near[:, ~positive].max(axis=1, initial=-1.0)
-                    value = np.round(np.where(good > bad, good, -(bad**2)), 9)
-                    allowed = np.flatnonzero(~np.isin(names, list(known)))
-                    top = allowed[np.lexsort([names[allowed], -value[allowed]])[:k]]
-                    yield pd.DataFrame({"query_id": q, "paper_id": names[top], "score": value[top]})
-
-        part = items.select("paper_id", "embedding").mapInPandas(score, "query_id long, paper_id long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, paper_id long, score double")
+    totals = useful.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    # The rows of a query lie together, or in parts of about a block; only queries in several blocks send all items on.
+    part = F.pmod(F.xxhash64("paper_id"), F.ceil(F.col("total") / EXAMPLE_BLOCK))
+    ordered = useful.join(totals, "query_id").withColumn("part", part).repartition("query_id", "part").sortWithinPartitions("query_id", "part")
+
+    def pack_items(batches):
+        for batch in batches:
+            for at in range(0, len(batch), ITEM_BLOCK):
+                part = batch.iloc[at : at + ITEM_BLOCK]
+                yield pd.DataFrame([{"ids": part["paper_id"].to_numpy(np.int64).tobytes(), "rows": np.stack(part["embedding"]).astype(float).tobytes()}])
+
+    def pack_examples(batches):
+        for batch in batches:
+            for at in range(0, len(batch), EXAMPLE_BLOCK):
+                part = batch.iloc[at : at + EXAMPLE_BLOCK]
+                rows = {"known": part["paper_id"].to_numpy(np.int64).tobytes(), "totals": part["total"].to_numpy(np.int64).tobytes(), "asked": part["query_id"].to_numpy(np.int64).tobytes(), "signs": part["positive"].to_numpy(bool).tobytes(), "vectors": np.stack(part["embedding"]).astype(float).tobytes()}
+                yield pd.DataFrame([rows])
+
+    packed = staged(items.select("paper_id", "embedding").mapInPandas(pack_items, "ids binary, rows binary").withColumn("block", F.monotonically_increasing_id()), "items")
+    asks = staged(ordered.mapInPandas(pack_examples, "known binary, totals binary, asked binary, signs binary, vectors binary"), "asks")
+    numbers = packed.agg(F.collect_list("block").alias("numbers"))
+    sent = asks.join(F.broadcast(numbers)).select(F.explode("numbers").alias("block"), *asks.columns)
+
+    def meet(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                names, asked, known_, totals_ = (np.frombuffer(x, dtype=np.int64) for x in (r.ids, r.asked, r.known, r.totals))
+                positive = np.frombuffer(r.signs, dtype=bool)
+                rows, examples_ = np.frombuffer(r.rows).reshape(len(names), -1), np.frombuffer(r.vectors).reshape(len(asked), -1)
+                near = np.round(rows @ examples_.T, 9)
+                for q in np.unique(asked):
+                    own = asked == q
+                    good, bad = (near[:, own & sign].max(axis=1, initial=-np.inf) for sign in (positive, ~positive))
+                    top = slice(None)
+                    if own.sum() == totals_[own][0]:
+                        value = np.round(np.where(good > np.maximum(bad, -1.0), good, -(np.maximum(bad, -1.0) ** 2)), 9)
+                        allowed = np.flatnonzero(~np.isin(names, known_[own]))
+                        top = allowed[np.lexsort([names[allowed], -value[allowed]])[:k]]
+                    yield pd.DataFrame({"query_id": q, "paper_id": names[top], "good": good[top], "bad": bad[top]})
+
+    parts = packed.join(sent, "block").drop("block").mapInPandas(meet, "query_id long, paper_id long, good double, bad double")
+    best = parts.groupBy("query_id", "paper_id").agg(F.max("good").alias("good"), F.greatest(F.max("bad"), F.lit(-1.0)).alias("bad"))
+    known = useful.select("query_id", "paper_id").distinct()
+    value = F.round(F.when(F.col("good") > F.col("bad"), F.col("good")).otherwise(-F.col("bad") * F.col("bad")), 9)
+    scored = best.join(known, ["query_id", "paper_id"], "left_anti").select("query_id", "paper_id", value.alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "paper_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -163,3 +163,26 @@ def test_dense_topk_equals_all_pairs(spark, monkeypatch, block):
     for i in range(7):
         order = [j for j in np.argsort(-(v @ q[i]), kind="stable") if (i, j) not in barred][:5]
         assert [got[i, n + 1] for n in range(5)] == order
+
+
+def test_best_score_of_many_examples(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(80, 4))
+    items = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "paper_id long, embedding array<double>")
+    own = [(q, i, bool((i + q) % 3)) for q in range(12) for i in range(q, 60 if q < 2 else q + 4)] + [(99, 3, False)]
+    examples = spark.createDataFrame([(q, i, [float(x) for x in v[i]], s) for q, i, s in own], "query_id long, paper_id long, embedding array<double>, positive boolean")
+    monkeypatch.setattr(ranking, "ITEM_BLOCK", 32)
+    monkeypatch.setattr(ranking, "EXAMPLE_BLOCK", 16)
+    # Nothing goes through the driver, however many the examples.
+    monkeypatch.setattr(type(examples), "toPandas", lambda self: pytest.fail("examples were fetched to the driver"))
+    got = {(r["query_id"], r["rank"]): (r["paper_id"], r["score"]) for r in ranking.best_score(examples, items, 5).collect()}
+    expected = {}
+    for q in range(12):
+        good, bad, known = ([i for p, i, s in own if p == q and s], [i for p, i, s in own if p == q and not s], {i for p, i, _ in own if p == q})
+        scores = []
+        for i in set(range(80)) - known:
+            g, b = max(round(float(v[i] @ v[j]), 9) for j in good), max([round(float(v[i] @ v[j]), 9) for j in bad] + [-1.0])
+            scores.append((-round(g if g > b else -b * b, 9), i))
+        expected |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(scores)[:5])}
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in expected.items()}
+    assert all(abs(got[k][1] - expected[k][1]) < 1e-8 for k in got)
