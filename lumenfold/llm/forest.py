@@ -213,11 +213,11 @@ def _last_links(loose: DataFrame, strict: DataFrame, sets: DataFrame, sizes: Dat
     rows = staged(rows, "forest-groups")
     tally = rows.groupBy("part", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     groups = tally.groupBy("part").agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("parts"), F.sum("shingles").alias("all"), F.max(F.struct("n", "component", "shingles")).alias("most")
+        F.count(F.lit(1)).alias("parts"), F.sum("shingles").alias("all"), F.max(F.struct("n", "component", "shingles")).alias("most")
     )
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_SHINGLES)).cast("int")
-    # Groups no larger than a small region had all their pairs compared already.
-    open_groups = groups.where((F.col("parts") > 1) & (F.col("rows") > SMALL_REGION)).select(
+    # Small groups too: their rows may have met in larger regions, where not all pairs are compared.
+    open_groups = groups.where("parts > 1").select(
         "part", F.col("most.component").alias("main"), blocks(F.col("all")).alias("tall"), blocks(F.col("all") - F.col("most.shingles")).alias("wide")
     )
     dealt = rows.join(small(staged(open_groups, "forest-open")), "part")

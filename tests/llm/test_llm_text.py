@@ -277,6 +277,15 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_last_links_of_small_groups(spark):
+    own = {i: np.arange(100 + (i == 3), dtype=np.uint64).tobytes() for i in (1, 2, 3)} | {4: np.arange(500, 600, dtype=np.uint64).tobytes()}
+    loose = spark.createDataFrame([(i, 1) for i in own], "node long, component long")
+    strict = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+    sets = spark.createDataFrame([(i, bytearray(s)) for i, s in own.items()], "id long, shingles binary")
+    sizes = spark.createDataFrame([(i, len(s) // 8) for i, s in own.items()], "id long, n_shingles long")
+    assert [tuple(r) for r in forest._last_links(loose, strict, sets, sizes, 85).collect()] == [(1, 3)]
+
+
 # --- licenses
 
 
