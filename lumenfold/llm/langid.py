@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import as_text, staged
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Longest piece in characters, the word mark included; longer ones of the vocabulary are not used.
-LONGEST_PIECE = 8
 #: Runs of letters beyond this length are scored in stretches of it, each as a word.
 STRETCH = 48
 #: Probability of a character that no piece covers, alike in all languages.
@@ -52,7 +50,7 @@ def load_vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path(VOCABULARY)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and (p == _MARK or _LETTERS.fullmatch(p.removeprefix(_MARK))))
+    return sorted(p for p in pieces if p == _MARK or _LETTERS.fullmatch(p.removeprefix(_MARK)))
 
 
 def words(text: str) -> list[str]:
@@ -79,11 +77,12 @@ class PieceTable:
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         known = set(pieces)
         strings = pieces + sorted({p[:i] for p in pieces for i in range(1, len(p))} - known)
         self.miss = len(strings)
         self.keys = np.zeros(self.miss + 1, dtype=np.uint64)
-        for length in range(1, LONGEST_PIECE + 1):
+        for length in range(1, self.longest + 1):
             own = [i for i, p in enumerate(strings) if len(p) == length]
             if own:
                 h = np.zeros(len(own), dtype=np.uint64)
@@ -125,7 +124,7 @@ def _piece_numbers(table: PieceTable, letters: np.ndarray) -> Iterator[tuple[int
     n, everyone = letters.shape[1], np.arange(len(letters))
     for start in range(n):
         alive, h = everyone, np.zeros(len(letters), dtype=np.uint64)
-        for length in range(1, min(LONGEST_PIECE, n - start) + 1):
+        for length in range(1, min(table.longest, n - start) + 1):
             h = _extend(h, letters[alive, start + length - 1])
             found = table.find(h)
             if length == 1:
@@ -138,17 +137,17 @@ def _piece_numbers(table: PieceTable, letters: np.ndarray) -> Iterator[tuple[int
             alive, h = alive[on], h[on]
 
 
-def _lifted(probabilities: np.ndarray) -> list[np.ndarray]:
+def _lifted(probabilities: np.ndarray, longest: int) -> list[np.ndarray]:
     """Probabilities for pieces of each length (index 0 unused), with a last row for unknown characters."""
     full = np.vstack([probabilities, np.full((1, probabilities.shape[1]), UNKNOWN)])
-    return [full * _LIFT**length for length in range(LONGEST_PIECE + 1)]
+    return [full * _LIFT**length for length in range(longest + 1)]
 
 
 def log_probabilities(table: PieceTable, probabilities: np.ndarray, texts: list[str]) -> np.ndarray:
     """log P(word | language), one row per word and one column per language."""
     texts = [_MARK + w for w in texts]
     out = np.zeros((len(texts), probabilities.shape[1]))
-    lifted = _lifted(probabilities)
+    lifted = _lifted(probabilities, table.longest)
     for length, own in _by_length(texts):
         for at in range(0, len(own), 8192):
             part = own[at : at + 8192]
@@ -164,7 +163,7 @@ def expected_counts(table: PieceTable, probabilities: np.ndarray, texts: list[st
     """Expected number of uses of each piece in the weighted words, under one language's probabilities."""
     texts = [_MARK + w for w in texts]
     out = np.zeros(table.n + 1)
-    lifted = [x[:, 0] for x in _lifted(probabilities.reshape(-1, 1))]
+    lifted = [x[:, 0] for x in _lifted(probabilities.reshape(-1, 1), table.longest)]
     for length, own in _by_length(texts):
         for at in range(0, len(own), 8192):
             part = own[at : at + 8192]

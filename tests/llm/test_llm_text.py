@@ -277,6 +277,21 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_vocabulary_is_whole():
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(langid.VOCABULARY))
+    public = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
+    letters = {p for p in public if p == "▁" or p.removeprefix("▁").isalpha()}
+    pieces = langid.load_vocabulary()
+    assert letters <= set(pieces) and max(map(len, pieces)) > 8
+    table = langid.PieceTable(pieces)
+    longest = max(pieces, key=len)
+    found = list(langid._piece_numbers(table, langid.as_matrix([longest], len(longest))))
+    assert any(start == 0 and size == len(longest) and pieces[numbers[0]] == longest for start, size, _, numbers in found)
+
+
 def test_last_links_of_small_groups(spark):
     own = {i: np.arange(100 + (i == 3), dtype=np.uint64).tobytes() for i in (1, 2, 3)} | {4: np.arange(500, 600, dtype=np.uint64).tobytes()}
     loose = spark.createDataFrame([(i, 1) for i in own], "node long, component long")
