@@ -8,8 +8,10 @@
 3.  Within a region in label order, candidates are pairs whose signatures agree well enough: all such pairs in a small
     region; in a larger one each row with its neighbours by longest common prefix and with the region's middle rows.
 4.  Candidates are confirmed on full shingle sets, and linked rows form components.
-5.  Where a group of loosely alike rows is still in several components, the rows outside its largest component are
-    compared with all of the group, in blocks, on full sets; so no link depends on neighbours alone.
+5.  Where a group of loosely alike rows is still in several components, no link may depend on neighbours alone.  Sets at
+    the threshold share one of the rarest shingles of each (so many that the rest could not reach the threshold), so
+    rows that share such a shingle are candidates too; the few rows whose rarest shingles are frequent in their group
+    are compared with one another, in blocks.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, arrow_batches, small, staged
-from .components import connected_components
+from .components import connected_components, least_reachable
 from .shingles import mix, shingle_set
 
 SHINGLE_WORDS = 5
@@ -39,8 +42,10 @@ HUBS = 3
 AGREE = 89
 #: Rows of texts or sets in a batch handed to Python.
 BATCH_ROWS = 1000
-#: Shingles that a block of the last comparison holds, about.
-BLOCK_SHINGLES = 1_000_000
+#: A shingle that more rows of a group have among their rarest is frequent.
+RARE_ROWS = 24
+#: Shingles, and rows, that a block of the last comparison holds, about.
+BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 256
 
 _ORDERS = [np.random.default_rng(1000 + t).permutation(HASHES)[: DEPTHS[-1]] for t in range(TREES)]
 _random = np.random.default_rng(99)
@@ -134,7 +139,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of rows whose signatures agree, from every region."""
+    """``a`` < ``b`` with ``pair``: rows whose signatures agree, from every region, and ``loose``: links with the same
+    components.  In larger regions those are one for each row but the first, and need not be pairs."""
     few, many = _regions(rows)
 
     def agreeing(batches):
@@ -157,10 +163,14 @@ def _candidates(rows: DataFrame) -> DataFrame:
         near = [(np.arange(n - d), np.arange(d, n)) for d in range(1, min(NEIGHBOURS, n - 1) + 1)] + [(np.full(n, h), np.arange(n)) for h in hubs]
         i, j = (np.concatenate(x) for x in zip(*near, strict=True))
         good = np.concatenate([(signatures[i[s]] == signatures[j[s]]).sum(axis=1) >= AGREE for s in _slices(len(i), 16384)])
-        a, b = np.minimum(ids[i], ids[j])[good], np.maximum(ids[i], ids[j])[good]
-        return pd.DataFrame({"a": a, "b": b})[a != b]
+        good &= i != j
+        i, j = i[good], j[good]
+        root = least_reachable(n, i, j)
+        a, b, pair = np.concatenate([ids[i], ids]), np.concatenate([ids[j], ids[root]]), np.arange(len(i) + n) < len(i)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "pair": pair, "loose": ~pair})[a != b]
 
-    return close.union(many.groupBy("tree", "region").applyInPandas(compare, "a long, b long")).distinct()
+    dense = many.groupBy("tree", "region").applyInPandas(compare, "a long, b long, pair boolean, loose boolean")
+    return close.select("a", "b", F.lit(True).alias("pair"), F.lit(True).alias("loose")).union(dense)
 
 
 def _slices(n: int, step: int):
@@ -198,34 +208,83 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(confirm, "a long, b long")
 
 
-def _last_links(loose: DataFrame, strict: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links between components that the candidates left apart, from groups of loosely alike rows.
-
-    ``loose``: (``node``, ``component``) over all candidates; ``strict``: the same over confirmed links.  In each group
-    the rows outside the largest component are queries against all its rows; both are dealt in blocks of bounded size.
-    """
+def _open_rows(loose: DataFrame, strict: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of groups of loosely alike rows that are in several components: ``part`` (the group), ``id``, ``component``,
+    ``asks`` (whether the row is outside the group's largest component), ``n``, ``shingles``."""
     rows = (
         loose.select(F.col("node").alias("id"), F.col("component").alias("part"))
         .join(strict.select(F.col("node").alias("id"), "component"), "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
-        .join(sizes, "id")
     )
     rows = staged(rows, "forest-groups")
-    tally = rows.groupBy("part", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
-    groups = tally.groupBy("part").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("shingles").alias("all"), F.max(F.struct("n", "component", "shingles")).alias("most")
+    tally = rows.groupBy("part", "component").agg(F.count(F.lit(1)).alias("rows"))
+    groups = tally.groupBy("part").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("main"))
+    groups = staged(groups.where("parts > 1").select("part", "main"), "forest-open")
+    found = rows.join(small(groups), "part").join(sets, "id")
+    return found.select("part", "id", "component", (F.col("component") != F.col("main")).alias("asks"), F.expr("octet_length(shingles) div 8").alias("n"), "shingles")
+
+
+def _rarest(rows: DataFrame, percent: int) -> DataFrame:
+    """(``part``, ``id``, ``shingle``) of each row's rarest shingles within its group, those that no other row has left out.
+
+    Two sets at the threshold share ``percent`` of the larger one's shingles at least, so of the rarest n - n * percent
+    + 1, in one order for all, they share one.  A frequent shingle's rows may be split where counts are joined to them.
+    """
+
+    def unpack(batches):
+        for batch in batches:
+            sizes = batch["n"].to_numpy()
+            shingles = np.frombuffer(b"".join(batch["shingles"]), dtype=np.int64)
+            yield pd.DataFrame({c: np.repeat(batch[c].to_numpy(), sizes) for c in ("part", "id", "n")} | {"shingle": shingles})
+
+    single = staged(rows.select("part", "id", "n", "shingles").mapInPandas(unpack, "part long, id long, n long, shingle long"), "forest-shingles")
+    counts = single.groupBy("part", "shingle").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.row_number().over(W.partitionBy("part", "id").orderBy("rows", "shingle"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = single.join(counts, ["part", "shingle"]).withColumn("place", place)
+    return ranked.where((F.col("place") <= most) & (F.col("rows") > 1)).select("part", "id", "shingle")
+
+
+def _last_links(loose: DataFrame, strict: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that the candidates left apart, from groups of loosely alike rows.
+
+    ``loose``: (``node``, ``component``) over all candidates; ``strict``: the same over confirmed links.  Rows outside
+    their group's largest component are compared with every row that shares one of the rarest shingles of both: through
+    the shingle's list of rows where that is short; else both rows are in the group's core, which is compared in blocks
+    of bounded size.
+    """
+    rows = staged(_open_rows(loose, strict, sets.select("id", "shingles")), "forest-rows")
+    if rows.isEmpty():
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    keys = rows.drop("shingles")
+    postings = staged(_rarest(rows, percent).join(keys, ["part", "id"]), "forest-postings")
+    lists = postings.groupBy("part", "shingle").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("asks").alias("asked"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_SHINGLES)).cast("int")
-    # Small groups too: their rows may have met in larger regions, where not all pairs are compared.
-    open_groups = groups.where("parts > 1").select(
-        "part", F.col("most.component").alias("main"), blocks(F.col("all")).alias("tall"), blocks(F.col("all") - F.col("most.shingles")).alias("wide")
+    # Only lists in which a row that asks meets another component; each keeps its length.
+    lists = lists.where("asked AND low < high").select("part", "shingle", "rows")
+    useful = staged(postings.join(lists, ["part", "shingle"]), "forest-lists")
+    short = useful.where(F.col("rows") <= RARE_ROWS)
+    sides = [short.select("part", "shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "asks", "n")]) for s in ("a", "b")]
+    pairs = sides[0].join(sides[1], ["part", "shingle"]).where(
+        (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("asks_a") | F.col("asks_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     )
-    dealt = rows.join(small(staged(open_groups, "forest-open")), "part")
-    full = dealt.join(sets.select("id", "shingles"), "id").withColumns(
+    pairs = staged(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "forest-rare-pairs")
+    core = useful.where(F.col("rows") > RARE_ROWS).select("part", "id").distinct()
+    return _confirmed(pairs, sets, percent).union(_core_links(staged(rows.join(core, ["part", "id"]), "forest-core"), percent))
+
+
+def _core_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links of rows that ask with rows of other components in their group, one for each row and component in a block."""
+    blocks = lambda n, shingles: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    asking = lambda c: F.sum(F.when(F.col("asks"), c).otherwise(0))
+    groups = rows.groupBy("part").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("tall"), blocks(asking(F.lit(1)), asking(F.col("n"))).alias("wide"))
+    full = rows.join(small(staged(groups, "forest-blocks")), "part").withColumns(
         {"row": F.pmod(F.xxhash64("id"), F.col("tall")).cast("int"), "column": F.pmod(F.xxhash64("id", F.lit(7)), F.col("wide")).cast("int")}
     )
     members = full.select("part", "row", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("column"), "id", "component", "shingles", F.lit(False).alias("asks"))
-    queries = full.where("component <> main").select("part", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("row"), "column", "id", "component", "shingles", F.lit(True).alias("asks"))
+    queries = full.where("asks").select("part", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("row"), "column", "id", "component", "shingles", F.lit(True).alias("asks"))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         asks = block["asks"].to_numpy()
@@ -266,15 +325,15 @@ def _near_duplicates(rows: DataFrame, k: int, percent: int) -> DataFrame:
     same = ["n_shingles", "set_a", "set_b"]
     distinct = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     distinct = staged(distinct, "forest-distinct")
-    pairs = staged(_candidates(distinct.select("rep", "signature")), "forest-pairs")
+    found = staged(_candidates(distinct.select("rep", "signature")), "forest-found")
+    pairs = staged(found.where("pair").select("a", "b").distinct(), "forest-pairs")
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "forest-ids")
     sets = _sets(rows, ids, k)
     links = staged(_confirmed(pairs, sets, percent), "forest-links").distinct()
     strict = connected_components(links)
-    more = _last_links(connected_components(pairs), strict, sets, distinct.select(F.col("rep").alias("id"), "n_shingles"), percent)
-    more = staged(more, "forest-last")
+    more = staged(_last_links(connected_components(found.where("loose").select("a", "b")), strict, sets, percent), "forest-last")
     if not more.isEmpty():
-        strict = connected_components(links.union(more))
+        strict = connected_components(strict.select("node", "component").union(more), "node", "component")
     # Equal sets under one key: each document's set leads to its representative, that to its component.
     member = usable.select("doc_id", *same).join(distinct.select(*same, "rep"), same)
     member = member.join(strict.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
