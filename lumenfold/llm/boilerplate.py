@@ -1,15 +1,18 @@
 """Main text of web pages: flat text blocks, classified by a decision tree on shallow features of block and neighbours.
 
 A page is cut at block-level tags into blocks of text.  A block's features are its word count and link density, those
-of the blocks before and after it, and what its open elements say (a navigation, footer, advert or comment container;
-an article).  The tree is grown from the small labelled table below whenever it is needed.
+of the blocks before and after it, and what its open elements say: a container for something else (navigation, footer,
+advert, comments), the article, or neither, which on a page with an article is outside it.  Links count against a block
+outside articles only.  The tree is grown from the small labelled table below whenever it is needed.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from functools import cache
+from collections import Counter
+from functools import cache, lru_cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,53 +24,74 @@ _RAW = frozenset("script style textarea title iframe noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 _ASIDE = frozenset("nav footer aside form menu dialog header".split())
-_CONTENT = frozenset(("article", "main"))
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notice|alert|comments?|commentlist|respond|disqus|replies|sidebar|side|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager)(?:$|[\s_-])",
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end an open one of the same name.
+_ROWS = frozenset("li h1 h2 h3 h4 h5 h6 td th dt dd tr option".split())
+#: Words in class names and ids, which are read as runs of words: what says that a container holds something else,
+#: what does so outside articles only, what reverses it, what says that it holds the text, and what goes with that.
+_BESIDE_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert comment comments commentlist respond disqus replies reply
+    sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay
+    widget toolbar pagination pager""".split()
+)
+_HEADER_WORDS = frozenset("header masthead".split())
+_NOT_WORDS = frozenset("no non not has with without hide".split())
+_CONTENT_WORDS = frozenset("article entry post story".split())
+_TEXT_WORDS = frozenset("body content text main inner wrapper container full single copy page section area header title box".split())
+_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Whole blocks after which the rest of their container is comments or links to other pages.
+_ENDING = re.compile(
+    r"\W*\d*\W*(?:(?:reader |user )?comments?|responses?|replies|(?:leave|post|add|write) (?:a |your )?(?:comment|reply)|commentaires?|kommentare?|comentarios?"
+    r"|(?:related|similar|recommended|more) (?:articles?|posts?|stories|news|reading)|you (?:may|might) also like)\W*\d*\W*",
     re.I,
 )
-_CONTENT_HINT = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|main|content)(?:$|[\s_-])", re.I)
+#: What notices and imprints say.
+_NOTICE = re.compile(r"©|\(c\) ?\d{4}|\bcopyright\b|\ball rights reserved\b|\b(?:uses?|accept(?: all)?|of|our) cookies\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bnewsletter\b|\bsign (?:in|up)\b|\blog ?in\b", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 #: A tag with a quote that is never closed.
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+#: Words that an article must have for the rest of the page to be outside it.
+ARTICLE_WORDS = 8
+
+#: Features of a block; among equally good splits the tree takes the first of ``PREFERENCE``.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "article", "outside", "notice", "heading")
+PREFERENCE = (6, 7, 8, 9, 1, 0, 10, 3, 5, 2, 4)
+#: The labelled table: pages as runs of blocks of (place, words, link density, heading, 1 for main text or 0).  Places:
+#: a - in a container for something else, t - in the article's text, o - outside the page's article, n - a notice in no
+#: such container, and "-" none of these.  A block's neighbours on its page give the other features.
+LABELLED_PAGES = [
+    # an article with short and linked paragraphs, link lists, quotes; menus, related stories, comments, imprint around it
+    [("a", 2, 1.0, 0, 0), ("a", 1, 1.0, 0, 0), ("a", 3, 1.0, 0, 0), ("t", 8, 0.0, 1, 1), ("t", 35, 0.0, 0, 1), ("t", 120, 0.02, 0, 1), ("t", 3, 1.0, 0, 1), ("t", 4, 1.0, 0, 1), ("t", 60, 0.4, 0, 1), ("t", 1, 0.0, 0, 1), ("a", 8, 0.0, 0, 0), ("a", 40, 0.0, 0, 0)],
+    [("a", 12, 0.1, 0, 0), ("o", 5, 1.0, 0, 0), ("o", 3, 1.0, 0, 0), ("t", 6, 0.0, 1, 1), ("t", 15, 0.3, 0, 1), ("t", 2, 0.0, 1, 1), ("t", 200, 0.1, 0, 1), ("t", 6, 1.0, 0, 1), ("o", 45, 0.0, 0, 0), ("o", 30, 0.0, 0, 0), ("o", 2, 0.0, 1, 0), ("o", 9, 0.0, 0, 0), ("n", 7, 0.0, 0, 0)],
+    [("o", 4, 0.0, 0, 0), ("t", 10, 0.2, 0, 1), ("a", 25, 0.0, 0, 0), ("t", 50, 0.0, 0, 1), ("a", 60, 0.1, 0, 0), ("t", 9, 0.0, 0, 1), ("o", 120, 0.0, 0, 0), ("o", 70, 0.1, 0, 0)],
+    [("n", 20, 0.1, 0, 0), ("t", 12, 0.0, 0, 1), ("t", 5, 0.4, 0, 1), ("a", 4, 0.0, 1, 0), ("a", 90, 0.0, 0, 0), ("a", 5, 0.0, 1, 0)],
+    # the title stands before the article
+    [("a", 1, 1.0, 0, 0), ("t", 7, 0.0, 1, 1), ("t", 4, 0.0, 0, 1), ("t", 80, 0.0, 0, 1), ("o", 1, 0.0, 0, 0)],
+    # no containers at all: long blocks, short ones between them, menus and link lists, an imprint
+    [("-", 2, 1.0, 0, 0), ("-", 3, 1.0, 0, 0), ("-", 8, 0.0, 1, 1), ("-", 70, 0.05, 0, 1), ("-", 45, 0.0, 0, 1), ("-", 5, 0.0, 0, 1), ("-", 40, 0.0, 0, 1), ("-", 4, 0.8, 0, 0), ("-", 5, 1.0, 0, 0), ("n", 12, 0.0, 0, 0)],
+    [("-", 6, 0.6, 0, 0), ("-", 4, 1.0, 0, 0), ("-", 6, 0.0, 1, 1), ("-", 12, 0.0, 0, 1), ("-", 60, 0.0, 0, 1), ("-", 22, 0.0, 0, 1), ("-", 25, 0.2, 0, 1), ("-", 30, 0.1, 0, 1), ("-", 15, 0.9, 0, 0), ("-", 12, 1.0, 0, 0)],
+    [("-", 1, 1.0, 0, 0), ("-", 2, 1.0, 0, 0), ("-", 4, 0.0, 0, 0), ("-", 3, 1.0, 0, 0), ("-", 2, 0.0, 1, 1), ("-", 40, 0.0, 0, 1), ("-", 30, 0.7, 0, 0), ("-", 25, 0.6, 0, 0), ("n", 45, 0.2, 0, 0)],
+    [("-", 2, 1.0, 0, 0), ("-", 18, 0.0, 0, 1), ("-", 2, 1.0, 0, 0), ("-", 4, 0.0, 0, 0), ("-", 2, 1.0, 0, 0)],
+    # short pages
+    [("-", 2, 0.0, 0, 1)], [("-", 4, 0.0, 1, 1), ("-", 5, 0.0, 0, 1)], [("-", 12, 0.0, 0, 1), ("n", 5, 0.0, 0, 0)], [("t", 2, 0.0, 0, 1)], [("t", 2, 1.0, 0, 1)], [("-", 2, 1.0, 0, 0)], [("n", 4, 0.0, 0, 0)],
+    [("a", 3, 1.0, 0, 0), ("-", 6, 0.0, 0, 1), ("a", 5, 0.0, 0, 0)],
+]
+
 
-#: Features in the order of the labelled table; among equally good splits the tree takes the first of ``PREFERENCE``.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "content", "heading")
-PREFERENCE = (6, 7, 1, 0, 8, 3, 5, 2, 4)
-#: The labelled table: features of typical blocks, then 1 for main text and 0 for the rest.
-LABELLED = np.array(
-    [
-        # paragraphs and headings inside an article
-        (35, 0.0, 8, 0.0, 42, 0.0, 0, 1, 0, 1), (120, 0.02, 60, 0.0, 80, 0.0, 0, 1, 0, 1), (9, 0.0, 8, 0.0, 40, 0.0, 0, 1, 1, 1),
-        (6, 0.0, 1, 1.0, 55, 0.0, 0, 1, 1, 1), (1, 0.0, 20, 0.0, 30, 0.0, 0, 1, 0, 1), (4, 0.0, 90, 0.0, 12, 0.0, 0, 1, 0, 1),
-        (15, 0.3, 40, 0.0, 30, 0.1, 0, 1, 0, 1), (3, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0, 1), (20, 0.0, 10, 0.0, 6, 0.2, 0, 1, 0, 1),
-        (10, 0.2, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1, 1), (60, 0.4, 20, 0.0, 20, 0.0, 0, 1, 0, 1),
-        (3, 0.0, 40, 0.0, 9, 0.0, 0, 1, 0, 1), (4, 0.0, 10, 0.0, 8, 0.1, 0, 1, 0, 1), (2, 0.0, 70, 0.0, 4, 1.0, 0, 1, 0, 1), (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 1),
-        (14, 0.0, 8, 0.0, 3, 1.0, 0, 1, 0, 1), (7, 0.0, 5, 1.0, 2, 1.0, 0, 1, 0, 1), (50, 0.0, 2, 1.0, 3, 0.9, 0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1, 1),
-        (5, 0.4, 12, 0.0, 0, 0.0, 0, 1, 0, 1), (200, 0.1, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-        # link lists inside an article
-        (3, 1.0, 40, 0.0, 4, 1.0, 0, 1, 0, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 1, 0, 0), (6, 1.0, 5, 1.0, 12, 0.0, 0, 1, 0, 0), (2, 1.0, 30, 0.1, 2, 1.0, 0, 1, 0, 0),
-        (5, 0.8, 2, 1.0, 3, 1.0, 0, 1, 0, 0),
-        # whatever stands in a container for something else
-        (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (40, 0.0, 30, 0.0, 5, 0.5, 1, 0, 0, 0), (10, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0),
-        (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0), (90, 0.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0), (25, 0.0, 40, 0.0, 25, 0.0, 1, 1, 0, 0),
-        (12, 0.1, 60, 0.0, 70, 0.0, 1, 1, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 1, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
-        (60, 0.1, 20, 0.0, 40, 0.0, 1, 1, 0, 0), (5, 0.0, 50, 0.0, 30, 0.0, 1, 1, 1, 0),
-        # pages without containers: long blocks, and short ones between long ones
-        (45, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 1), (70, 0.05, 3, 1.0, 50, 0.0, 0, 0, 0, 1), (30, 0.1, 45, 0.0, 4, 0.8, 0, 0, 0, 1),
-        (12, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (8, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1, 1), (18, 0.0, 25, 0.0, 22, 0.0, 0, 0, 0, 1),
-        (22, 0.0, 4, 0.0, 40, 0.0, 0, 0, 0, 1), (5, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1), (25, 0.2, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
-        (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (6, 0.0, 2, 0.0, 40, 0.0, 0, 0, 1, 1),
-        (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (6, 0.6, 3, 1.0, 5, 0.9, 0, 0, 0, 0),
-        (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (5, 0.0, 3, 0.5, 4, 0.0, 0, 0, 0, 0), (3, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
-        (30, 0.7, 20, 0.8, 25, 0.6, 0, 0, 0, 0), (8, 0.4, 50, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 8, 0.5, 0, 0, 0, 0),
-        (2, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (15, 0.9, 60, 0.0, 12, 1.0, 0, 0, 0, 0), (6, 0.0, 4, 1.0, 3, 0.0, 0, 0, 0, 0),
-    ],
-    dtype=float,
-)
+def _rows(blocks: list[tuple]) -> list[tuple]:
+    """Features of a page's blocks of (words, link density, aside, article, outside, notice, heading)."""
+    sizes = [(0, 0.0), *[b[:2] for b in blocks], (0, 0.0)]
+    return [(*b[:2], *sizes[i], *sizes[i + 2], *b[2:]) for i, b in enumerate(blocks)]
+
+
+def labelled() -> np.ndarray:
+    rows = []
+    for page in LABELLED_PAGES:
+        found = _rows([(n, links, place == "a", place == "t", place == "o", place == "n", heading) for place, n, links, heading, _ in page])
+        rows += [(*features, block[-1]) for features, block in zip(found, page, strict=True)]
+    return np.array(rows, dtype=float)
 
 
 def grow(rows: np.ndarray, deep: int = 7):
@@ -91,7 +115,7 @@ def grow(rows: np.ndarray, deep: int = 7):
 
 @cache
 def _tree():
-    return grow(LABELLED)
+    return grow(labelled())
 
 
 def is_main(features) -> bool:
@@ -102,41 +126,64 @@ def is_main(features) -> bool:
     return bool(node)
 
 
-def _signs(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element holds something beside the text, and whether it says that it holds the text."""
-    beside, content = name in _ASIDE, name in _CONTENT
+@lru_cache(maxsize=4096)
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """What a class list or id says: something else, something else but an article's own header, the article's text."""
+    beside = header = content = False
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        plain = [w for before, w in pairwise(["", *words]) if before not in _NOT_WORDS]
+        beside |= not _BESIDE_WORDS.isdisjoint(plain)
+        header |= not _HEADER_WORDS.isdisjoint(plain)
+        own = set(words)
+        content |= bool(own & _CONTENT_WORDS) and own <= _CONTENT_WORDS | _TEXT_WORDS
+    return beside or header, beside, content
+
+
+def _signs(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element holds something beside the text, and whether it holds an article; ``inside``: it is in one."""
+    beside, content = name in _ASIDE and not (name == "header" and inside), name == "article"
     for attribute, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value, attribute = "".join(values), attribute.lower()
         if attribute == "hidden" or attribute == "aria-hidden" and value == "true" or attribute == "role" and value.lower() in _ROLES:
             beside = True
         elif attribute in ("class", "id"):
-            beside |= bool(_HINT.search(value)) and name not in ("html", "body", "article", "main")
-            content |= bool(_CONTENT_HINT.search(value)) and name not in ("html", "body")
-    return beside, content
+            anywhere, own, text = _named(value)
+            if name not in ("html", "body", "main"):
+                beside |= own if inside or name == "article" else anywhere
+            content |= text and name not in ("html", "body", *_HEADINGS, "p", "li")
+    # An article in an article is a comment on it.
+    return beside or name == "article" and inside, content
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """(text, words, link density, beside the text, in the text, heading) of the page's blocks, in order."""
+def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
+    """(text, words, link density, beside the text, in an article, in the main part, heading) of the page's blocks, in order."""
     out, parts, words, linked = [], [], 0, 0
-    open_: list[tuple[str, bool, bool]] = []  # block-level and silent elements: name, beside, content
-    beside = content = silent = 0
-    heading = link = False
+    open_: list[tuple[str, bool, bool]] = []  # block-level and silent elements: name, beside, article
+    count: Counter[str] = Counter()
+    beside = article = silent = heading = 0
+    link = ending = -1  # how many elements were open where a link, or a list of comments, began
 
     def flush():
-        nonlocal words, linked
+        nonlocal words, linked, ending
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
             n = len(text.split(" "))
-            out.append((text, n, min(1.0, linked / max(words, 1)), beside > 0, content > 0, heading))
+            if ending < 0 and n <= 6 and _ENDING.fullmatch(text):
+                # The container is what holds the heading's own element.
+                ending = max(len(open_) - 1, 0)
+            out.append((text, n, min(1.0, linked / max(words, 1)), beside > 0 or ending >= 0, article > 0, count["main"] > 0, heading > 0))
         words = linked = 0
 
     def leave(i: int):
-        nonlocal beside, content, silent, heading
+        nonlocal beside, article, silent, heading, link, ending
         for name, b, c in open_[i:]:
-            beside, content, silent = beside - b, content - c, silent - (name in _SILENT)
-            heading &= name not in ("h1", "h2", "h3", "h4", "h5", "h6")
+            count[name] -= 1
+            beside, article, silent, heading = beside - b, article - c, silent - (name in _SILENT), heading - (name in _HEADINGS)
         del open_[i:]
+        link = link if i >= link else -1
+        ending = ending if i >= ending else -1
 
     def add(text: str):
         nonlocal words, linked
@@ -144,7 +191,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             parts.append(text)
             n = len(text.split())
             words += n
-            linked += n if link else 0
+            linked += n if link >= 0 else 0
 
     at, end = 0, len(page)
     while at < end:
@@ -163,7 +210,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         if not name:
             continue
         if name == "a":
-            link = not closing
+            link = -1 if closing else len(open_)
         if name == "br":
             add(" ")
         if name in _INLINE and name not in _SILENT:
@@ -171,22 +218,18 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         if name not in _SILENT:
             flush()
         if closing:
-            i = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), -1)
-            if i >= 0:
-                leave(i)
-            link = False
+            if count[name]:
+                # All that is looked at goes, so every element is looked at once.
+                leave(next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name))
             continue
         if name in _VOID or attributes and attributes.endswith("/") and name in _SILENT:
             continue
-        if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "tr", "option") and open_ and open_[-1][0] in (name, "p"):
+        if open_ and (open_[-1][0] == "p" and name not in _SILENT or name in _ROWS and open_[-1][0] == name):
             leave(len(open_) - 1)
-        b, c = _signs(name, attributes)
-        if name == "header" and content:
-            b = False
+        b, c = _signs(name, attributes, article > 0)
         open_.append((name, b, c))
-        beside, content, silent = beside + b, content + c, silent + (name in _SILENT)
-        heading |= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        link = False
+        count[name] += 1
+        beside, article, silent, heading = beside + b, article + c, silent + (name in _SILENT), heading + (name in _HEADINGS)
         if name in _RAW:
             close = re.compile(rf"</{name}\s*>|\Z", re.I).search(page, at)
             at = close.end()
@@ -195,15 +238,31 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     return out
 
 
+def _is_notice(text: str) -> bool:
+    """Also of what has neither a letter nor a digit."""
+    return bool(_NOTICE.search(text)) or not any(map(str.isalnum, text))
+
+
 def main_text(page: str | None) -> str:
-    """The page's main blocks, joined by empty lines."""
+    """The page's main blocks, joined by empty lines.
+
+    Where no article is marked, the main part is taken for one.  A heading right before the article is its title.
+    """
     found = blocks(page or "")
-    sizes = [(0, 0.0), *[(n, density) for _, n, density, *_ in found], (0, 0.0)]
-    kept = []
-    for i, (text, n, density, beside, content, heading) in enumerate(found):
-        if is_main((n, density, *sizes[i], *sizes[i + 2], beside, content, heading)):
-            kept.append(text)
-    return "\n\n".join(kept)
+    own = [a and not aside for *_, aside, a, _, _ in found]
+    if sum(n for (_, n, *_), yes in zip(found, own, strict=True) if yes) < ARTICLE_WORDS:
+        own = [(a or m) and not aside for *_, aside, a, m, _ in found]
+    marked = sum(n for (_, n, *_), yes in zip(found, own, strict=True) if yes) >= ARTICLE_WORDS
+    if True in own:
+        first = own.index(True)
+        if first and found[first - 1][6] and not found[first - 1][3] and found[first - 1][2] < 0.5:
+            own[first - 1] = True
+    rows = _rows([(n, links, aside, yes, marked and not (yes or aside), not (yes or aside) and _is_notice(text), heading) for (text, n, links, aside, _, _, heading), yes in zip(found, own, strict=True)])
+    kept = [is_main(r) for r in rows]
+    if True not in kept:
+        # A page of a few short blocks without any link: what stands beside nothing is its text.
+        kept = [not r[6] and not r[9] and r[1] < 0.5 for r in rows]
+    return "\n\n".join(text for (text, *_), yes in zip(found, kept, strict=True) if yes)
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -211,6 +270,8 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     Every page is read by itself: no rows are exchanged, repeated ones come out each.  A null page is an empty one; null
     keys stay.  Broken markup is read as it comes: what is open ends with what holds it, an unended tag with the page.
+    Very long or deeply nested pages are read in time proportional to their length.  An empty table gives no rows;
+    other columns, whatever their names, are not read.
     """
     rows = pages.selectExpr(f"`{key}` AS page_id", f"`{url}` AS url", f"`{page}` AS html")
     schema = rows.drop("html").schema.add("text", "string").add("n_chars", "long")

@@ -171,13 +171,56 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>i
 
 def test_main_text():
     assert boilerplate.main_text(PAGE) == "Title é\n\nFirst paragraph with a break\n\nSecond & last link of it."
-    assert all(boilerplate.is_main(r[:-1]) == bool(r[-1]) for r in boilerplate.LABELLED)
+    assert all(boilerplate.is_main(r[:-1]) == bool(r[-1]) for r in boilerplate.labelled())
     body = " ".join(["word"] * 60)
     assert boilerplate.main_text(f"<div><a>x</a> <a>y</a></div><p>{body}</p><p>{body}</p><div><a>z</a></div>") == f"{body}\n\n{body}"
     for odd in (None, "", "<", "<<p", "<!-- open", '<a href="x', "</div></p>", "<p>" * 20000):
         assert boilerplate.main_text(odd) == ""
 
 
+LONG = "A sentence of the article that goes on for quite a while so that nobody takes it for a menu entry. " * 2
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # the article's own links: a list, a paragraph that is one link
+        (f"<nav><a href=/>Home</a></nav><article><p>{LONG}<ul><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>Three</a></ul></article>", [LONG.strip(), "One", "Two", "Three"]),
+        (f"<article><p>{LONG}</p><p><a href=/x>All of this is one link</a></p><p>End.</p></article>", [LONG.strip(), "All of this is one link", "End."]),
+        # its lede in a header of its own, a title before it
+        (f'<div class="site-header">Site</div><article><div class="post-header">The lede</div><p>{LONG}</p><footer>Filed under x</footer></article>', ["The lede", LONG.strip()]),
+        (f"<main><h1>Title</h1><article><p>{LONG}</p></article></main>", ["Title", LONG.strip()]),
+        # short pages
+        ("<p>short article.</p>", ["short article."]),
+        ('<ul class="menu"><li><a href=/>Home</a></ul><p>short article.</p><div>&copy; 2024 Somebody</div>', ["short article."]),
+        ("<article><p>Brief.</p></article>", ["Brief."]),
+        ("<div><a href=/>Home</a> <a href=/b>About</a></div>", []),
+        # comments of readers in plain containers
+        (f"<article><p>{LONG}</p></article><div>I liked this a lot. It was a good read. Thanks for writing it down for all of us here.</div>", [LONG.strip()]),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><h3>2 Comments</h3><div>{LONG}</div><p>Me too.</p></div><p>{LONG}</p>", [LONG.strip()] * 3),
+        (f"<article><p>{LONG}</p><h2>Comments</h2><div>{LONG}</div></article>", [LONG.strip()]),
+        (f"<article><p>{LONG}</p><article><p>{LONG}</p></article></article>", [LONG.strip()]),
+        # class names that only sound like something else, and camel case
+        (f'<div class="page with-sidebar no-ads"><p>{LONG}</p><div class="sideBar"><p>{LONG}</p></div><div id="cookieNotice">{LONG}</div></div>', [LONG.strip()]),
+        (f'<div class="post-body"><p>{LONG}</p><p><a href=/x>A link</a></p></div><div class="post-list"><a href=/y>{LONG}</a></div>', [LONG.strip(), "A link"]),
+        (f"<p>{LONG}</p><a href=/card><div>{LONG}</div></a>", [LONG.strip()]),
+        ("<p>Fish &amp; chips &#8364;5 &lt;b&gt;\n\t of   the\xa0day</p>", ["Fish & chips €5 <b> of the day"]),
+    ],
+)
+def test_main_text_of_page(page, text):
+    assert boilerplate.main_text(page) == "\n\n".join(text)
+
+
+def test_long_and_deep_pages():
+    import time
+
+    start = time.time()
+    assert boilerplate.main_text("<div>" * 20000 + f"<p>{LONG}" + "</p>" * 20000 + "</span></section>" * 20000) == LONG.strip()
+    assert boilerplate.main_text("<ul><li>" * 10000 + "x" + "</li></ul></b>" * 10000) == "x"
+    assert boilerplate.main_text(f"<article>{'<p>' + LONG + '</p>' * 3}</article>" * 2000).count(LONG.strip()) == 2000
+    assert time.time() - start < 20
+
+
 def test_pages_on_spark(spark, sf):
     rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = [tuple(r) for r in boilerplate.extract_main_text(rows).collect()]
