@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import as_text, staged
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Runs of letters beyond this length are scored in stretches of it, each as a word.
-STRETCH = 48
+#: Longer words are scored one by one, without being remembered; the fit alone looks at them in stretches of this length.
+LONG_WORD = 48
+#: The fit holds a number for each piece and language; more labels than this are taken for dirty data.
+MOST_LANGUAGES = 1000
 #: Probability of a character that no piece covers, alike in all languages.
 UNKNOWN = 1e-7
 #: Documents per language that the fit looks at, about; they are chosen by a hash of the key.
@@ -32,12 +34,15 @@ SMOOTHING = 0.05
 UNDETERMINED = "und"
 
 _MARK = "▁"
-_LETTERS = re.compile(r"[^\W\d_]{1,%d}" % STRETCH)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_STRETCHES = re.compile(r"[^\W\d_]{1,%d}" % LONG_WORD)
 #: Keeps forward sums near 1: each character counts this much more, and the logarithm is corrected.
 _LIFT = 30.0
 _CHUNK_CHARS = 1_000_000
 _CACHED_WORDS = 200_000
 _TABLE_BITS = 20
+#: Letters of a long word whose pieces are looked up at once.
+_PLACES = 1 << 16
 
 
 def load_vocabulary(path: str | None = None) -> list[str]:
@@ -159,6 +164,43 @@ def log_probabilities(table: PieceTable, probabilities: np.ndarray, texts: list[
     return out
 
 
+def long_log_probability(table: PieceTable, probabilities: np.ndarray, word: str) -> np.ndarray:
+    """log P(word | language) of one word of any length, one number per language.
+
+    Pieces are looked up at many places at once; the recursion keeps the last few sums, scaled to stay near 1.
+    """
+    letters = as_matrix([_MARK + word], len(word) + 1)[0]
+    lifted, n, longest = _lifted(probabilities, table.longest), len(letters), table.longest
+    forward, log = np.zeros((longest + 1, probabilities.shape[1])), np.zeros(probabilities.shape[1])
+    forward[0] = 1  # row i: the sum over all ways to reach the place i letters after the one at hand
+    for at in range(0, n, _PLACES):
+        size = min(_PLACES, n - at)
+        by_start: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        alive, h = np.arange(size), np.zeros(size, dtype=np.uint64)
+        for length in range(1, longest + 1):
+            inside = at + alive + length <= n
+            alive, h = alive[inside], h[inside]
+            if not len(alive):
+                break
+            h = _extend(h, letters[at + alive + length - 1])
+            found = table.find(h)
+            own = np.arange(len(found)) if length == 1 else np.flatnonzero(found < table.n)
+            for start, piece in zip(alive[own].tolist(), np.minimum(found[own], table.n).tolist(), strict=True):
+                by_start[start].append((length, piece))
+            on = found != table.miss
+            alive, h = alive[on], h[on]
+        for cuts in by_start:
+            here = forward[0].copy()
+            for length, piece in cuts:
+                forward[length] += here * lifted[length][piece]
+            forward[:-1] = forward[1:]
+            forward[-1] = 0
+            scale = forward.max(axis=0)
+            forward /= scale
+            log += np.log(scale)
+    return log + np.log(forward[0]) - n * np.log(_LIFT)
+
+
 def expected_counts(table: PieceTable, probabilities: np.ndarray, texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece in the weighted words, under one language's probabilities."""
     texts = [_MARK + w for w in texts]
@@ -210,6 +252,12 @@ class LanguageModel:
             numbers, sizes, chars, begin = [], [], 0, at
             while at < len(texts) and chars < _CHUNK_CHARS:
                 found = words(texts[at]) if texts[at] else []
+                lettered[at] = bool(found)
+                if found and max(map(len, found)) > LONG_WORD:
+                    for word in found:
+                        if len(word) > LONG_WORD:
+                            out[at] += long_log_probability(self._table, self.probabilities, word)
+                    found = [w for w in found if len(w) <= LONG_WORD]
                 numbers += map(self._cache.__getitem__, found)
                 sizes.append(len(found))
                 chars += len(texts[at] or "")
@@ -219,8 +267,7 @@ class LanguageModel:
                 self._rows = np.concatenate([self._rows, log_probabilities(self._table, self.probabilities, new)])
             owner = np.repeat(np.arange(len(sizes)), sizes)
             for j in range(len(self.languages)):
-                out[begin:at, j] = np.bincount(owner, self._rows[numbers, j] if numbers else None, minlength=len(sizes))
-            lettered[begin:at] = np.array(sizes) > 0
+                out[begin:at, j] += np.bincount(owner, self._rows[numbers, j] if numbers else None, minlength=len(sizes))
         return out, lettered
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -245,10 +292,13 @@ def fit_language_model(docs: DataFrame, vocabulary: str | None = None, sample_do
 
     About ``sample_docs`` rows per language are looked at (all, where there are fewer), chosen by a hash of the key, so
     the choice does not depend on the input's order.  Word counts and expected piece counts are summed by Spark; what
-    reaches the driver is a number per piece and language.
+    reaches the driver is a number per piece and language.  Without labelled rows, as in an empty table, the model has no
+    language; more than ``MOST_LANGUAGES`` labels are an error.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in lang")
     languages, pieces = sorted(totals), load_vocabulary(vocabulary)
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces), 0)))
@@ -259,7 +309,7 @@ def fit_language_model(docs: DataFrame, vocabulary: str | None = None, sample_do
     def count_words(batches):
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                found, n = np.unique(np.array(words(text) or [""], dtype=object), return_counts=True)
+                found, n = np.unique(np.array(_STRETCHES.findall(text.lower()) or [""], dtype=object), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "word": found, "n": n})
 
     counted = sample.select("lang", "text").mapInPandas(count_words, "lang string, word string, n long")
@@ -289,7 +339,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """``docs`` with ``lang_pred`` and ``score`` in place of columns of those names.
 
     Each text is scored whole and by itself.  Null, empty and letterless texts are ``und`` with score 0, as is every
-    text if the model has no language.  All rows stay, repeated ones too; nothing is exchanged.
+    text if the model has no language.  All rows stay, repeated ones too; nothing is exchanged; an empty table stays so.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

@@ -15,12 +15,13 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, hex_number, staged
+from .common import small, staged
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -173,15 +174,17 @@ def _places(bins: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, key="doc_id", text="text") -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids``.
+    """Pieces of at most ``capacity`` tokens: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids``, and the
+    task that cut them (``part``) with a running number for each length in it (``nth``).
 
     A document is its text's ids and ``end_id``, so a null or empty text is one token.  Without ``with_ids``, ids are null.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     encoder = WordTokenizer(tokenizer)
-    schema = rows.drop("text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("ids", T.ArrayType(T.IntegerType()))
+    schema = rows.drop("text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("ids", T.ArrayType(T.IntegerType())).add("part", "integer").add("nth", "long")
 
     def cut(batches):
+        part_id, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             docs = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
@@ -191,35 +194,32 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for i in range(0, len(ids), capacity):
                         part = ids[i : i + capacity]
-                        out.append((doc, i // capacity, i, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                        out.append((doc, i // capacity, i, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None, part_id, seen[len(part)]))
+                        seen[len(part)] += 1
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"])
 
     return rows.mapInPandas(cut, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, blocks: int = 64, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every piece with its place: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``;
     ``with_ids`` adds the token ids themselves.
 
-    Pieces are numbered within their length in ``blocks`` parts by a digest, whose counts give each part its first
-    number, so a length that a third of all pieces share is dealt over many tasks.  What reaches the driver is the
+    The pieces of a length are numbered by the tasks that cut them, whose counts give each task its first number; so
+    nothing is sorted, and neither a length nor a key that a third of all rows share comes together anywhere.  The
+    numbers are written with the pieces, so a lost executor cannot change them.  What reaches the driver is the
     histogram (at most ``capacity`` rows) and what it sends back has a row per length and kind of bin.
     Repeated rows are packed each; an empty table gives no rows; other columns are not read.
     """
     pieces = token_pieces(docs, tokenizer, capacity, end_id, with_ids)
     pieces = staged(pieces if with_ids else pieces.drop("ids"), "packing-pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = staged(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(minimum_bin_slack(histogram, capacity))
-    keyed = pieces.withColumn("digest", F.md5(F.concat_ws("|", as_text("doc_id"), F.col("piece").cast("string"))))
-    keyed = keyed.withColumn("block", (hex_number(F.col("digest"), 1, 8) % blocks).cast("int"))
-    first = (
-        keyed.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
-        .select("length", "block", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    )
-    number = F.row_number().over(W.partitionBy("length", "block").orderBy("digest", "ids_crc32"))
-    numbered = keyed.withColumn("number", number).join(first, ["length", "block"]).withColumn("number", F.col("first") + F.col("number") - 1)
+    before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    first = staged(counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("first")), "packing-first")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    numbered = numbered.select(*columns, "number")
+    numbered = pieces.join(small(first), ["length", "part"]).select(*columns, (F.col("first") + F.col("nth")).alias("number"))
     schema = numbered.drop("number").schema.add("sequence_id", "long").add("offset", "long")
     base = int(places[:, 1].max(initial=0)) + 1
 

@@ -10,10 +10,10 @@ Kinds and their permutations (all one-to-one within the format):
 * ``card``: the issuer's four digits stay, those after them are permuted, the last becomes the check digit again;
 * ``iban``: country code stays, the account part moves within its classes, the check digits are made anew;
 * ``phone``: the last ten digits are permuted, prefix and punctuation stay;
-* ``ssn``: nine digits;
+* ``ssn``: area (898 values), group and serial (99 * 9,999 together), so every pseudonym is a valid number again;
 * ``ipv4``: 32 bits, in two halves of 16;
 * ``date``: the day number in the 400 Gregorian years from 1800, 146,097 = 27 * 5,411 days, so no value needs walking;
-* ``secret``: hexadecimal strings of 32 to 64 digits.
+* ``secret``: hexadecimal strings of 32 digits and more.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ ROUNDS = 8
 _DATE_ROUNDS = 10
 KINDS = ("email", "card", "iban", "phone", "ssn", "ipv4", "date", "secret")
 
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++"
-_SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z])"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++"
+_SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 _IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 _DATE = r"(?<![\d./-])(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}([./])\d{2}\2\d{4})(?!\d|[./-]\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"
@@ -55,8 +55,9 @@ def _number(digest: str, modulus: int) -> str:
 
 
 def _moved(half: str, digest: str, alphabet: str) -> str:
-    """SQL: each character of ``half`` moved within its class by two digits of ``digest``; others stay."""
-    shift = f"cast(conv(substr({digest}, 2 * p + 1, 2), 16, 10) as int)"
+    """SQL: each character of ``half`` moved within its class by two digits of ``digest``, which serve again after 64
+    characters; others stay."""
+    shift = f"cast(conv(substr({digest}, 2 * (p % 64) + 1, 2), 16, 10) as int)"
     if alphabet == "hex":
         low = f"substr('{_HEX}', (instr('{_HEX}', lower(c)) - 1 + {shift}) % 16 + 1, 1)"
         one = f"if(c between 'A' and 'F', upper({low}), {low})"
@@ -121,6 +122,18 @@ def _date(match: str, key: str) -> str:
     return f"case {cases} else {match} end"
 
 
+def _ssn(match: str, key: str) -> str:
+    even = f"named_struct('a', (s.a + {_number(_f(key, 'ssn', 'i', 's.b'), 898)}) % 898, 'b', s.b)"
+    odd = f"named_struct('a', s.a, 'b', (s.b + {_number(_f(key, 'ssn', 'i', 's.a'), 99 * 9999)}) % {99 * 9999})"
+    # Areas run from 1 to 899 without 666, groups from 1, serials from 1.
+    area, rest = "cast(element_at(o, 1) as bigint)", "(cast(element_at(o, 2) as bigint) - 1) * 9999 + cast(element_at(o, 3) as bigint) - 1"
+    shown = "concat_ws('-', lpad(s.a + if(s.a < 665, 1, 2), 3, '0'), lpad(s.b div 9999 + 1, 2, '0'), lpad(s.b % 9999 + 1, 4, '0'))"
+    loop = (
+        f"aggregate(sequence(1, {_DATE_ROUNDS}), named_struct('a', {area} - if({area} < 666, 1, 2), 'b', {rest}), (s, i) -> if(i % 2 = 0, {even}, {odd}), s -> {shown})"
+    )
+    return f"element_at(transform(array(split({match}, '-')), o -> {loop}), 1)"
+
+
 def _ipv4(match: str, key: str) -> str:
     octet = [f"cast(element_at(o, {i}) as bigint)" for i in range(1, 5)]
     loop = (
@@ -162,13 +175,12 @@ def _pseudonym(kind: str, m: str, key: str) -> str:
     check = f"lpad(cast(98 - {_mod97(f'''concat(d, left({compact}, 2), '00')''')} as string), 2, '0')"
     spaced = f"array_join(transform(split({m}, ''), (c, p) -> if(c = ' ', c, substr(n, p + 1 - (length(left({m}, p)) - length(replace(left({m}, p), ' ', ''))), 1))), '')"
     iban = f"element_at(transform(array({account}), d -> element_at(transform(array(concat(left({compact}, 2), {check}, d)), n -> {spaced}), 1)), 1)"
-    ssn = f"element_at(transform(array({_permuted(_digits(m), key, 'ssn', 'digit')}), d -> {_reset(m, 'd')}), 1)"
     return f"""case {kind}
         when 'email' then concat({_permuted(f'left({m}, {at} - 1)', key, 'email', 'word')}, substr({m}, {at}))
         when 'card' then {card}
         when 'iban' then {iban}
         when 'phone' then {phone}
-        when 'ssn' then {ssn}
+        when 'ssn' then {_ssn(m, key)}
         when 'ipv4' then {_ipv4(m, key)}
         when 'date' then {_date(m, key)}
         when 'secret' then {_permuted(m, key, 'secret', 'hex')}
@@ -181,7 +193,8 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text", fo
     ``found`` names an extra column: a map from kind to the number of values replaced in the row.
 
     A projection: no row moves and every text is read whole.  Texts without a candidate pass after one scan.  Null
-    stays null, the empty text empty; candidates that fail validation stay as they are.
+    stays null, the empty text empty; candidates that fail validation stay as they are.  Repeated rows come out alike,
+    an empty table gives no rows, and no other column is read, whatever its name (but ``__pii``).
     """
     column = f"`{text}`"
     pattern = PATTERN

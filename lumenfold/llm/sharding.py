@@ -18,6 +18,8 @@ _HIGH, _LOW = divmod(2862933555777941757, 1 << 32)
 _MASK = (1 << 32) - 1
 #: Steps taken before the check whether any row needs more; about ln(shards) jumps are expected.
 _FIRST_STEPS = 40
+#: Copies of a row that are spread out again in one task.
+_COPIES = 4096
 
 
 def _times(x: str, constant: int) -> str:
@@ -60,7 +62,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     Slots follow the key's digest within a shard.  A shard is numbered in ``blocks`` ranges of the digest (each again
     in four by text), whose counts then give each range its first slot; so no task ever holds a whole shard.  Equal
     rows are counted before the exchange and spread out again after it, so a key that holds a third of all rows is
-    one row there.
+    one row there; its copies are spread out in parts that are dealt over the tasks.
 
     Null key: the empty key.  Null text: no bytes (size 8, checksum 0).  Repeated rows get slots of their own.  An
     empty table gives no rows.  Other columns are not read.
@@ -91,12 +93,17 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
         .select(*place, F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("first_slot"))
     )
     numbered = placed.withColumn("before", F.coalesce(F.sum("copies").over(in_block), F.lit(0))).join(first, place)
-    return numbered.select(
+    ready = numbered.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        F.explode(F.expr("sequence(first_slot + before, first_slot + before + copies - 1)")).alias("slot"),
+        (F.col("first_slot") + F.col("before")).alias("from"),
+        (F.col("first_slot") + F.col("before") + F.col("copies") - 1).alias("to"),
         jump_shard("high", "low", shards + 1).alias("grown_shard"),
     )
+    # One part for nearly every row; the exchange of these narrow rows is what spreads the parts of a hot one.
+    parts = ready.withColumn("from", F.explode(F.expr(f"sequence(`from`, `to`, {_COPIES}L)"))).repartition("shard", "from")
+    slots = F.explode(F.expr(f"sequence(`from`, least(`to`, `from` + {_COPIES - 1}L))")).alias("slot")
+    return parts.select("doc_id", "size", "text_crc32", "law", "shard", slots, "grown_shard")

@@ -1,5 +1,6 @@
 """Mixing, pseudonyms and sharding: plain versions, odd inputs, and the SQL of their queries."""
 
+import calendar
 import hashlib
 import math
 import re
@@ -91,6 +92,78 @@ def test_date_permutation_is_one_to_one(spark):
     assert len(set(out)) == 20000 and all(re.fullmatch(r"(1[89]|2[01])\d\d-\d\d-\d\d", t) for t in out)
 
 
+def test_ssn_permutation_is_one_to_one_on_valid_numbers(spark):
+    rows = spark.range(0, 88_902_000, 4567).selectExpr(
+        "id AS doc_id", "concat_ws('-', lpad(id div 990000 * 10 % 898 + if(id div 990000 * 10 % 898 < 665, 1, 2), 3, '0'), lpad(id div 9999 % 99 + 1, 2, '0'), lpad(id % 9999 + 1, 4, '0')) AS text"
+    )
+    before = {r["text"] for r in rows.collect()}
+    out = {r["text"] for r in pii.pseudonymise(rows.dropDuplicates(["text"])).collect()}
+    assert len(out) == len(before) and out != before
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in out)
+    again = pii.pii_report(spark.createDataFrame([(i, x) for i, x in enumerate(sorted(out))], "doc_id long, text string"))
+    assert again.where("n_ssn <> 1").count() == 0
+
+
+def plain_kinds(text):
+    """(start, end, kind) of personal data, kind by kind without the operator's pattern."""
+    spans, taken = [], [False] * (len(text) + 1)
+
+    def free(a, b):
+        return not any(taken[a:b])
+
+    def take(kind, pattern, valid=lambda m: True):
+        for m in re.finditer(pattern, text):
+            if free(*m.span()) and valid(m[0]):
+                spans.append((*m.span(), kind))
+                taken[m.start() : m.end()] = [True] * (m.end() - m.start())
+
+    def luhn(m):
+        digits = [int(c) for c in m if c.isdigit()][::-1]
+        return sum(digits[::2] + [x for d in digits[1::2] for x in divmod(2 * d, 10)]) % 10 == 0
+
+    def issuer(m):
+        d = re.sub(r"\D", "", m)
+        return d[0] in "456" or d[:2] in ("30", "34", "35", "36", "37", "38", "39") or 2221 <= int(d[:4]) <= 2720
+
+    def iban(m):
+        c = m.replace(" ", "").upper()
+        return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+    def day(m):
+        parts = [int(x) for x in re.split("[-/.]", m)]
+        orders = [parts] if len(m.split("-")[0].split("/")[0]) == 4 else [parts[::-1]] + ([[parts[2], parts[0], parts[1]]] if "/" in m else [])
+        return any(1800 <= y < 2200 and 1 <= mo <= 12 and 1 <= d <= calendar.monthrange(y, mo)[1] for y, mo, d in orders)
+
+    take("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    take("secret", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", lambda m: not m.isdigit())
+    take("date", r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?!\d|[./-]\d)", day)
+    take("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", lambda m: max(map(int, m.split("."))) < 256)
+    take("ssn", r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?!-?\d)")
+    take("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}\d\d(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])", iban)
+    take("card", r"(?<!\d)(?<!\d[.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|-\d)", lambda m: luhn(m) and issuer(m))
+    take("phone", r"(?<![\w+])(?:\+\d{1,3}[^\w\s]{0,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[^\w\s]{0,3}[ .-]?\d{3}[.-]\d{4}(?![\d-])")
+    return sorted(spans)
+
+
+def test_report_equals_plain_detection(spark, sf):
+    """The whole query: what it replaces, nothing else, within its format, and equal values alike."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    alike, found = {}, 0
+    for r in queries.QUERIES["op2_pseudonymise"](spark, sf).collect():
+        spans, old, new = plain_kinds(texts[r["doc_id"]]), texts[r["doc_id"]], r["text"] or ""
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(kind == k for *_, kind in spans) for k in pii.KINDS]
+        fresh = plain_kinds(new)
+        assert [kind for *_, kind in spans] == [kind for *_, kind in fresh]
+        at = now = 0
+        for (a, b, kind), (x, y, _) in zip(spans, fresh, strict=True):
+            shape = lambda v: re.sub("[a-f]" if kind == "secret" else "[a-z]", "a", re.sub(r"\d+" if kind == "ipv4" else r"\d", "9", v.lower()))  # noqa: B023, E731
+            assert old[at:a] == new[now:x] and (kind == "secret" and b - a == y - x or shape(old[a:b]) == shape(new[x:y]))
+            assert alike.setdefault((kind, old[a:b]), new[x:y]) == new[x:y]
+            at, now, found = b, y, found + 1
+        assert old[at:] == new[now:]
+    assert found > 0 and len(set(alike.values())) == len(alike)
+
+
 def feistel(text, key, tag, rounds=8):
     """The plain form of the digit permutation."""
     a, b = text[: len(text) // 2], text[len(text) // 2 :]
@@ -110,7 +183,7 @@ def test_pseudonyms_of_odd_rows(spark):
     out = pii.pseudonymise(odd)
     assert out.columns == odd.columns
     got = [(r["doc_id"], r["text"]) for r in out.collect()]
-    assert got[0][1] is None and got[1][1] == "" and got[2][1] == "x@" * 50000 and got[3][1] == "1" * 100000 and got[4][1] == "a" * 200000 + "@b.c"
+    assert got[0][1] is None and got[1][1] == "" and got[2][1] == "x@" * 50000 and got[3][1] == "1" * 100000 and got[4][1] != "a" * 200000 + "@b.c" and re.fullmatch(r"[a-z]{200000}@b[.]c", got[4][1])
     assert got[5] == got[6] and got[5][1].startswith("é ") and got[5][1] != "é 1.2.3.4"
     assert pii.pii_report(docs(spark, [])).count() == 0
 

@@ -248,6 +248,23 @@ def test_forward_sums_equal_all_segmentations():
     assert counts @ [len(x) for x in pieces] == pytest.approx(2 * len("▁ab"))
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """Words of any length: the same sums as for short ones, over the limits of lookups too."""
+    rng = np.random.default_rng(0)
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "bab", "abba"]
+    p = rng.dirichlet(np.ones(len(pieces)), 2).T
+    table = langid.PieceTable(pieces)
+    words = ["".join(rng.choice(list("abc"), n, p=[0.5, 0.45, 0.05])) for n in (1, 7, 49, 150)]
+    for places in (langid._PLACES, 10):
+        monkeypatch.setattr(langid, "_PLACES", places)
+        for word in words:
+            assert langid.long_log_probability(table, p, word) == pytest.approx(langid.log_probabilities(table, p, [word])[0])
+    model = langid.LanguageModel(["x", "y"], pieces, p)
+    logs, lettered = model.score([" ".join(words), "12", words[3]])
+    assert logs[0] == pytest.approx(langid.log_probabilities(table, p, words).sum(axis=0)) and lettered.tolist() == [True, False, True]
+    assert np.isfinite(langid.long_log_probability(table, p, "ab" * 100000)).all()
+
+
 def test_languages_held_out(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     rows = queries.QUERIES["op8_identify_language"](spark, sf).join(table, "doc_id").collect()
@@ -320,6 +337,13 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_packing_many_rows_of_one_key(spark):
+    rows = packing.pack_documents(spark.range(20000).selectExpr("7L AS doc_id", "if(id % 3 = 0, 'a b c', 'd') AS text").repartition(6)).collect()
+    assert len(rows) == 20000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 20000
+    total = sum(r["length"] for r in rows)
+    assert len({r["sequence_id"] for r in rows}) == -(-total // 4096)
+
+
 def test_vocabulary_is_whole():
     import public_tokenizers
     import sentencepiece
