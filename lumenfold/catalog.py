@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import scalars, vectors
+from .functions import scalars, sparse, vectors
 from .operators import clustering, evaluation, fusion, ranking, state, tables
 from .plans.recommend import multi_interest, profile_table, recommend
-from .plans.search import hybrid_search
+from .plans.search import hybrid_search, search, seed_papers
 from .schemas import CATEGORY_GROUPS
 from .sources.staging import shared_root
 from .sources.tables import SQL, interactions, papers, read, vectors as vector_table, with_tables
-from .streaming.state import stream_user_state, stream_window_counts
+from .streaming.state import stream_distinct, stream_profile, stream_user_state, stream_window_counts
 
 #: The day and the month (year * 12 + month) for which everything is computed.
 AS_OF, AS_OF_MONTH = "2024-01-31", 2024 * 12 + 1
@@ -94,18 +94,22 @@ def recent_year_scan(spark, sf):
     return own.orderBy(F.desc("update_date"), "arxiv_id").limit(10).select("arxiv_id", "update_date")
 
 
-@query("keyword_search", """
-    WITH terms AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS term FROM benchmark),
-    docs AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS term FROM documents),
-    scored AS (SELECT query_id, doc_id, count(*) AS overlap FROM terms JOIN docs USING (term) GROUP BY ALL)
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id)::INT AS rank FROM scored QUALIFY rank <= 10""")
+_BM25_SQL = """tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY ALL),
+    sized AS (SELECT *, sum(tf) OVER (PARTITION BY doc_id) AS size, count(*) OVER (PARTITION BY term) AS df FROM tf),
+    totals AS (SELECT count(*) AS items, avg(size) AS mean FROM (SELECT doc_id, sum(tf) AS size FROM tf GROUP BY doc_id)),
+    relevance AS (SELECT query_id, doc_id, round(sum(ln(1 + (items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)))), 9) AS score
+      FROM words JOIN sized USING (term), totals GROUP BY ALL),
+    by_words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM relevance QUALIFY rank <= 10)"""
+
+
+@query("keyword_search", f"""
+    WITH words AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM benchmark), {_BM25_SQL}
+    SELECT query_id, doc_id, score, rank FROM by_words""")
 def keyword_search(spark, sf):
-    """Shared long words stand in for the remote service's relevance, which has no local definition."""
-    words = lambda t, key, name: t.select(F.col(key).alias(name), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("term"))
-    hits = words(read(spark, sf, "benchmark"), "item_id", "query_id").join(words(read(spark, sf, "documents"), "doc_id", "doc_id"), "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
-    order = W.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    """Keyword relevance over all words stands in for the remote service's, which has no local definition."""
+    items = sparse.term_counts(read(spark, sf, "documents"), "doc_id")
+    asked = sparse.term_counts(read(spark, sf, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+    return sparse.keyword_topk(asked, items, 10, item="doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 @query("cache_fallback", """
@@ -119,6 +123,19 @@ def cache_fallback(spark, sf):
     return tables.with_fallback(interactions(spark, sf), cache, remote, "paper_id")
 
 
+@query("cache_write_back", """
+    WITH cache AS (SELECT paper_id, title, 'cache' AS origin FROM papers WHERE paper_id % 3 = 0)
+    SELECT * FROM cache UNION ALL SELECT paper_id, title, 'remote' FROM papers WHERE paper_id IN (SELECT paper_id FROM interactions) AND paper_id NOT IN (SELECT paper_id FROM cache)""", "papers", "interactions")
+def cache_write_back(spark, sf):
+    remote = papers(spark, sf).select("paper_id", "title").withColumn("origin", F.lit("remote"))
+    return tables.write_back(interactions(spark, sf), remote.where("paper_id % 3 = 0").withColumn("origin", F.lit("cache")), remote, "paper_id")
+
+
+@query("collection_stats", "SELECT count(*) AS points, count(DISTINCT paper_id) AS ids, count(DISTINCT len(embedding)) AS dims, count(*) - count(embedding) AS missing FROM vectors", "vectors")
+def collection_stats(spark, sf):
+    return tables.collection_stats(vector_table(spark, sf))
+
+
 @query("id_resolution", """
     WITH wanted AS (SELECT DISTINCT paper_id FROM interactions), known AS (SELECT doc_id AS paper_id, doc_id * 10 AS point FROM documents WHERE doc_id % 2 = 0),
     scrolled AS (SELECT vec_id AS paper_id, vec_id * 10 AS point FROM embeddings)
@@ -138,6 +155,23 @@ def build_papers(spark, sf):
     return papers(spark, sf).join(cited, "paper_id", "left").select("paper_id", "arxiv_id", F.length("abstract_preview").cast("long").alias("preview_chars"), F.coalesce("quality", F.lit(0)).alias("citations"))
 
 
+@query("clean_corpus", r"""
+    WITH c AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'p' || doc_id // 8 ELSE 'q' || doc_id END AS id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS body FROM documents WHERE doc_id % 7 <> 0)
+    SELECT id, min(body) AS body FROM c WHERE body <> '' GROUP BY id""")
+def clean_corpus(spark, sf):
+    key = F.expr("CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 4 = 0 THEN concat('p', doc_id div 8) ELSE concat('q', doc_id) END")
+    return tables.clean_corpus(read(spark, sf, "documents").select(key.alias("id"), F.col("text").alias("body")), "id", ["body"])
+
+
+@query("papers_build", """
+    WITH m AS (SELECT 'a' || doc_id // 2 AS id, min(source) AS source FROM documents GROUP BY ALL), c AS (SELECT 'a' || doc_id // 3 AS id, max(quality + 5 * toxic) AS n, max(toxic) AS i FROM labels GROUP BY ALL)
+    SELECT id, source, coalesce(n, 0)::INT AS citation_count, coalesce(i, 0)::INT AS influential_citations FROM m LEFT JOIN c USING (id)""")
+def papers_build(spark, sf):
+    metadata = read(spark, sf, "documents").select(F.expr("concat('a', doc_id div 2)").alias("id"), "source")
+    counts = [F.expr("cast(quality + 5 * toxic as string)").alias("citation_count"), F.expr("cast(toxic as string)").alias("influential_citations")]
+    return tables.build_papers(metadata, read(spark, sf, "labels").select(F.expr("concat('a', doc_id div 3)").alias("arxiv_id_clean"), *counts))
+
+
 # --- sinks -----------------------------------------------------------------------------------------------------------
 
 
@@ -446,16 +480,25 @@ def centroid_by_label(spark, sf):
 
 
 _DENSE_SQL = """SELECT q.paper_id AS query_id, v.paper_id, round(list_dot_product(q.embedding, v.embedding), 9) AS score,
-      row_number() OVER (PARTITION BY q.paper_id ORDER BY round(list_dot_product(q.embedding, v.embedding), 9) DESC, v.paper_id)::INT AS rank FROM vectors q, vectors v WHERE q.paper_id < 20"""
+      row_number() OVER (PARTITION BY q.paper_id ORDER BY round(list_dot_product(q.embedding, v.embedding), 9) DESC, v.paper_id)::INT AS rank FROM vectors q, vectors v"""
+#: A benchmark item asks with the vector whose id is the item's modulo the number of vectors.
+_ITEM_DENSE_SQL = f"SELECT item_id AS query_id, d.paper_id, d.score, d.rank FROM benchmark JOIN ({_DENSE_SQL}) d ON d.query_id = item_id % (SELECT count(*) FROM vectors)"
 
 
 def _query_vectors(spark, sf):
-    return vector_table(spark, sf).where("paper_id < 20").select(F.col("paper_id").alias("query_id"), "embedding")
+    """Every vector is a query against all."""
+    return vector_table(spark, sf).select(F.col("paper_id").alias("query_id"), "embedding")
+
+
+def _item_vectors(spark, sf):
+    items = vector_table(spark, sf)
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(F.broadcast(items.agg(F.count(F.lit(1)).alias("n"))))
+    return asked.join(items, F.col("query_id") % F.col("n") == F.col("paper_id")).select("query_id", "embedding")
 
 
-@query("dense_topk", f"SELECT query_id, paper_id, rank, round(score, 6) AS score FROM ({_DENSE_SQL}) WHERE rank <= 50", "vectors")
+@query("dense_topk", f"SELECT query_id, paper_id, rank, score FROM ({_DENSE_SQL}) WHERE rank <= 50", "vectors")
 def dense_topk(spark, sf):
-    return vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 50).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
+    return vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 50).select("query_id", "paper_id", "rank", "score")
 
 
 @query("exclude_seen", f"""
@@ -477,18 +520,18 @@ _SPARSE_SQL = (
 
 
 def _sparse(spark, sf, k):
-    postings = fusion.term_weights(read(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "paper_id")
-    asked = fusion.term_weights(read(spark, sf, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    return asked, postings, fusion.sparse_topk(asked, postings, k)
+    items = sparse.term_vectors(read(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "paper_id")
+    asked = sparse.term_vectors(read(spark, sf, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+    return asked, items, sparse.sparse_topk(asked, items, k)
 
 
-@query("sparse_topk", f"WITH {_SPARSE_SQL} SELECT query_id, paper_id, round(score, 6) AS score, rank FROM sparse WHERE rank <= 50")
+@query("sparse_topk", f"WITH {_SPARSE_SQL} SELECT query_id, paper_id, score, rank FROM sparse WHERE rank <= 50")
 def sparse_topk(spark, sf):
-    return _sparse(spark, sf, 50)[2].select("query_id", "paper_id", F.round("score", 6).alias("score"), "rank")
+    return _sparse(spark, sf, 50)[2].select("query_id", "paper_id", "score", "rank")
 
 
 _RRF_SQL = f"""
-    WITH {_SPARSE_SQL}, dense AS ({_DENSE_SQL}),
+    WITH {_SPARSE_SQL}, dense AS ({_ITEM_DENSE_SQL}),
     terms AS (SELECT query_id, paper_id, 1.0::DOUBLE / (60 + rank) AS term, 0 AS l, rank FROM dense WHERE rank <= 60 UNION ALL SELECT query_id, paper_id, 1.0::DOUBLE / (60 + rank), 1, rank FROM sparse WHERE rank <= 60),
     summed AS (SELECT query_id, paper_id, round(sum(term), 12) AS rrf_score, min((l, rank)) AS seen FROM terms GROUP BY ALL),
     fused AS (SELECT query_id, paper_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen)::INT AS fused_rank FROM summed)"""
@@ -496,7 +539,7 @@ _RRF_SQL = f"""
 
 @query("rrf_fuse", _RRF_SQL + " SELECT query_id, paper_id, round(rrf_score, 9) AS rrf_score, fused_rank FROM fused", "vectors")
 def rrf_fuse(spark, sf):
-    fused = fusion.rrf([vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)[2]])
+    fused = fusion.rrf([vectors.dense_topk(_item_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)[2]])
     return fused.select("query_id", "paper_id", F.round("rrf_score", 9).alias("rrf_score"), "fused_rank")
 
 
@@ -508,44 +551,86 @@ _HYBRID_SQL = _RRF_SQL + f""",
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, fused_rank)::INT AS rank FROM final)"""
 
 
-@query("recency_rerank", _HYBRID_SQL + " SELECT query_id, paper_id, rank, round(final_score, 6) AS final_score FROM ranked", "vectors", "papers")
+@query("recency_rerank", _HYBRID_SQL + " SELECT query_id, paper_id, rank, final_score FROM ranked", "vectors", "papers")
 def recency_rerank(spark, sf):
-    fused = fusion.rrf([vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)[2]])
+    fused = fusion.rrf([vectors.dense_topk(_item_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)[2]])
     ranked = fusion.recency_rerank(fused.join(papers(spark, sf).select("paper_id", "arxiv_id"), "paper_id"), AS_OF_MONTH)
-    return ranked.select("query_id", "paper_id", "rank", F.round("final_score", 6).alias("final_score"))
+    return ranked.select("query_id", "paper_id", "rank", "final_score")
 
 
-@query("hybrid_search", _HYBRID_SQL + " SELECT query_id, rank, paper_id, round(final_score, 6) AS final_score, title FROM ranked WHERE rank <= 10", "vectors", "papers")
+@query("hybrid_search", _HYBRID_SQL + " SELECT query_id, rank, paper_id, final_score, title FROM ranked WHERE rank <= 10", "vectors", "papers")
 def hybrid(spark, sf):
     asked, postings, _ = _sparse(spark, sf, 1)
-    found = hybrid_search(_query_vectors(spark, sf), asked, vector_table(spark, sf), postings, papers(spark, sf), AS_OF_MONTH)
-    return found.withColumn("final_score", F.round("final_score", 6))
+    found = hybrid_search(_item_vectors(spark, sf), asked, vector_table(spark, sf), postings, papers(spark, sf), AS_OF_MONTH)
+    return found
+
+
+_REWRITE_SQL = r"""plain AS (SELECT item_id AS query_id, trim(text) AS q FROM benchmark),
+    judged AS (SELECT *, len(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '')) > 6
+      AND len(regexp_extract_all(q, '(?i)(?:\d{4}\.\d{4,5}|[A-Z]{2,}|transformer|attention|neural|network|\b(?:et\s+al|arxiv)\b)')) >= 2 AS academic, trim(trim(trim(trim(regexp_replace(q, '^\S+ ', '')), '"'), '''')) AS c FROM plain),
+    rewritten AS (SELECT query_id, CASE WHEN q = '' OR academic OR c = '' OR length(c) > 200 THEN q ELSE c END AS text FROM judged),
+    able AS (SELECT * FROM rewritten WHERE text <> '' AND length(text) % 5 <> 0),
+    words AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM rewritten WHERE text <> '' AND length(text) % 5 = 0)"""
+_AXIS_SQL = "SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY round(embedding[length(text) % 64 + 1], 9) DESC, paper_id)::INT AS rank FROM able, vectors"
+_SEARCH_SQL = (
+    f"WITH {_REWRITE_SQL}, {_BM25_SQL}, "
+    + _HYBRID_SQL.strip()[5:]
+    .replace(_TERMS.format(name="asked", key="item_id", alias="query_id", table="benchmark"), _TERMS.format(name="asked", key="query_id", alias="query_id", table="able"))
+    .replace(_ITEM_DENSE_SQL, _AXIS_SQL)
+    + " SELECT query_id, rank, paper_id, 'hybrid' AS origin FROM ranked WHERE rank <= 10 UNION ALL SELECT query_id, rank, doc_id, 'keyword' FROM by_words"
+)
+
+
+def _axis(texts: list[str]) -> list:
+    """An encoder for tests: the axis that a text's length names, and nothing for some lengths."""
+    return [None if len(t) % 5 == 0 else [float(i == len(t) % 64) for i in range(64)] for t in texts]
+
+
+def _searched(spark, sf):
+    queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    return queries, search(queries, vector_table(spark, sf), texts, papers(spark, sf), _axis, 64, AS_OF_MONTH, lambda q: F.regexp_replace(q, r"^\S+ ", ""))
+
+
+@query("search_text", _SEARCH_SQL, "vectors", "papers")
+def search_text(spark, sf):
+    return _searched(spark, sf)[1]
+
+
+@query("seed_search", f"""WITH found AS ({_SEARCH_SQL}) SELECT query_id, rank, paper_id, title, CASE WHEN paper_id % 3 = 0 THEN 'cache' ELSE 'remote' END AS origin
+    FROM (SELECT query_id, rank, paper_id FROM found WHERE rank <= 6) JOIN papers USING (paper_id)""", "vectors", "papers")
+def seed_search(spark, sf):
+    queries, found = _searched(spark, sf)
+    remote = papers(spark, sf).select("paper_id", "title").withColumn("origin", F.lit("remote"))
+    cache = remote.where("paper_id % 3 = 0").withColumn("origin", F.lit("cache"))
+    return seed_papers(queries, found, cache, remote).select("query_id", "rank", "paper_id", "title", "origin")
 
 
 @query("multi_interest_rrf", f"""
-    WITH d AS ({_DENSE_SQL}), t AS (SELECT query_id % 4 AS user_id, paper_id, 1.0::DOUBLE / (60 + rank) AS term, (query_id // 4, rank) AS seen FROM d WHERE rank <= 30),
+    WITH d AS ({_DENSE_SQL}), t AS (SELECT query_id // 5 AS user_id, paper_id, 1.0::DOUBLE / (60 + rank) AS term, (query_id % 5, rank) AS seen FROM d WHERE rank <= 30),
     f AS (SELECT user_id, paper_id, round(sum(term), 12) AS s, min(seen) AS seen FROM t GROUP BY ALL)
     SELECT user_id AS query_id, paper_id, round(s, 9) AS rrf_score, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, seen)::INT AS fused_rank FROM f QUALIFY fused_rank <= 100""", "vectors")
 def multi_interest_rrf(spark, sf):
+    """Five neighbouring vectors are a user's interests."""
     found = vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 30)
-    lists = [found.where(F.col("query_id").between(4 * i, 4 * i + 3)).withColumn("query_id", F.col("query_id") % 4) for i in range(5)]
+    lists = [found.where(F.col("query_id") % 5 == i).withColumn("query_id", F.expr("query_id div 5")) for i in range(5)]
     return fusion.rrf(lists).where("fused_rank <= 100").select("query_id", "paper_id", F.round("rrf_score", 9).alias("rrf_score"), "fused_rank")
 
 
 _BEST_SQL = """
-    WITH ex AS (SELECT label % 5 AS query_id, paper_id, embedding, label < 5 AS positive FROM vectors WHERE paper_id < 60),
+    WITH ex AS (SELECT label % 5 AS query_id, paper_id, embedding, label < 5 AS positive FROM vectors),
     near AS (SELECT e.query_id, v.paper_id, coalesce(max(round(list_dot_product(e.embedding, v.embedding), 9)) FILTER (positive), -2) AS good, coalesce(max(round(list_dot_product(e.embedding, v.embedding), 9)) FILTER (NOT positive), -1) AS bad
       FROM ex e, vectors v GROUP BY ALL),
     scored AS (SELECT query_id, paper_id, round(CASE WHEN good > bad THEN good ELSE -bad * bad END, 9) AS score FROM near n WHERE NOT EXISTS (FROM ex WHERE ex.query_id = n.query_id AND ex.paper_id = n.paper_id))
-    SELECT query_id, paper_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id)::INT AS rank FROM scored
+    SELECT query_id, paper_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id)::INT AS rank FROM scored
     WHERE query_id IN (SELECT query_id FROM ex WHERE positive) QUALIFY rank <= 10"""
 
 
 @query("best_score_recommend", _BEST_SQL.replace("SELECT label % 5 AS query_id", "SELECT (label % 5)::BIGINT AS query_id"), "vectors")
 def best_score_recommend(spark, sf):
     items = vector_table(spark, sf)
-    examples = items.where("paper_id < 60").select((F.col("label") % 5).cast("long").alias("query_id"), "paper_id", "embedding", (F.col("label") < 5).alias("positive"))
-    return ranking.best_score(examples, items, 10).withColumn("score", F.round("score", 6))
+    examples = items.select((F.col("label") % 5).cast("long").alias("query_id"), "paper_id", "embedding", (F.col("label") < 5).alias("positive"))
+    return ranking.best_score(examples, items, 10)
 
 
 # --- quotas, ranking, diversity --------------------------------------------------------------------------------------
@@ -583,7 +668,7 @@ def allocate_quotas(spark, sf):
 
 
 def _merge_sql() -> str:
-    lists = f"""lists AS (SELECT query_id % 5 AS user_id, query_id // 5 + 1 AS list_no, paper_id, rank, 8 - (query_id // 5) AS quota FROM ({_DENSE_SQL}) WHERE rank <= 30)"""
+    lists = f"""lists AS (SELECT query_id // 4 AS user_id, query_id % 4 + 1 AS list_no, paper_id, rank, 8 - query_id % 4 AS quota FROM ({_DENSE_SQL}) WHERE rank <= 30)"""
     steps = []
     for i in range(1, 5):
         before = f"AND NOT EXISTS (FROM t{i - 1} t WHERE t.user_id = l.user_id AND t.paper_id = l.paper_id)" if i > 1 else ""
@@ -594,7 +679,7 @@ def _merge_sql() -> str:
 
 def _lists(spark, sf):
     found = vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 30)
-    return found.select((F.col("query_id") % 5).alias("user_id"), F.floor(F.col("query_id") / 5 + 1).alias("list_no"), "paper_id", "rank", (8 - F.floor(F.col("query_id") / 5)).alias("quota"))
+    return found.select(F.expr("query_id div 4").alias("user_id"), (F.col("query_id") % 4 + 1).alias("list_no"), "paper_id", "rank", (8 - F.col("query_id") % 4).alias("quota"))
 
 
 @query("merge_quota", _merge_sql(), "vectors")
@@ -602,19 +687,18 @@ def merge_quota(spark, sf):
     return fusion.merge_quota(_lists(spark, sf))
 
 
-@query("cluster_attribution", f"SELECT query_id % 5 AS user_id, paper_id, min(query_id // 5 + 1) AS list_no FROM ({_DENSE_SQL}) WHERE rank <= 30 GROUP BY ALL", "vectors")
+@query("cluster_attribution", f"SELECT query_id // 4 AS user_id, paper_id, min(query_id % 4 + 1) AS list_no FROM ({_DENSE_SQL}) WHERE rank <= 30 GROUP BY ALL", "vectors")
 def cluster_attribution(spark, sf):
     return fusion.attribution(_lists(spark, sf))
 
 
 _FEATURES = f"""
-    {_NAMED}, lt AS (SELECT label, embedding AS p FROM vectors WHERE paper_id < 10), c AS (
+    {_NAMED}, c AS (
       SELECT v.label::BIGINT AS user_id, v.paper_id, v.embedding, published, row_number() OVER (PARTITION BY v.label ORDER BY v.paper_id) - 1 AS position FROM vectors v JOIN named USING (paper_id)),
-    one AS (SELECT * FROM vectors WHERE paper_id = 1),
     f AS (SELECT c.user_id, c.paper_id, position, date_diff('day', published::DATE, DATE '{AS_OF}') AS age,
       list_dot_product(c.embedding, o.embedding) / ((sqrt(list_dot_product(c.embedding, c.embedding)) + 1e-10) * (sqrt(list_dot_product(o.embedding, o.embedding)) + 1e-10)) AS lt_sim,
       list_dot_product(c.embedding, n.embedding) / ((sqrt(list_dot_product(c.embedding, c.embedding)) + 1e-10) * (sqrt(list_dot_product(n.embedding, n.embedding)) + 1e-10)) AS neg_sim
-      FROM c, one o, (SELECT * FROM vectors WHERE paper_id = 2) n)"""
+      FROM c LEFT JOIN vectors o ON o.paper_id = c.user_id + 1 LEFT JOIN vectors n ON n.paper_id = c.user_id + 20)"""
 
 
 def _featured(spark, sf):
@@ -623,9 +707,9 @@ def _featured(spark, sf):
     candidates = items.join(meta, "paper_id").select(
         F.col("label").cast("long").alias("user_id"), "paper_id", (F.row_number().over(W.partitionBy("label").orderBy("paper_id")) - 1).alias("position"), "embedding", "published", "category"
     )
-    one = lambda i, name: items.where(f"paper_id = {i}").select(F.col("embedding").alias(name))
     users = items.select(F.col("label").cast("long").alias("user_id")).distinct()
-    profiles = users.join(F.broadcast(one(1, "lt"))).join(F.broadcast(one(2, "neg"))).withColumn("st", F.lit(None).cast("array<double>"))
+    own = lambda first, name: items.select((F.col("paper_id") - first).alias("user_id"), F.col("embedding").alias(name))
+    profiles = users.join(own(1, "lt"), "user_id").join(own(20, "neg"), "user_id").withColumn("st", F.lit(None).cast("array<double>"))
     return ranking.features(candidates, profiles, AS_OF)
 
 
@@ -639,9 +723,9 @@ _SCORED = f"""{_FEATURES.strip()}, scored AS (SELECT user_id, paper_id, position
     - 0.15::DOUBLE * greatest(neg_sim, 0), 9) AS score FROM f), reranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, position)::INT AS rank FROM scored)"""
 
 
-@query("heuristic_score", f"WITH {_SCORED} SELECT user_id, paper_id, round(score, 6) AS score FROM scored", "vectors", "papers")
+@query("heuristic_score", f"WITH {_SCORED} SELECT user_id, paper_id, score FROM scored", "vectors", "papers")
 def heuristic_score(spark, sf):
-    return ranking.rerank(_featured(spark, sf)).select("user_id", "paper_id", F.round("score", 6).alias("score"))
+    return ranking.rerank(_featured(spark, sf)).select("user_id", "paper_id", "score")
 
 
 @query("rerank", f"WITH {_SCORED} SELECT user_id, paper_id, rank FROM reranked", "vectors", "papers")
@@ -655,7 +739,18 @@ def mmr_relevance(spark, sf):
     return ranking.relevance(ranking.rerank(_featured(spark, sf))).select("user_id", "paper_id", F.round("relevance", 6).alias("relevance"))
 
 
-@query("mmr")
+_MMR_SQL = f"""WITH {_SCORED}, pool AS (SELECT r.*, max(score) OVER u AS hi, min(score) OVER u AS lo, count(*) OVER u AS n, list_transform(embedding, lambda x: x / (sqrt(list_dot_product(embedding, embedding)) + 1e-10)) AS unit
+      FROM (SELECT * FROM reranked WHERE rank <= 100) r JOIN vectors USING (paper_id) WINDOW u AS (PARTITION BY user_id)),
+    cand AS (SELECT *, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS rel FROM pool WHERE n > 20),
+    s(user_id, step, ids, units) AS (SELECT DISTINCT user_id, 0, []::BIGINT[], []::DOUBLE[][] FROM cand UNION ALL
+      SELECT user_id, step + 1, list_append(ids, best.p), list_append(units, best.e) FROM (
+        SELECT s.user_id, s.step, any_value(s.ids) AS ids, any_value(s.units) AS units,
+          max({{'v': round(0.6::DOUBLE * c.rel - 0.4::DOUBLE * coalesce(list_max(list_transform(s.units, lambda e: round(list_dot_product(e, c.unit), 9))), 0), 9), 'r': -c.rank, 'p': c.paper_id, 'e': c.unit}}) AS best
+        FROM s JOIN cand c ON c.user_id = s.user_id AND NOT list_contains(s.ids, c.paper_id) WHERE s.step < 20 GROUP BY s.user_id, s.step))
+    SELECT user_id, unnest(ids) AS paper_id, generate_subscripts(ids, 1)::INT AS mmr_rank FROM s WHERE step = 20 UNION ALL SELECT user_id, paper_id, rank FROM pool WHERE n <= 20"""
+
+
+@query("mmr", _MMR_SQL, "vectors", "papers", recursive=True)
 def mmr(spark, sf):
     return ranking.mmr(ranking.rerank(_featured(spark, sf)).where("rank <= 100"), 20)
 
@@ -727,6 +822,50 @@ def rates(spark, sf):
     return evaluation.rates(interactions(spark, sf))
 
 
+@query("weighted_profile", f"""
+    WITH w AS (SELECT user_id, paper_id, CASE event_type WHEN 'save' THEN 1.0 WHEN 'click' THEN 0.3 WHEN 'not_interested' THEN -1.0 END::DOUBLE * pow(0.5::DOUBLE, date_diff('day', timestamp::DATE, DATE '{AS_OF}') / 30.0::DOUBLE) AS w
+      FROM interactions WHERE event_type IN ('save', 'click', 'not_interested'))
+    SELECT user_id, round(sum(w * embedding[1]) / sum(abs(w)), 6) AS first, round(sum(w * embedding[len(embedding)]) / sum(abs(w)), 6) AS last, round(sum(abs(w)), 6) AS weight FROM w JOIN vectors USING (paper_id) GROUP BY user_id""", "interactions", "vectors")
+def weighted_profile(spark, sf):
+    found = evaluation.weighted_profile(interactions(spark, sf), vector_table(spark, sf), AS_OF)
+    return found.select("user_id", F.round(F.col("profile")[0], 6).alias("first"), F.round(F.element_at("profile", -1), 6).alias("last"), F.round("weight", 6).alias("weight"))
+
+
+@query("dwell", """
+    WITH g AS (SELECT *, least((epoch_us(lead(timestamp) OVER u) - epoch_us(timestamp)) / 1e6::DOUBLE, 1800.0) AS gap, lead(id) OVER u AS after FROM interactions WINDOW u AS (PARTITION BY user_id ORDER BY timestamp, id))
+    SELECT user_id, round(avg(gap), 6) AS dwell_seconds FROM g WHERE event_type = 'click' AND after IS NOT NULL GROUP BY user_id""", "interactions")
+def dwell(spark, sf):
+    return evaluation.dwell(interactions(spark, sf))
+
+
+@query("novelty", f"SELECT query_id, count(*) FILTER (NOT EXISTS (FROM interactions i WHERE i.user_id = d.query_id AND i.paper_id = d.paper_id)) AS novel FROM ({_DENSE_SQL}) d WHERE rank <= 10 GROUP BY query_id", "vectors", "interactions")
+def novelty(spark, sf):
+    found = vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 10)
+    return evaluation.novelty(found, interactions(spark, sf).select(F.col("user_id").alias("query_id"), "paper_id"))
+
+
+@query("epsilon_greedy", f"""
+    WITH {_SCORED}, beyond AS (SELECT user_id, paper_id AS fresh, row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '|' || paper_id || '|0')) AS e FROM reranked WHERE rank > 20),
+    slots AS (SELECT user_id, slot::INT AS slot, ('0x' || substr(md5(user_id || '|' || slot || '|0'), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < 0.3 AS explored FROM (SELECT DISTINCT user_id FROM reranked), range(1, 21) t(slot)),
+    counted AS (SELECT *, count(*) FILTER (explored) OVER (PARTITION BY user_id ORDER BY slot) AS e FROM slots),
+    filled AS (SELECT c.user_id, slot, explored AND fresh IS NOT NULL AS explored, fresh, slot - count(*) FILTER (explored AND fresh IS NOT NULL) OVER (PARTITION BY c.user_id ORDER BY slot) AS x FROM counted c LEFT JOIN beyond b ON b.user_id = c.user_id AND b.e = c.e)
+    SELECT f.user_id, slot, CASE WHEN explored THEN fresh ELSE r.paper_id END AS paper_id, explored FROM filled f LEFT JOIN reranked r ON r.user_id = f.user_id AND r.rank = f.x WHERE explored OR r.paper_id IS NOT NULL""", "vectors", "papers")
+def epsilon_greedy(spark, sf):
+    return ranking.epsilon_greedy(ranking.rerank(_featured(spark, sf)), 20, 0.3)
+
+
+@query("learned_rerank")
+def learned_rerank(spark, sf):
+    featured = _featured(spark, sf)
+    labels = read(spark, sf, "labels").groupBy(F.col("doc_id").alias("paper_id")).agg(F.max("quality").alias("label"))
+    return ranking.learned_rerank(featured, featured.select("user_id", "paper_id").join(labels, "paper_id")).select("user_id", "paper_id", "rank")
+
+
+@query("factorised")
+def factorised(spark, sf):
+    return ranking.factorised(evaluation.affinity(interactions(spark, sf)), 10)
+
+
 @query("ndcg", f"""
     WITH {_SPARSE_SQL}, rel AS (SELECT query_id, doc_id AS paper_id, quality::DOUBLE AS gain FROM labels, (SELECT DISTINCT query_id FROM asked) WHERE doc_id % 40 = query_id % 40),
     best AS (SELECT query_id, sum(gain / log2(i + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, paper_id) AS i FROM rel QUALIFY i <= 10) GROUP BY query_id),
@@ -746,7 +885,7 @@ def time_split(spark, sf):
 
 @query("citation_rerank", f"""WITH d AS (SELECT * FROM ({_DENSE_SQL}) WHERE rank <= 20),
     j AS (SELECT query_id, paper_id, score AS relevance, greatest(0.0, 1.0 - greatest(0, {AS_OF_MONTH} - ((2000 + substr(arxiv_id, 1, 2)::INT) * 12 + substr(arxiv_id, 3, 2)::INT)) / 120.0::DOUBLE) AS recency, ln(1 + citation_count) AS c FROM d JOIN papers USING (paper_id)),
-    s AS (SELECT query_id, paper_id, round(0.7::DOUBLE * relevance + 0.25::DOUBLE * recency + 0.05::DOUBLE * CASE WHEN max(c) OVER q > 0 THEN c / max(c) OVER q ELSE 0 END, 9) AS score FROM j WINDOW q AS (PARTITION BY query_id))
+    s AS (SELECT query_id, paper_id, round(0.7::DOUBLE * relevance + 0.25::DOUBLE * recency + 0.05::DOUBLE * CASE WHEN max(c) OVER q > 0 THEN c / max(c) OVER q ELSE 0 END, 12) AS score FROM j WINDOW q AS (PARTITION BY query_id))
     SELECT query_id, paper_id, score FROM s""", "vectors", "papers")
 def citation_rerank(spark, sf):
     found = vectors.dense_topk(_query_vectors(spark, sf), vector_table(spark, sf), 20).join(papers(spark, sf), "paper_id")
@@ -804,7 +943,28 @@ def stream_windows(spark, sf):
     return _drained(spark, stream_window_counts(_event_stream(spark, sf)), "lumenfold_windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_user_state")
+def _newest(rows: DataFrame, version: str) -> DataFrame:
+    """Of a user's rows from several triggers, the last."""
+    rest = [c for c in rows.columns if c not in ("user_id", version)]
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*rest), version).alias("r"), F.max(version).alias(version)).select("user_id", "r.*", version)
+
+
+@query("stream_distinct", "SELECT id, user_id, paper_id, event_type FROM interactions", "interactions")
+def stream_distinct_events(spark, sf):
+    """Every event comes twice, as from a sender that repeats itself."""
+    twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return _drained(spark, stream_distinct(twice), "lumenfold_distinct", "append").select("id", "user_id", "paper_id", "event_type")
+
+
+for _kind, _event in (("long_term", "save"), ("negative", "not_interested")):
+
+    @query(f"stream_profile_{_kind}", _ewma_sql(_event, state.ALPHA[_kind]), "interactions", "vectors", recursive=True)
+    def stream_profiles(spark, sf, kind=_kind):
+        rows = _newest(_drained(spark, stream_profile(_event_stream(spark, sf), vector_table(spark, sf), kind), "lumenfold_profile", "update"), "n")
+        return rows.select("user_id", "n", F.round(F.col("profile")[0], 6).alias("first"), F.round(F.element_at("profile", -1), 6).alias("last"))
+
+
+@query("stream_user_state", ORACLE["user_state"])
 def stream_state(spark, sf):
-    rows = _drained(spark, stream_user_state(_event_stream(spark, sf)), "lumenfold_state", "update")
+    rows = _newest(_drained(spark, stream_user_state(_event_stream(spark, sf)), "lumenfold_state", "update"), "seen")
     return rows.select("user_id", joined(F.col("positives")).alias("positives"), joined(F.col("negatives")).alias("negatives"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 
 EPS = 1e-10
-#: Query vectors that travel with a task at once; more are sent in blocks.
-QUERY_BLOCK = 4096
+#: Query vectors, and items barred from them, that travel with a task at once; more are sent in blocks.
+QUERY_BLOCK, BARRED = 4096, 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,7 +90,10 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame
         asks = asks.withColumn("barred", F.lit(None).cast("array<bigint>"))
     else:
         asks = asks.join(exclude.groupBy(query).agg(F.collect_set(item).alias("barred")), query, "left")
-    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    if few and exclude is not None:
+        few = exclude.join(queries.select(query), query, "left_semi").limit(BARRED + 1).count() <= BARRED
+    if few:
         own = asks.collect()
         ids, barred = [r[query] for r in own], [r["barred"] for r in own]
         matrix = np.array([r[vector] for r in own], dtype=float)

@@ -16,6 +16,36 @@ def affinity(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "paper_id").agg(F.round(F.sum(weight), 9).alias("affinity"), F.max("timestamp").alias("last"))
 
 
+def weighted_profile(events: DataFrame, vectors: DataFrame, as_of: str, half_life_days: float = 30.0) -> DataFrame:
+    """``user_id``, ``profile``, ``weight``: mean of the vectors of a user's papers, by event weight and age.
+
+    Weights are ``AFFINITY``, halved every ``half_life_days``; the mean is over their absolute values.
+    """
+    weight = F.coalesce(*[F.when(F.col("event_type") == k, w) for k, w in AFFINITY.items()])
+    age = F.date_diff(F.lit(as_of).cast("date"), F.col("timestamp").cast("date"))
+    own = events.where(F.col("event_type").isin(list(AFFINITY))).withColumn("w", weight * F.pow(F.lit(0.5), age / half_life_days))
+    summed = own.groupBy("user_id", "paper_id").agg(F.sum("w").alias("w"), F.sum(F.abs("w")).alias("size"))
+    parts = summed.join(vectors.select("paper_id", F.posexplode("embedding").alias("i", "x")), "paper_id")
+    means = parts.groupBy("user_id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("size")).alias("m"), F.sum("size").alias("weight"))
+    row = F.array_sort(F.collect_list(F.struct("i", "m")))
+    return means.groupBy("user_id").agg(F.transform(row, lambda p: p["m"]).alias("profile"), F.max("weight").alias("weight"))
+
+
+def dwell(events: DataFrame, most_minutes: int = 30) -> DataFrame:
+    """``user_id``, ``dwell_seconds``: mean time from a click to the user's next event, at most ``most_minutes`` each."""
+    order = W.partitionBy("user_id").orderBy("timestamp", "id")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = (micros(F.lead("timestamp").over(order)) - micros(F.col("timestamp"))) / 1e6
+    gap = F.when(gap.isNotNull(), F.least(gap, F.lit(60.0 * most_minutes)))
+    return events.withColumn("gap", gap).where("event_type = 'click' AND gap IS NOT NULL").groupBy("user_id").agg(F.round(F.avg("gap"), 6).alias("dwell_seconds"))
+
+
+def novelty(ranked: DataFrame, seen: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id``, ``novel``: how many of the first k rows the query's user has not met (``query_id``, ``paper_id``)."""
+    known = seen.select("query_id", "paper_id").distinct().withColumn("known", F.lit(True))
+    return ranked.where(F.col("rank") <= k).join(known, ["query_id", "paper_id"], "left").groupBy("query_id").agg(F.count_if(F.col("known").isNull()).alias("novel"))
+
+
 def ndcg(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """``ndcg`` and ``hit`` of each query's first k rows; ``relevant``: ``query_id``, ``paper_id``, ``gain``."""
     ideal = relevant.withColumn("i", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("gain"), "paper_id"))).where(F.col("i") <= k)
@@ -45,7 +75,7 @@ def citation_rerank(fused: DataFrame) -> DataFrame:
     """Blend of relevance, recency and log citations: .70, .25, .05."""
     most = F.max(F.log1p("citations")).over(W.partitionBy("query_id"))
     score = 0.70 * F.col("relevance") + 0.25 * F.col("recency") + 0.05 * F.when(most > 0, F.log1p("citations") / most).otherwise(0.0)
-    scored = fused.withColumn("score", F.round(score, 9))
+    scored = fused.withColumn("score", F.round(score, 12))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "paper_id")))
 
 

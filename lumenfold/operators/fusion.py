@@ -14,7 +14,6 @@ from ..functions.scalars import id_recency
 RRF_K = 60
 SEMANTIC_WEIGHT, RECENCY_WEIGHT = 0.80, 0.20
 TOTAL_SLOTS, MIN_SLOTS = 100, 3
-MAX_CLUSTERS = 7
 
 
 def rrf(lists: list[DataFrame], k: int = RRF_K, query: str = "query_id", item: str = "paper_id") -> DataFrame:
@@ -54,21 +53,25 @@ def allocate_quotas(clusters: DataFrame, total: int = TOTAL_SLOTS, least: int =
 
 
 def merge_quota(lists: DataFrame, group: str = "user_id", item: str = "paper_id") -> DataFrame:
-    """Sequential merge of ranked lists (``list_no`` from 1, ``rank``, ``quota``): list by list, each takes its first
-    ``quota`` items that no earlier list took.  Returns ``position`` (from 1) and the ``list_no`` that took the item.
+    """Sequential merge of ranked lists (``list_no``, ``rank``, ``quota``): list by list, each takes its first ``quota``
+    items that no earlier list took.  Returns ``position`` (from 1) and the ``list_no`` that took the item.
 
-    One step per list for all groups at once; there are at most ``MAX_CLUSTERS`` lists.
+    One exchange by group and a fold over the group's rows in order, for any number of lists.  A group's lists are what
+    its quotas let through, so they fit a task.
     """
-    taken = None
-    for i in range(1, MAX_CLUSTERS + 1):
-        own = lists.where(F.col("list_no") == i)
-        own = own.withColumn("__first", F.row_number().over(W.partitionBy(group, item).orderBy("rank"))).where("__first = 1")
-        if taken is not None:
-            own = own.join(taken.select(group, item), [group, item], "left_anti")
-        own = own.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy("rank"))).where(F.col("__n") <= F.col("quota"))
-        own = own.select(group, item, "list_no", "rank")
-        taken = own if taken is None else taken.union(own)
-    return taken.withColumn("position", F.row_number().over(W.partitionBy(group).orderBy("list_no", "rank"))).drop("rank")
+    types = dict(lists.dtypes)
+    none = F.array().cast(f"array<struct<item: {types[item]}, list_no: {types['list_no']}>>")
+    rows = F.array_sort(F.collect_list(F.struct("list_no", "rank", F.col(item).alias("item"), "quota")))
+
+    def step(state, row):
+        n = F.when(state["list_no"] == row["list_no"], state["n"]).otherwise(0)
+        takes = (n < row["quota"]) & ~F.exists(state["taken"], lambda t: t["item"] == row["item"])
+        taken = F.when(takes, F.array_append(state["taken"], F.struct(row["item"].alias("item"), row["list_no"].alias("list_no")))).otherwise(state["taken"])
+        return F.struct(taken.alias("taken"), row["list_no"].alias("list_no"), (n + takes.cast("int")).cast("int").alias("n"))
+
+    start = F.struct(none.alias("taken"), F.lit(None).cast(types["list_no"]).alias("list_no"), F.lit(0).alias("n"))
+    merged = lists.groupBy(group).agg(F.aggregate(rows, start, step, lambda s: s["taken"]).alias("taken"))
+    return merged.select(group, F.posexplode("taken").alias("position", "t")).select(group, F.col("t.item").alias(item), "t.list_no", (F.col("position") + 1).alias("position"))
 
 
 def attribution(lists: DataFrame, group: str = "user_id", item: str = "paper_id") -> DataFrame:
@@ -85,22 +88,3 @@ def exclude_seen(ranked: DataFrame, seen: DataFrame, k: int, query: str = "query
     """Ranked rows without the seen ones, cut to k and ranked anew."""
     left = ranked.join(seen, [query, item], "left_anti")
     return left.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy("rank"))).where(F.col("rank") <= k)
-
-
-def sparse_topk(query_terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """``query_id``, ``paper_id``, ``score``, ``rank`` by inner product of term weights.
-
-    Terms are joined on equality; products are summed per (query, paper) partly before the exchange.
-    """
-    hits = postings.join(query_terms.withColumnRenamed("weight", "q_weight"), "term")
-    scored = hits.groupBy("query_id", "paper_id").agg(F.round(F.sum(F.col("weight") * F.col("q_weight")), 9).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "paper_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def term_weights(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``term`` weights of texts: term frequency over the root of its squares' sum."""
-    terms = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))).alias("term"))
-    counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(key)))
-    return counts.select(key, "term", (F.col("tf") / length).alias("weight"))

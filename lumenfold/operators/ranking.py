@@ -99,6 +99,58 @@ def explore(selected: DataFrame, candidates: DataFrame, n: int = EXPLORE, seed:
     return left.withColumn("explore_rank", F.row_number().over(W.partitionBy(group).orderBy(draw))).where(F.col("explore_rank") <= n)
 
 
+def epsilon_greedy(ranked: DataFrame, k: int, epsilon: float = 0.1, seed: str = "0", group: str = "user_id") -> DataFrame:
+    """``slot`` (1 to k), ``paper_id``, ``explored``: each slot explores with probability ``epsilon``, by a hash of group and slot.
+
+    Slots that exploit take the best rows in order; those that explore take rows beyond the first k in hash order, and
+    the next best ones where there are none.
+    """
+    fraction = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    key = F.col(group).cast("string")
+    slots = ranked.select(group).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    slots = slots.withColumn("explored", fraction(key, F.col("slot").cast("string"), F.lit(seed)) < epsilon)
+    order = W.partitionBy(group).orderBy("slot")
+    n = F.count_if("explored").over(order)
+    slots = slots.withColumns({"explores": n, "exploits": F.col("slot") - n})
+    draw = F.md5(F.concat_ws("|", key, F.col("paper_id").cast("string"), F.lit(seed)))
+    beyond = ranked.where(F.col("rank") > k).select(group, "paper_id", F.row_number().over(W.partitionBy(group).orderBy(draw)).alias("explores"))
+    filled = slots.join(beyond.withColumnRenamed("paper_id", "new"), [group, "explores"], "left").withColumn("explored", F.col("explored") & F.col("new").isNotNull())
+    filled = filled.withColumn("exploits", F.col("slot") - F.count_if("explored").over(order))
+    best = ranked.where(F.col("rank") <= k).select(group, F.col("rank").alias("exploits"), "paper_id")
+    filled = filled.join(best, [group, "exploits"], "left")
+    paper = F.when(F.col("explored"), F.col("new")).otherwise(F.col("paper_id"))
+    return filled.select(group, "slot", paper.alias("paper_id"), "explored").where("paper_id IS NOT NULL")
+
+
+FEATURES = ["lt_sim", "st_sim", "neg_sim", "age", "position"]
+
+
+def learned_rerank(featured: DataFrame, labels: DataFrame, rounds: int = 20) -> DataFrame:
+    """``rank`` by gradient-boosted trees fitted on ``labels`` (``user_id``, ``paper_id``, ``label`` 0 or 1) over the features.
+
+    A stand-in for a pairwise learned ranker; candidates without a label are ranked too.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(featured.select("user_id", "paper_id", *FEATURES))
+    known = rows.join(labels.select("user_id", "paper_id", F.col("label").cast("double").alias("label")), ["user_id", "paper_id"])
+    model = GBTRegressor(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=3, seed=0).fit(known)
+    scored = model.transform(rows.select("user_id", "paper_id", "position", "x")).withColumnRenamed("prediction", "score")
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), "position"))
+    return scored.select("user_id", "paper_id", "score", rank.alias("rank"))
+
+
+def factorised(affinity: DataFrame, k: int, dims: int = 16, rounds: int = 5) -> DataFrame:
+    """``user_id``, ``paper_id``, ``rank``: the k best papers per user by matrix factorisation of positive ``affinity``."""
+    from pyspark.ml.recommendation import ALS
+
+    positive = affinity.where("affinity > 0").select(F.col("user_id").cast("int"), F.col("paper_id").cast("int"), F.col("affinity").cast("float"))
+    model = ALS(rank=dims, maxIter=rounds, implicitPrefs=True, seed=0, userCol="user_id", itemCol="paper_id", ratingCol="affinity").fit(positive)
+    found = model.recommendForAllUsers(k).select("user_id", F.posexplode("recommendations").alias("i", "r"))
+    return found.select(F.col("user_id").cast("long"), F.col("r.paper_id").cast("long").alias("paper_id"), (F.col("i") + 1).alias("rank"))
+
+
 def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """``query_id``, ``paper_id``, ``score``, ``rank``: items nearest to any positive example and not nearer a negative.
 

@@ -27,6 +27,38 @@ def with_fallback(keys: DataFrame, first: DataFrame, second: DataFrame, key: str
     return hit.unionByName(lookup(second, missing, key))
 
 
+def write_back(keys: DataFrame, cache: DataFrame, remote: DataFrame, key: str) -> DataFrame:
+    """The cache after a read through it: its rows, and those of ``remote`` for the keys that it lacked."""
+    missing = keys.select(key).distinct().join(cache, key, "left_anti")
+    return cache.unionByName(lookup(remote, missing, key))
+
+
+def clean_corpus(raw: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """Rows with a key and with some text left, white space made single; the first (by its texts) of each key."""
+    plain = raw.where(F.col(key).isNotNull() & (F.trim(key) != "")).withColumns({c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")) for c in texts})
+    filled = plain.where(F.concat(*texts) != "")
+    return filled.groupBy(key).agg(F.min(F.struct(*texts, *[c for c in raw.columns if c not in (key, *texts)])).alias("r")).select(key, "r.*")
+
+
+def build_papers(metadata: DataFrame, citations: DataFrame) -> DataFrame:
+    """Metadata rows (``id``) with ``citation_count`` and ``influential_citations`` (0 without any), one row for each id.
+
+    ``citations`` has ``arxiv_id_clean``; of repeated rows there the highest counts stand.
+    """
+    counts = ("citation_count", "influential_citations")
+    cited = citations.groupBy(F.col("arxiv_id_clean").alias("id")).agg(*[F.max(F.col(c).try_cast("int")).alias(c) for c in counts])
+    rest = [c for c in metadata.columns if c != "id"]
+    once = metadata.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*rest)).alias("r")).select("id", "r.*")
+    return once.join(cited, "id", "left").select("id", *rest, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
+def collection_stats(items: DataFrame, vector: str = "embedding") -> DataFrame:
+    """One row: ``points``, ``ids`` (distinct), ``dims`` (distinct), ``missing`` (rows without a vector)."""
+    return items.agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("paper_id").alias("ids"), F.count_distinct(F.size(vector)).alias("dims"), F.count_if(F.col(vector).isNull()).alias("missing")
+    )
+
+
 def flagged(rows: DataFrame, marks: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """A boolean column per mark: whether the row's keys are in the marked set."""
     for name, marked in marks.items():

@@ -8,21 +8,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.sparse import keyword_topk, sparse_topk, term_counts, term_vectors
 from ..functions.vectors import dense_topk
-from ..operators.fusion import recency_rerank, rrf, sparse_topk
+from ..operators.fusion import recency_rerank, rrf
+from ..operators.tables import with_fallback
+from ..sources.staging import staged
 
 #: Rows fetched per leg for each row returned (fixed value).
 OVERFETCH = 6
 
 
-def hybrid_search(query_vectors: DataFrame, query_terms: DataFrame, vectors: DataFrame, postings: DataFrame, papers: DataFrame, as_of_month: int, limit: int = 10) -> DataFrame:
+def hybrid_search(query_vectors: DataFrame, query_terms: DataFrame, vectors: DataFrame, item_terms: DataFrame, papers: DataFrame, as_of_month: int, limit: int = 10) -> DataFrame:
     """``query_id``, ``rank``, ``paper_id``, ``final_score`` and metadata.  A leg without rows leaves the other's order."""
     n = limit * OVERFETCH
-    fused = rrf([dense_topk(query_vectors, vectors, n), sparse_topk(query_terms, postings, n)])
+    fused = rrf([dense_topk(query_vectors, vectors, n), sparse_topk(query_terms, item_terms, n)])
     ranked = recency_rerank(fused.join(papers.select("paper_id", "arxiv_id", "title"), "paper_id"), as_of_month)
     return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "paper_id", "final_score", "title")
 
 
+def search(queries: DataFrame, vectors: DataFrame, texts: DataFrame, papers: DataFrame, encoder, dim: int, as_of_month: int, rewriter=None, limit: int = 10) -> DataFrame:
+    """``query_id``, ``rank``, ``paper_id``, ``origin`` for queries given as ``text``: rewritten, encoded, searched.
+
+    ``texts``: ``paper_id``, ``text`` of the items.  Queries that the encoder gives nothing for are answered by keyword
+    relevance (``origin`` keyword, else hybrid).  Blank queries give no rows.
+    """
+    asked = staged(rewrite_queries(queries, rewriter).select("query_id", "query").where("query <> ''"), "search-queries")
+    encoded = staged(encode(asked, encoder, dim, "query_id", "query"), "search-vectors")
+    able = encoded.where("embedding IS NOT NULL")
+    own = asked.join(able, "query_id", "left_semi")
+    found = hybrid_search(able, term_vectors(own, "query_id", "query"), vectors, term_vectors(texts, "paper_id"), papers, as_of_month, limit)
+    other = term_counts(asked.join(able, "query_id", "left_anti"), "query_id", "query")
+    by_words = keyword_topk(other, term_counts(texts, "paper_id"), limit)
+    columns = ("query_id", "rank", "paper_id")
+    return found.select(*columns, F.lit("hybrid").alias("origin")).union(by_words.select(*columns, F.lit("keyword")))
+
+
+def seed_papers(queries: DataFrame, found: DataFrame, cache: DataFrame, remote: DataFrame, limit: int = 6) -> DataFrame:
+    """The onboarding search: metadata of the first rows ``found``, from the cache or else from the remote table."""
+    top = staged(found.where(F.col("rank") <= limit).join(queries.select("query_id"), "query_id", "left_semi").select("query_id", "rank", "paper_id"), "search-top")
+    return top.join(with_fallback(top, cache, remote, "paper_id"), "paper_id")
+
+
 def rewrite_queries(queries: DataFrame, rewriter=None, text: str = "text") -> DataFrame:
     """``query``: the text as a rewriter (a function from column to column; none keeps it) would have it.
 
@@ -34,7 +60,8 @@ def rewrite_queries(queries: DataFrame, rewriter=None, text: str = "text") -> Da
 
 
 def encode(texts: DataFrame, encoder, dim: int, key: str, text: str = "text") -> DataFrame:
-    """``key``, ``embedding`` by ``encoder`` (a function from a list of strings to a matrix); blank texts give zeros.
+    """``key``, ``embedding`` by ``encoder`` (a function from a list of strings to vectors, or None where it has none);
+    blank texts give zeros.
 
     The encoder runs on batches inside the tasks; texts are not exchanged.
     """
@@ -42,10 +69,11 @@ def encode(texts: DataFrame, encoder, dim: int, key: str, text: str = "text") ->
     def run(batches):
         for batch in batches:
             plain = [(t or "").strip() for t in batch[text]]
-            matrix = np.zeros((len(plain), dim))
+            rows: list = [np.zeros(dim)] * len(plain)
             filled = [i for i, t in enumerate(plain) if t]
             if filled:
-                matrix[filled] = np.asarray(encoder([plain[i] for i in filled]), dtype=float)
-            yield pd.DataFrame({key: batch[key], "embedding": list(matrix)})
+                for i, vector in zip(filled, encoder([plain[i] for i in filled]), strict=True):
+                    rows[i] = None if vector is None else np.asarray(vector, dtype=float)
+            yield pd.DataFrame({key: batch[key], "embedding": rows})
 
     return texts.select(key, text).mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<double>")

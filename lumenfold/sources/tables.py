@@ -19,17 +19,18 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata rows: ids of the form YYMM.NNNNN made from the key, category from the source."""
+    """Metadata rows: ids of the form YYMM.NNNNN made from the key, category from the source; the first sentence is the title,
+    the whole text the abstract."""
     yy, mm = F.expr("lpad(7 + doc_id % 18, 2, '0')"), F.expr("lpad(1 + doc_id % 12, 2, '0')")
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("paper_id"),
         F.concat(yy, mm, F.lit("."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("arxiv_id"),
-        F.substring("text", 1, 80).alias("title"),
+        F.split_part("text", F.lit("."), F.lit(1)).alias("title"),
         F.expr("concat('Author ', doc_id % 7, ', , Author ', doc_id % 5, ',Author ', doc_id % 3)").alias("authors"),
         F.concat_ws(" ", "source", "lang").alias("categories"),
         F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("primary_topic"),
         F.concat(F.lit("20"), yy, F.lit("-"), mm, F.lit("-01")).alias("update_date"),
-        F.substring("text", 1, 500).alias("abstract_preview"),
+        F.col("text").alias("abstract_preview"),
         (F.col("n_chars") % 1000).cast("int").alias("citation_count"),
     )
 
@@ -46,10 +47,10 @@ SQL = {
         ts AS timestamp FROM events)""",
     "papers": """papers AS (SELECT doc_id AS paper_id,
         lpad((7 + doc_id % 18)::VARCHAR, 2, '0') || lpad((1 + doc_id % 12)::VARCHAR, 2, '0') || '.' || lpad(doc_id::VARCHAR, 5, '0') AS arxiv_id,
-        substr(text, 1, 80) AS title, 'Author ' || doc_id % 7 || ', , Author ' || doc_id % 5 || ',Author ' || doc_id % 3 AS authors,
+        split_part(text, '.', 1) AS title, 'Author ' || doc_id % 7 || ', , Author ' || doc_id % 5 || ',Author ' || doc_id % 3 AS authors,
         concat_ws(' ', source, lang) AS categories, CASE WHEN doc_id % 5 <> 0 THEN source END AS primary_topic,
         '20' || lpad((7 + doc_id % 18)::VARCHAR, 2, '0') || '-' || lpad((1 + doc_id % 12)::VARCHAR, 2, '0') || '-01' AS update_date,
-        substr(text, 1, 500) AS abstract_preview, (n_chars % 1000)::INT AS citation_count FROM documents)""",
+        text AS abstract_preview, (n_chars % 1000)::INT AS citation_count FROM documents)""",
     "vectors": "vectors AS (SELECT vec_id AS paper_id, embedding::DOUBLE[] AS embedding, label FROM embeddings)",
 }
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.functions import scalars
+from lumenfold.functions import scalars, sparse
 from lumenfold.operators import clustering, evaluation, fusion, ranking, state, tables
 from lumenfold.streaming.state import apply_event
 
@@ -50,6 +50,58 @@ def test_merge_quota_is_sequential(spark):
     assert [(r["paper_id"], r["list_no"]) for r in out] == [(10, 1), (11, 1), (12, 2), (13, 2)]
 
 
+def test_merge_quota_takes_any_number_of_lists_in_one_exchange(spark):
+    lists = [(u, n, 10 * n + i - u % 2, i, 3) for u in (1, 2) for n in range(1, 10) for i in range(12)]
+    merged = fusion.merge_quota(spark.createDataFrame(lists, "user_id long, list_no int, paper_id long, rank int, quota int"))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {}
+    for r in merged.collect():
+        got.setdefault(r["user_id"], []).append((r["position"], r["paper_id"], r["list_no"]))
+    for u, rows in got.items():
+        expected, taken = [], set()
+        for n in range(1, 10):
+            own = [p for _, m, p, *_ in sorted(x for x in lists if x[0] == u) if m == n and p not in taken][:3]
+            taken |= set(own)
+            expected += [(p, n) for p in own]
+        assert [(p, n) for _, p, n in sorted(rows)] == expected and len(expected) == 27
+
+
+def test_sparse_topk_in_blocks_equals_plain_products(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(["the"] * int(rng.integers(0, 4)) + [f"{chr(97 + x)}{chr(97 + y)}" for x, y in rng.integers(0, 6, (int(rng.integers(0, 9)), 2))])) for i in range(300)]
+    texts = spark.createDataFrame([*rows, (900, None)], "paper_id long, text string")
+    items = sparse.term_vectors(texts, "paper_id")
+    asks = items.where("paper_id % 3 = 0").withColumnRenamed("paper_id", "query_id")
+    vectors = {r["paper_id"]: dict(zip(r["terms"], r["weights"], strict=True)) for r in items.collect()}
+    expected = []
+    for q in (q for q in vectors if q % 3 == 0):
+        scored = [(-round(sum(w * vectors[p].get(t, 0) for t, w in vectors[q].items()), 9), p) for p in vectors if vectors[q].keys() & vectors[p].keys()]
+        expected += [(q, p, r + 1) for r, (_, p) in enumerate(sorted(scored)[:5])]
+    for block in (2048, 7):
+        monkeypatch.setattr(sparse, "QUERY_BLOCK", block)
+        monkeypatch.setattr(sparse, "_CELLS", 2000)
+        got = [(r["query_id"], r["paper_id"], r["rank"]) for r in sparse.sparse_topk(asks, items, 5).collect()]
+        assert sorted(got) == sorted(expected)
+    assert sparse.keyword_topk(asks.limit(0), items, 5).count() == 0
+
+
+def test_late_events_take_their_place_in_the_stream(spark, tmp_path):
+    from lumenfold.streaming.state import stream_user_state
+
+    schema = "id long, user_id long, paper_id long, event_type string, timestamp timestamp_ntz"
+    events = [(i, 1, i % 30, "save" if i % 3 else "not_interested", f"2024-01-01 00:{i // 60:02}:{i % 60:02}") for i in range(200)]
+    table = spark.createDataFrame(events, "id long, user_id long, paper_id long, event_type string, t string").selectExpr("id", "user_id", "paper_id", "event_type", "to_timestamp_ntz(t) AS timestamp")
+    for part in ("id < 150 AND id % 7 <> 0", "id >= 150 OR id % 7 = 0"):
+        table.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    rows = []
+    run = stream_user_state(stream).writeStream.outputMode("update").foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = max(rows, key=lambda r: r["seen"])
+    batch = state.user_state(table).first()
+    assert last["seen"] == 200 and (last["positives"], last["negatives"]) == (batch["positives"], batch["negatives"])
+
+
 @pytest.mark.parametrize(
     ("raw", "expected"),
     [("2301.00001v2", "2301.00001"), ("arxiv:1706.03762", "1706.03762"), ("https://arxiv.org/abs/1706.03762v5", "1706.03762"), (" 2401.1 ", "2401.1"), ("hep-th/9901001v1", "hep-th"), ("arXiv:1706.03762", "arXi"), ("", "")],
