@@ -4,7 +4,9 @@ Vectors are packed in blocks, each with a table of distances to fixed pivots.  I
 more coordinate: with M the largest norm of a block, x is extended by sqrt(M*M - |x|*|x|) and a query by 0, so
 distance**2 = |q|**2 + M**2 - 2 q.x.  For a query, the largest difference of its and a candidate's pivot distances
 is a lower bound of their distance; candidates are evaluated in the order of this bound until it exceeds the k-th best
-distance.  Blocks of queries meet blocks of candidates over their numbers, and the best of all blocks are merged.
+distance.  A query's k-th best score among a few fixed rows is a floor from the start.  Blocks hold rows near the same
+pivot; a block of queries meets a block of candidates only if their ranges of pivot distances let some pair reach the
+floor, and the best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from .common import arrow_batches, staged
 PIVOTS = 24
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
+#: Rows whose scores give each query's first floor; the floor changes what is evaluated, never what is found.
+SCOUTS = 1024
+#: Parts in which summaries of blocks meet.
+_PARTS = 64
 #: Pairs of blocks in a batch handed to Python; each holds a few MB.
 BATCH_BLOCKS = 8
 #: Candidates evaluated between two looks at the bound.
@@ -37,10 +43,12 @@ def _matrix(rows) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.int64) for v in rows])
 
 
-def _pivot_rows(vectors: DataFrame, dim: int) -> np.ndarray:
-    """The vectors with the smallest digests of their ids: a fixed small number, the same for any order of the input."""
-    chosen = vectors.where(F.size("v") == dim).orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id", "v").limit(PIVOTS)
-    return _matrix(r["v"] for r in chosen.collect()).astype(float)
+def _fixed_rows(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors with the smallest digests of their ids: a fixed small number, the same for any order of the input.
+
+    The first of them are the pivots, all are scouts."""
+    chosen = vectors.where(F.size("v") == dim).orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id", "v").limit(SCOUTS).collect()
+    return np.array([r["vec_id"] for r in chosen], dtype=np.int64), _matrix(r["v"] for r in chosen)
 
 
 def _distances(rows: np.ndarray, pivots: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -56,16 +64,27 @@ def _exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return rows @ query
 
 
-def _best(query_id: int, query: np.ndarray, reach: np.ndarray, block: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the block's k best for one query, ties to smaller ids."""
+def _floors(ids: np.ndarray, rows: np.ndarray, scout_ids: np.ndarray, scouts: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among the scouts that are not itself; none where they are too few."""
+    out = np.full(len(ids), -np.inf)
+    for i, (own, row) in enumerate(zip(ids, rows, strict=True)):
+        scores = _exact_scores(scouts, row)[scout_ids != own]
+        if len(scores) >= k:
+            out[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+    return out
+
+
+def _best(query_id: int, query: np.ndarray, reach: np.ndarray, block: dict, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the block's k best for one query, ties to smaller ids; scores below the floor may be missing."""
     bound = np.abs(block["table"] - reach).max(axis=1)
     order = np.argsort(bound, kind="stable")
     limit = float((query.astype(float) ** 2).sum() + block["most"])
     ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for at in range(0, len(order), _STEP):
-        if len(scores) == k:
+        known = max(floor, float(scores[-1])) if len(scores) == k else floor
+        if known > -np.inf:
             # The k-th best distance, with room for rounding: whoever is farther can't tie.
-            worst = np.sqrt(max(limit - 2 * float(scores[-1]), 0.0))
+            worst = np.sqrt(max(limit - 2 * known, 0.0))
             if bound[order[at]] > worst + 1e-6 * (1 + np.sqrt(limit)):
                 break
         own = order[at : at + _STEP]
@@ -77,6 +96,20 @@ def _best(query_id: int, query: np.ndarray, reach: np.ndarray, block: dict, k: i
     return ids, scores
 
 
+def _worth_meeting(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """(``query_block``, ``block``) whose summaries let some query's score reach its floor.
+
+    The distance of any two is at least the gap between their ranges at each pivot, which bounds their inner product.
+    Summaries are a few hundred bytes for thousands of rows; they meet in parts, not in one task.
+    """
+    left = queries.select("dim", "query_block", F.col("low").alias("q_low"), F.col("high").alias("q_high"), F.col("most").alias("q_most"), "floor", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
+    right = candidates.select("dim", "block", "low", "high", "most", F.pmod(F.xxhash64("block"), F.lit(_PARTS)).cast("int").alias("part"))
+    gaps = F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("q_low", "q_high"), lambda c, q: F.greatest(c["low"] - q["q_high"], q["q_low"] - c["high"], F.lit(0.0)))
+    gap = F.array_max(gaps)
+    room = 1e-6 * (1 + F.col("most") + F.col("q_most"))
+    return left.join(right, ["dim", "part"]).where((F.col("q_most") + F.col("most") - gap * gap) / 2 + room >= F.col("floor")).select("query_block", "block")
+
+
 def top_k(table: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` of each query's k best among all rows but its own.
 
@@ -89,8 +122,18 @@ def top_k(table: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5,
     vectors = table.select(F.col(key).cast("long").alias("vec_id"), quantise(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     vectors = staged(vectors, "topk-vectors")
     dims = [r["d"] for r in vectors.select(F.size("v").alias("d")).distinct().collect()]
-    pivots = {d: _pivot_rows(vectors, d) for d in dims}
-    schema = "dim int, n int, ids binary, rows binary, distances binary, most double"
+    fixed = {d: _fixed_rows(vectors, d) for d in dims}
+    pivots = {d: rows[:PIVOTS].astype(float) for d, (_, rows) in fixed.items()}
+    schema = "dim int, n int, ids binary, rows binary, distances binary, floors binary, low array<double>, high array<double>, most double, floor double"
+
+    def near(batches):
+        for batch in batches:
+            place = np.zeros(len(batch), dtype=np.int32)
+            sizes = batch["v"].map(len).to_numpy()
+            for dim in np.unique(sizes):
+                rows = _matrix(batch["v"][sizes == dim]).astype(float)
+                place[sizes == dim] = _distances(rows, pivots[dim], np.zeros(len(rows))).argmin(axis=1)
+            yield batch.assign(near=place)
 
     def pack(rows_per_block: int, extended: bool):
         def step(batches):
@@ -98,22 +141,25 @@ def top_k(table: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5,
                 for dim, own in batch.groupby(batch["v"].map(len)):
                     for at in range(0, len(own), rows_per_block):
                         part = own.iloc[at : at + rows_per_block]
-                        rows = _matrix(part["v"])
+                        rows, ids = _matrix(part["v"]), part["vec_id"].to_numpy(np.int64)
                         norms = (rows.astype(float) ** 2).sum(axis=1)
-                        most = float(norms.max()) if extended else 0.0
+                        most = float(norms.max())
                         far = _distances(rows.astype(float), pivots[dim], most - norms if extended else np.zeros(len(rows)))
-                        yield pd.DataFrame([{"dim": dim, "n": len(rows), "ids": part["vec_id"].to_numpy(np.int64).tobytes(), "rows": rows.tobytes(), "distances": far.tobytes(), "most": most}])
+                        floors = np.zeros(0) if extended else _floors(ids, rows, *fixed[dim], k)
+                        packed = {"ids": ids, "rows": rows, "distances": far, "floors": floors}
+                        yield pd.DataFrame([{"dim": dim, "n": len(rows), **{c: x.tobytes() for c, x in packed.items()}, "low": far.min(axis=0), "high": far.max(axis=0), "most": most, "floor": floors.min(initial=np.inf)}])
 
         return step
 
-    candidates = vectors.mapInPandas(pack(BLOCK_ROWS, True), schema).withColumn("block", F.monotonically_increasing_id())
+    # Rows near the same pivot lie together within a task, so blocks are narrow; nothing is exchanged for it.
+    placed = vectors.mapInPandas(near, "vec_id long, v array<long>, near int").sortWithinPartitions("near", "vec_id")
+    candidates = placed.mapInPandas(pack(BLOCK_ROWS, True), schema).withColumn("block", F.monotonically_increasing_id())
     candidates = staged(candidates, "topk-candidates")
-    queries = vectors.where(queries_where).mapInPandas(pack(QUERY_ROWS, False), schema)
+    queries = placed.where(queries_where).mapInPandas(pack(QUERY_ROWS, False), schema)
     queries = staged(queries.withColumn("query_block", F.monotonically_increasing_id()), "topk-queries")
-    # Every block of queries is wanted by every block of candidates of its dimension: it is sent to each by number.
-    numbers = candidates.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    sent = queries.join(numbers, "dim").select("query_block", F.explode("blocks").alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "rows", "distances")])
-    met = candidates.join(sent, "block").select("dim", "n", "ids", "rows", "distances", "most", "query_block", "q_n", "q_ids", "q_rows", "q_distances")
+    pairs = _worth_meeting(candidates, queries)
+    sent = queries.join(pairs, "query_block").select("query_block", "block", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "rows", "distances", "floors")])
+    met = candidates.join(sent, "block").select("dim", "n", "ids", "rows", "distances", "most", "query_block", *[f"q_{c}" for c in ("n", "ids", "rows", "distances", "floors")])
 
     def search(batches):
         for batch in batches:
@@ -126,7 +172,8 @@ def top_k(table: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5,
                 }
                 ids = np.frombuffer(r.q_ids, dtype=np.int64)
                 rows, reach = np.frombuffer(r.q_rows, dtype=np.int64).reshape(r.q_n, r.dim), np.frombuffer(r.q_distances).reshape(r.q_n, -1)
-                found = [_best(int(ids[i]), rows[i], reach[i], block, k) for i in range(r.q_n)]
+                floors = np.frombuffer(r.q_floors)
+                found = [_best(int(ids[i]), rows[i], reach[i], block, k, floors[i]) for i in range(r.q_n)]
                 sizes = [len(x) for x, _ in found]
                 yield pd.DataFrame(
                     {

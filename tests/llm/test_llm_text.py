@@ -119,6 +119,38 @@ def test_top_k_skips_candidates():
     assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == order
 
 
+def test_top_k_eliminates_in_many_dimensions(spark, monkeypatch):
+    """Clustered vectors of 64 dimensions: a third of the block pairs never meet, and of the rest part of the rows is evaluated."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    unit = centres[rng.integers(0, 12, 4000)] + rng.normal(size=(4000, 64)) * 0.01
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(unit / np.linalg.norm(unit, axis=1, keepdims=True))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    met = []
+    worth = topk._worth_meeting
+    monkeypatch.setattr(topk, "_worth_meeting", lambda c, q: met.append((worth(c, q).count(), c.count() * q.count())) or worth(c, q))
+    got = sorted(map(tuple, topk.top_k(table).collect()))
+    whole = np.floor(np.array([v for _, v in rows], dtype=np.float32).astype(float) * 256).astype(np.int64)
+    expected = []
+    for q in range(0, 4000, 50):
+        best = sorted((-int(s), j) for j, s in enumerate(whole @ whole[q]) if j != q)[:5]
+        expected += [(q, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(expected)
+    assert met[0][0] < 0.7 * met[0][1]
+    norms = (whole.astype(float) ** 2).sum(axis=1)
+    pivots = whole[:24].astype(float)
+    block = {"ids": np.arange(4000), "rows": whole, "table": topk._distances(whole.astype(float), pivots, norms.max() - norms), "most": norms.max()}
+    seen = []
+    exact = topk._exact_scores
+    monkeypatch.setattr(topk, "_exact_scores", lambda r, q: seen.append(len(r)) or exact(r, q))
+    monkeypatch.setattr(topk, "_STEP", 64)
+    topk._best(0, whole[0], topk._distances(whole[:1].astype(float), pivots, np.zeros(1))[0], block, 5)
+    assert sum(seen) < 2000
+
+
 # --- fingerprints
 
 
