@@ -12,7 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,30 +31,30 @@ BM25_K, BM25_B = 1.2, 0.75
 _WORDS = re.compile("[a-z]+")
 
 
-def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key``, ``terms``, ``weights``: how often each word (a run of a to z, lower-cased) occurs; no rows are exchanged.
+def term_counts(texts: DataFrame, key: str, text: str = "text", unit: bool = False) -> DataFrame:
+    """``key``, ``terms``, ``weights``, ``total``: how often each word (a run of a to z, lower-cased) occurs, and all words.
 
-    Null texts and those without words have empty arrays.
+    With ``unit``, weights are scaled to unit length.  No rows are exchanged; null texts and those without words have
+    empty arrays.
     """
 
     def count(batches):
         for batch in batches:
             found = [Counter(_WORDS.findall(t)) if isinstance(t, str) else Counter() for t in batch["text"]]
-            yield pd.DataFrame({key: batch[key], "terms": [list(c) for c in found], "weights": [[float(n) for n in c.values()] for c in found]})
+            weights = [np.fromiter(c.values(), dtype=float, count=len(c)) for c in found]
+            totals = [w.sum() for w in weights]
+            if unit:
+                weights = [w / np.sqrt((w * w).sum()) if len(w) else w for w in weights]
+            yield pd.DataFrame({key: batch[key], "terms": [list(c) for c in found], "weights": weights, "total": totals})
 
     rows = texts.select(key, F.lower(F.col(text)).alias("text"))
-    return rows.mapInPandas(count, rows.select(key).schema.add("terms", T.ArrayType(T.StringType())).add("weights", T.ArrayType(T.DoubleType())))
-
-
-def unit_length(weights: Column) -> Column:
-    """Weights over the root of their squares' sum."""
-    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(weights, lambda x: x / norm)
+    schema = rows.select(key).schema.add("terms", T.ArrayType(T.StringType())).add("weights", T.ArrayType(T.DoubleType())).add("total", T.DoubleType())
+    return rows.mapInPandas(count, schema)
 
 
 def term_vectors(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Term frequencies scaled to unit length."""
-    return term_counts(texts, key, text).withColumn("weights", unit_length(F.col("weights")))
+    return term_counts(texts, key, text, unit=True)
 
 
 class _Index:
@@ -163,9 +163,9 @@ def keyword_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "que
 
     Items without a word take no part.  Only terms that some query has are counted over the items.
     """
-    items = items.where(F.size("terms") > 0).withColumn("__n", F.aggregate("weights", F.lit(0.0), lambda s, x: s + x))
-    totals = items.agg(F.count(F.lit(1)).alias("__items"), F.avg("__n").alias("__mean"))
-    least = BM25_K * (1 - BM25_B + BM25_B * F.col("__n") / F.col("__mean"))
+    items = items.where(F.size("terms") > 0)
+    totals = items.agg(F.count(F.lit(1)).alias("__items"), F.avg("total").alias("__mean"))
+    least = BM25_K * (1 - BM25_B + BM25_B * F.col("total") / F.col("__mean"))
     weighted = items.join(F.broadcast(totals)).select(item, "terms", F.transform("weights", lambda tf: tf * (BM25_K + 1) / (tf + least)).alias("weights"))
     asked = staged(queries.select(query, F.explode("terms").alias("term")), "keyword-terms")
     wanted = asked.select("term").distinct()
