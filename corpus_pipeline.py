@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import forest, langid, mixing, packing, pii
-from lumenfold.llm.common import BATCH_BYTES, staged, table
+from lumenfold.llm.common import BATCH_BYTES, arrow_batches, staged, table
 
 #: A document whose likeliest language has a smaller share of the likelihood is rejected, like one without letters.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with arrow_batches(spark, BATCH_ROWS):  # puts the session's own limits back, whatever the stages set
+        for name, stage in STAGES:
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
