@@ -550,3 +550,29 @@ def test_pipeline_stages(spark, sf):
             assert after.join(before.select("doc_id", F.col("text").alias("old")), "doc_id").where(F.col("old").rlike("@mail") & (F.col("old") == F.col("text"))).count() == 0
         last, before = before, after
     assert {r["doc_id"] for r in before.select("doc_id").collect()} == {r["doc_id"] for r in last.select("doc_id").collect()}
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls in every column, repeated rows, empty and letterless texts, a clashing extra column, and an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    english = "the house near the river was sold to a young family that wants to grow old there"
+    german = "das haus am fluss wurde an eine junge familie verkauft die dort alt werden will"
+    rows = [
+        (1, english, "en", "a", 7), (1, english, "en", "a", 7), (2, german, "de", "a", 8), (3, german + " und mehr", None, None, None),
+        (4, None, None, None, None), (5, "", "en", "b", 1), (6, "123 !!", "de", "b", 1), (None, english + " today", "en", "b", 1), (None, None, None, None, None),
+    ] + [(10 + i, (german if i % 2 else english) + f" {'x' * (i + 1)} seite {i}", "de" if i % 2 else "en", "c", i) for i in range(12)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long")
+    for start in (odd, odd.limit(0)):
+        before = start
+        for name, stage in pipeline.STAGES:
+            before = pipeline.staged(stage(spark, before, ""), f"odd-{name}")
+            if name != "pack":
+                assert before.columns == start.columns
+            if name == "language":
+                kept = [r["doc_id"] for r in before.collect()]
+                assert not {4, 5, 6} & set(kept)
+            if name == "near_dedup":
+                after = [r["doc_id"] for r in before.collect()]
+                assert set(after) <= set(kept) and after.count(1) <= 1 and after.count(None) == kept.count(None)
+        assert start is odd or before.count() == 0
+        assert before.select("sequence_id", "offset").distinct().count() == before.count()
