@@ -1,6 +1,7 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Each stage takes all that its predecessor kept, and is written as Parquet before the next one reads it.
+All stages but the last return the columns they got, and take extra columns of any name along; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,29 +26,32 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labelled rows teach; the others go."""
+    """Keeps documents in a language that the labelled rows teach; the others go, null and letterless texts among them.
+
+    Repeated rows fare alike; without labelled rows no language is known and none stays.
+    """
     _small_batches(spark)
     predicted = langid.identify(docs, langid.fit_language_model(docs))
     return predicted.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, and one row of each repeated key; rows without a key all stay."""
     return forest.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by pseudonyms; all rows stay."""
+    """Replaces personal data by pseudonyms; all rows stay, null and empty texts as they are."""
     return pii.pseudonymise(docs, PSEUDONYM_KEY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source's documents as often as its target weight says."""
+    """Takes each source's documents as often as its target weight says; rows without a source are a source of their own."""
     return mixing.mix_sources(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places the documents' tokens in sequences of fixed length."""
+    """Places the documents' tokens in sequences of fixed length; a null text is packed as the empty one."""
     _small_batches(spark)
     return packing.pack_documents(docs)
 
