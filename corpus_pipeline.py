@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Each stage takes all that its predecessor kept, and is written as Parquet before the next one reads it.
-All stages but the last return the columns they got, and take extra columns of any name along; an empty table stays empty.
+All stages but the last return the columns they got, extra ones too, whose names may be those an operator gives itself (but not
+begin with two underscores); an empty table stays empty.
 """
 
 from __future__ import annotations
