@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,56 +141,76 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*kept).mapInPandas(add, docs.select(*kept).schema.add("fingerprint", "string"))
 
 
+#: What is known of a row beside the one after it.
+_PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: First characters that order rows under one key, before a hash of the whole text does.
+_LEADING = 64
+#: Ranges for each of the session's shuffle partitions, as texts differ in length.
+_RANGES = 3
+
+
+def _beside(key: int | None, own: str, mark: str, after: str, after_mark: str) -> tuple:
+    """A row of ``_PAIRS`` for a text and the one after it."""
+    n = len(own)
+    edited = own[: n - n // 2] + after[: n // 2]
+    edited_mark = fingerprint(edited)
+    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return key, n, digest, mark, edited_mark, likeness(mark, edited_mark), likeness(mark, after_mark)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+
+
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document.
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document in
     ascending key order; after the last comes the first.  Nulls: a null text is empty; null keys come last.  Rows that
-    share a key follow one another in order of their texts.  A single row is its own next.  An empty table gives none.
+    share a key follow one another in order of their first characters, then of a hash of the text; equal rows are next
+    to each other.  A single row is its own next.  An empty table gives none.  ``docs`` should be a stored table: equal
+    rows are told apart by where they are read.
 
-    Rows are dealt into many ranges of the key, whose limits are approximate quantiles (one number per range); each
-    range also gets the first row of the range after it, so texts are exchanged once and a task streams through its
-    rows holding two of them.
+    Rows are sorted in ranges of that order, so a key or even a row that is repeated very often fills many ranges.
+    Texts are exchanged once; a task streams through its range holding two of them, and hands on its first and last
+    text, which meet those of the ranges beside it in a join of one row per range.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = F.percentile_approx("doc_id", [i / (3 * parts) for i in range(1, 3 * parts)], 20000)
-    limits = np.unique(np.array(rows.agg(quantiles.alias("q")).first()["q"] or [], dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), len(limits) + 1)
-        out[known] = np.searchsorted(limits, ids[known].to_numpy().astype(np.int64), side="right")
-        return pd.Series(out)
-
-    dealt = rows.withColumn("part", range_of("doc_id"))
-    firsts = sorted((r["part"], r["first"]) for r in rows.select("doc_id").withColumn("part", range_of("doc_id")).groupBy("part").agg(F.min("doc_id").alias("first")).collect())
-    if not firsts:
-        return rows.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = [(p, first) for (p, _), (_, first) in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    wanted = F.broadcast(rows.sparkSession.createDataFrame(before, "before int, first long"))  # a row per range
-    tails = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["first"])).groupBy("before", "doc_id").agg(F.min("text").alias("text"))
-    both = dealt.select("part", "doc_id", "text", F.lit(False).alias("tail")).union(
-        staged(tails.select(F.col("before").alias("part"), "doc_id", "text", F.lit(True).alias("tail")), "ctph-tails")
-    )
-    ordered = both.repartition(parts, "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "text")
+    place = {"leading": F.left("text", F.lit(_LEADING)), "hash": F.xxhash64("text"), "read_at": F.monotonically_increasing_id()}
+    order = [F.col("doc_id").asc_nulls_last(), *place]
+    parts = _RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.withColumns(place).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    edges = f"{_PAIRS}, part int, edge string, text string"
 
     def compare(batches):
-        last = None  # the part, key, text and fingerprint of the row that waits for its next
+        part, last, opened = TaskContext.get().partitionId(), None, False  # last: the row that waits for its next
         for batch in batches:
             out = []
-            for part, doc, own, tail in zip(*(batch[c].tolist() for c in ("part", "doc_id", "text", "tail")), strict=True):
-                mark = fingerprint(own)
-                if last is not None and last[0] == part:
-                    _, before_id, before_text, before_mark = last
-                    n = len(before_text)
-                    edited = before_text[: n - n // 2] + own[: n // 2]
-                    edited_mark = fingerprint(edited)
-                    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((before_id, n, digest, before_mark, edited_mark, likeness(before_mark, edited_mark), likeness(before_mark, mark)))
-                last = None if tail else (part, None if doc != doc else doc, own, mark)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInPandas(compare, schema)
+            for doc, own in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+                doc, mark = None if doc != doc else doc, fingerprint(own)
+                if last is not None:
+                    out.append((*_beside(*last, own, mark), part, None, None))
+                elif not opened:
+                    out.append((doc, None, None, mark, None, None, None, part, "first", own))
+                last, opened = (doc, own, mark), True
+            yield _frame(out, edges)
+        if last is not None:
+            doc, own, mark = last
+            yield _frame([(doc, None, None, mark, None, None, None, part, "last", own)], edges)
+
+    def join_up(batches):
+        for batch in batches:
+            columns = zip(*(batch[c].tolist() for c in ("doc_id", "text", "fingerprint", "after", "after_fingerprint")), strict=True)
+            yield _frame([_beside(None if doc != doc else doc, *rest) for doc, *rest in columns], _PAIRS)
+
+    found = staged(ordered.mapInPandas(compare, edges), "ctph-ranges")
+    used = sorted(r["part"] for r in found.where("edge = 'first'").select("part").collect())
+    done = found.where("edge IS NULL").select(*[c.split()[0] for c in _PAIRS.split(", ")])
+    if not used:
+        return done
+    following = rows.sparkSession.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "part int, next int")
+    firsts = found.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"), F.col("fingerprint").alias("after_fingerprint"))
+    lasts = found.where("edge = 'last'").select("part", "doc_id", "text", "fingerprint")
+    # A row per range; the texts of ranges' edges may be long, so only the range numbers are broadcast.
+    meeting = lasts.join(F.broadcast(following), "part").hint("shuffle_merge").join(firsts, "next")
+    return done.union(meeting.select("doc_id", "text", "fingerprint", "after", "after_fingerprint").mapInPandas(join_up, _PAIRS))

@@ -173,6 +173,18 @@ def test_fingerprints_of_edited_texts(spark):
     assert ctph.edited_fingerprints(docs(spark, [])).count() == 0
 
 
+def test_fingerprints_of_a_row_repeated_very_often(spark):
+    rows = [(i, " ".join(words_of(60 + i, i))) for i in range(60)] + [(30, "the same row again")] * 400 + [(31, f"other text {i}") for i in range(100)]
+    table = docs(spark, rows).repartition(5)
+    order = sorted(rows, key=lambda x: (x[0], x[1]))
+    expected = []
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        new = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        expected.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), ctph.fingerprint(text), ctph.fingerprint(new), ctph.likeness(ctph.fingerprint(text), ctph.fingerprint(after))))
+    got = ctph.edited_fingerprints(table)
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_next"]) for r in got.collect()) == sorted(expected)
+
+
 def test_fingerprint_in_pieces_and_edit_distance(monkeypatch):
     text = " ".join(words_of(3000, 9))
     whole = ctph.fingerprint(text)
@@ -498,6 +510,26 @@ def test_each_template_is_its_license(name):
         assert {r[0] for r in licenses.scan_text("Some words before. " + template + " And some words after.", index)} == {name}
 
 
+def test_license_scan_equals_a_scan_of_every_place(spark, sf):
+    """The query against a search without the index: every template at every word of every text."""
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+
+    class Everywhere:
+        templates = index.templates
+
+        def hits(self, words):
+            at = np.arange(len(words))
+            return np.concatenate([np.column_stack([np.full(len(at), t), at, at]) for t in range(len(self.templates))])
+
+    table, expected = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect(), []
+    for doc, text in table:
+        if text:
+            expected += [(doc, *row) for row in licenses.scan_text(text, Everywhere())]
+    columns = ["doc_id", "license", "template", "coverage", "first_char", "end_char", "matched_words"]
+    got = [tuple(r[c] for c in columns) for r in queries.QUERIES["op3_scan_licenses"](spark, sf).collect()]
+    assert len(got) > 0 and sorted(got) == sorted(expected)
+
+
 def test_near_licenses_are_told_apart():
     index = licenses.TemplateIndex(licenses.TEMPLATES)
     names = lambda text: [r[0] for r in licenses.scan_text(text, index)]
