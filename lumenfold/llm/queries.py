@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, ctph, forest, langid, licenses, mixing, packing, pii, sharding, topk
+from . import boilerplate, conversations, ctph, forest, hardneg, langid, licenses, mixing, packing, pii, sharding, topk, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,59 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_scan_licenses")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_filter_urls",
+    rf"""
+    WITH parts AS (
+      SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    split AS (
+      SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    named AS (
+      SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), '\.?(:(80|443)?)?\z', ''), '^(www|m)\.', '') AS name,
+             list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                                   lambda p: p <> '' AND NOT regexp_matches(p, '{urlfilter.TRACKING}'))) AS asked FROM split),
+    spelt AS (
+      SELECT *, CASE WHEN name <> '' THEN name || regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/\z', '')
+                       || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical FROM named),
+    listed AS (SELECT DISTINCT canonical FROM spelt WHERE regexp_matches(host, '{urlfilter.UNWANTED_HOST}') AND canonical IS NOT NULL),
+    rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(str(r) for r in urlfilter.RULES)}),
+    fitting AS (
+      SELECT host, path, arg_max((rule_host || rule_path, rule_verdict), length(rule_host || rule_path)) AS r
+      FROM (SELECT DISTINCT host, path FROM spelt) p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+      GROUP BY host, path)
+    SELECT page_id, s.host, s.path, r[1] AS rule, coalesce(r[2], CASE WHEN l.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+           s.canonical, l.canonical IS NOT NULL AS listed
+    FROM spelt s LEFT JOIN fitting f ON s.host = f.host AND s.path = f.path LEFT JOIN listed l ON s.canonical = l.canonical""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge_urls(pages, urlfilter.unwanted_urls(pages), urlfilter.RULES)
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+    positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INT AS rank,
+           n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+    QUALIFY rank <= 10""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(hardneg.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_repair_conversations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(table(spark, sf_dir, "conversations")))
