@@ -768,7 +768,7 @@ def candidate_tags(spark, sf):
     return vector_table(spark, sf).select("paper_id", scalars.candidate_source(index, F.col("paper_id") % 5 == 0).alias("candidate_source"))
 
 
-@query("pairwise_similarity", f"""WITH c AS (SELECT query_id, d.paper_id, embedding FROM ({_DENSE_SQL}) d JOIN vectors v USING (paper_id) WHERE rank <= 20)
+@query("pairwise_similarity", f"""WITH c AS MATERIALIZED (SELECT query_id, d.paper_id, embedding FROM ({_DENSE_SQL}) d JOIN vectors v USING (paper_id) WHERE rank <= 20)
     SELECT x.query_id, x.paper_id AS a, y.paper_id AS b, round(list_dot_product(x.embedding, y.embedding), 6) AS similarity FROM c x JOIN c y USING (query_id) WHERE x.paper_id < y.paper_id""", "vectors")
 def pairwise_similarity(spark, sf):
     items = vector_table(spark, sf)
