@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import scalars, sparse, vectors
+from .functions.postings import PostingIndex, build_postings
 from .operators import clustering, evaluation, fusion, ranking, state, tables
 from .plans.recommend import multi_interest, profile_table, recommend
 from .plans.search import hybrid_search, search, seed_papers
@@ -94,7 +95,7 @@ def recent_year_scan(spark, sf):
     return own.orderBy(F.desc("update_date"), "arxiv_id").limit(10).select("arxiv_id", "update_date")
 
 
-_BM25_SQL = """tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY ALL),
+_BM25_SQL = r"""tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL),
     sized AS (SELECT *, sum(tf) OVER (PARTITION BY doc_id) AS size, count(*) OVER (PARTITION BY term) AS df FROM tf),
     totals AS (SELECT count(*) AS items, avg(size) AS mean FROM (SELECT doc_id, sum(tf) AS size FROM tf GROUP BY doc_id)),
     relevance AS (SELECT query_id, doc_id, round(sum(ln(1 + (items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)))), 9) AS score
@@ -102,14 +103,13 @@ _BM25_SQL = """tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT d
     by_words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM relevance QUALIFY rank <= 10)"""
 
 
-@query("keyword_search", f"""
-    WITH words AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM benchmark), {_BM25_SQL}
+@query("keyword_search", rf"""
+    WITH words AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM benchmark), {_BM25_SQL}
     SELECT query_id, doc_id, score, rank FROM by_words""")
 def keyword_search(spark, sf):
     """Keyword relevance over all words stands in for the remote service's, which has no local definition."""
-    items = sparse.term_counts(read(spark, sf, "documents"), "doc_id")
     asked = sparse.term_counts(read(spark, sf, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    return sparse.keyword_topk(asked, items, 10, item="doc_id").select("query_id", "doc_id", "score", "rank")
+    return _postings(spark, sf).keyword_search(asked, 10, item="doc_id")
 
 
 @query("cache_fallback", """
@@ -510,8 +510,8 @@ def exclude_seen(spark, sf):
     return fusion.exclude_seen(ranked, seen, 20).select("query_id", "paper_id", "rank")
 
 
-_TERMS = """{name} AS (SELECT {key} AS {alias}, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {key})) AS weight FROM (
-      SELECT {key}, term, count(*)::DOUBLE AS tf FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {table}) GROUP BY ALL))"""
+_TERMS = r"""{name} AS (SELECT {key} AS {alias}, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {key})) AS weight FROM (
+      SELECT {key}, term, count(*)::DOUBLE AS tf FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM {table}) GROUP BY ALL))"""
 _SPARSE_SQL = (
     _TERMS.format(name="postings", key="doc_id", alias="paper_id", table="documents") + ", " + _TERMS.format(name="asked", key="item_id", alias="query_id", table="benchmark")
     + """, sparse AS (SELECT query_id, paper_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id)::INT AS rank FROM (
@@ -519,15 +519,30 @@ _SPARSE_SQL = (
 )
 
 
+def _asked_terms(spark, sf):
+    return sparse.term_vectors(read(spark, sf, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+
+
+def _postings(spark, sf):
+    """An index over all documents, for the call; a service would keep it."""
+    return PostingIndex(spark, build_postings(sparse.term_counts(read(spark, sf, "documents"), "doc_id"), "doc_id"))
+
+
 def _sparse(spark, sf, k):
-    items = sparse.term_vectors(read(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "paper_id")
-    asked = sparse.term_vectors(read(spark, sf, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    return asked, items, sparse.sparse_topk(asked, items, k)
+    return _postings(spark, sf).search(_asked_terms(spark, sf), k)
 
 
 @query("sparse_topk", f"WITH {_SPARSE_SQL} SELECT query_id, paper_id, score, rank FROM sparse WHERE rank <= 50")
 def sparse_topk(spark, sf):
-    return _sparse(spark, sf, 50)[2].select("query_id", "paper_id", "score", "rank")
+    """By a scan of all documents."""
+    items = sparse.term_vectors(read(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "paper_id")
+    return sparse.sparse_topk(_asked_terms(spark, sf), items, 50).select("query_id", "paper_id", "score", "rank")
+
+
+@query("sparse_topk_index", f"WITH {_SPARSE_SQL} SELECT query_id, paper_id, score, rank FROM sparse WHERE rank <= 50")
+def sparse_topk_index(spark, sf):
+    """By the stored index of postings."""
+    return _sparse(spark, sf, 50)
 
 
 _RRF_SQL = f"""
@@ -539,7 +554,7 @@ _RRF_SQL = f"""
 
 @query("rrf_fuse", _RRF_SQL + " SELECT query_id, paper_id, round(rrf_score, 9) AS rrf_score, fused_rank FROM fused", "vectors")
 def rrf_fuse(spark, sf):
-    fused = fusion.rrf([vectors.dense_topk(_item_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)[2]])
+    fused = fusion.rrf([vectors.dense_topk(_item_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)])
     return fused.select("query_id", "paper_id", F.round("rrf_score", 9).alias("rrf_score"), "fused_rank")
 
 
@@ -553,16 +568,14 @@ _HYBRID_SQL = _RRF_SQL + f""",
 
 @query("recency_rerank", _HYBRID_SQL + " SELECT query_id, paper_id, rank, final_score FROM ranked", "vectors", "papers")
 def recency_rerank(spark, sf):
-    fused = fusion.rrf([vectors.dense_topk(_item_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)[2]])
+    fused = fusion.rrf([vectors.dense_topk(_item_vectors(spark, sf), vector_table(spark, sf), 60), _sparse(spark, sf, 60)])
     ranked = fusion.recency_rerank(fused.join(papers(spark, sf).select("paper_id", "arxiv_id"), "paper_id"), AS_OF_MONTH)
     return ranked.select("query_id", "paper_id", "rank", "final_score")
 
 
 @query("hybrid_search", _HYBRID_SQL + " SELECT query_id, rank, paper_id, final_score, title FROM ranked WHERE rank <= 10", "vectors", "papers")
 def hybrid(spark, sf):
-    asked, postings, _ = _sparse(spark, sf, 1)
-    found = hybrid_search(_item_vectors(spark, sf), asked, vector_table(spark, sf), postings, papers(spark, sf), AS_OF_MONTH)
-    return found
+    return hybrid_search(_item_vectors(spark, sf), _asked_terms(spark, sf), vector_table(spark, sf), _postings(spark, sf), papers(spark, sf), AS_OF_MONTH)
 
 
 _REWRITE_SQL = r"""plain AS (SELECT item_id AS query_id, trim(text) AS q FROM benchmark),
@@ -570,7 +583,7 @@ _REWRITE_SQL = r"""plain AS (SELECT item_id AS query_id, trim(text) AS q FROM be
       AND len(regexp_extract_all(q, '(?i)(?:\d{4}\.\d{4,5}|[A-Z]{2,}|transformer|attention|neural|network|\b(?:et\s+al|arxiv)\b)')) >= 2 AS academic, trim(trim(trim(trim(regexp_replace(q, '^\S+ ', '')), '"'), '''')) AS c FROM plain),
     rewritten AS (SELECT query_id, CASE WHEN q = '' OR academic OR c = '' OR length(c) > 200 THEN q ELSE c END AS text FROM judged),
     able AS (SELECT * FROM rewritten WHERE text <> '' AND length(text) % 5 <> 0),
-    words AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM rewritten WHERE text <> '' AND length(text) % 5 = 0)"""
+    words AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM rewritten WHERE text <> '' AND length(text) % 5 = 0)"""
 _AXIS_SQL = "SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY round(embedding[length(text) % 64 + 1], 9) DESC, paper_id)::INT AS rank FROM able, vectors"
 _SEARCH_SQL = (
     f"WITH {_REWRITE_SQL}, {_BM25_SQL}, "
@@ -872,7 +885,7 @@ def factorised(spark, sf):
     got AS (SELECT query_id, sum(gain / log2(rank + 1)) AS got FROM sparse JOIN rel USING (query_id, paper_id) WHERE rank <= 10 GROUP BY query_id)
     SELECT query_id, round(CASE WHEN best > 0 THEN coalesce(got, 0) / best ELSE 0 END, 9) AS ndcg, coalesce(got, 0) > 0 AS hit FROM best LEFT JOIN got USING (query_id)""")
 def ndcg(spark, sf):
-    ranked = _sparse(spark, sf, 10)[2]
+    ranked = _sparse(spark, sf, 10)
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     labels = read(spark, sf, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").cast("double").alias("gain"))
     return evaluation.ndcg(ranked, labels.join(asked, F.col("paper_id") % 40 == F.col("query_id") % 40).select("query_id", "paper_id", "gain"), 10)

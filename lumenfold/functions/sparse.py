@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.staging import staged
 
@@ -24,32 +23,37 @@ QUERY_BLOCK, QUERY_TERMS = 2048, 1_000_000
 ITEM_BLOCK = 1024
 #: Entries of the score table of some items by all queries of a block.
 _CELLS = 4_000_000
-#: Rows of a term table that may be broadcast.
-_BROADCAST_ROWS = 200_000
-# Saturation and length normalisation of keyword relevance.
-BM25_K, BM25_B = 1.2, 0.75
-_WORDS = re.compile("[a-z]+")
+#: Words are runs of letters and digits of any script.
+_WORDS = re.compile(r"[^\W_]+")
 
 
 def term_counts(texts: DataFrame, key: str, text: str = "text", unit: bool = False) -> DataFrame:
-    """``key``, ``terms``, ``weights``, ``total``: how often each word (a run of a to z, lower-cased) occurs, and all words.
+    """``key``, ``terms``, ``weights``, ``total``: how often each word (a run of letters and digits, lower-cased) occurs, and all words.
 
-    With ``unit``, weights are scaled to unit length.  No rows are exchanged; null texts and those without words have
-    empty arrays.
+    With ``unit``, weights are scaled to unit length.  Only texts go to Python; null texts and those
+    without words have empty arrays.
     """
 
-    def count(batches):
-        for batch in batches:
-            found = [Counter(_WORDS.findall(t)) if isinstance(t, str) else Counter() for t in batch["text"]]
-            weights = [np.fromiter(c.values(), dtype=float, count=len(c)) for c in found]
-            totals = [w.sum() for w in weights]
-            if unit:
-                weights = [w / np.sqrt((w * w).sum()) if len(w) else w for w in weights]
-            yield pd.DataFrame({key: batch[key], "terms": [list(c) for c in found], "weights": weights, "total": totals})
+    @F.pandas_udf("terms array<string>, weights array<double>, total double")
+    def count(plain: pd.Series) -> pd.DataFrame:
+        found = [Counter(_WORDS.findall(t)) if isinstance(t, str) else Counter() for t in plain]
+        weights = [np.fromiter(c.values(), dtype=float, count=len(c)) for c in found]
+        totals = [w.sum() for w in weights]
+        if unit:
+            weights = [w / np.sqrt((w * w).sum()) if len(w) else w for w in weights]
+        return pd.DataFrame({"terms": [list(c) for c in found], "weights": weights, "total": totals})
 
-    rows = texts.select(key, F.lower(F.col(text)).alias("text"))
-    schema = rows.select(key).schema.add("terms", T.ArrayType(T.StringType())).add("weights", T.ArrayType(T.DoubleType())).add("total", T.DoubleType())
-    return rows.mapInPandas(count, schema)
+    rows = texts.select(key, F.col(text).alias("text"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a table in few files is dealt to all cores; large ones stay where they are
+        rows = rows.repartition(cores)
+    return rows.select(key, count(F.lower("text")).alias("__counts")).select(key, "__counts.*")
+
+
+def scaled(counts: DataFrame) -> DataFrame:
+    """``counts`` with weights scaled to unit length."""
+    norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x * x))
+    return counts.withColumn("weights", F.transform("weights", lambda x: x / norm))
 
 
 def term_vectors(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -114,12 +118,12 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
     """``query_id``, ``paper_id``, ``score``, ``rank`` of each query's k best items that share a term with it.
 
     ``queries`` and ``items`` have ``terms`` and ``weights``; the score is the inner product, ties go to smaller ids.
-    Few queries travel with the tasks that read the items; more are dealt in blocks that meet blocks of items by number.
+    Rows without an id take no part.  Few queries travel with the tasks that read the items; more are dealt in blocks that meet blocks of items by number.
     """
     schema = f"{query} long, {item} long, score double"
-    asks = queries.where(F.size("terms") > 0).select(query, "terms", "weights")
+    asks = queries.where(F.col(query).isNotNull() & (F.size("terms") > 0)).select(query, "terms", "weights")
     n, terms = asks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    items = items.select(item, "terms", "weights")
+    items = items.where(F.col(item).isNotNull()).select(item, "terms", "weights")
     if n <= QUERY_BLOCK and terms <= QUERY_TERMS:
         own = asks.collect()
         index = _Index(*([r[c] for r in own] for c in (query, "terms", "weights")))
@@ -161,17 +165,9 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
 def keyword_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "paper_id") -> DataFrame:
     """As ``sparse_topk``, by keyword relevance (BM25) over ``term_counts`` of both; a query's repeated words count once.
 
-    Items without a word take no part.  Only terms that some query has are counted over the items.
+    Items without a word take no part.  The index of the items is built for this call; who searches them more than once
+    builds it once (``postings``).
     """
-    items = items.where(F.size("terms") > 0)
-    totals = items.agg(F.count(F.lit(1)).alias("__items"), F.avg("total").alias("__mean"))
-    least = BM25_K * (1 - BM25_B + BM25_B * F.col("total") / F.col("__mean"))
-    weighted = items.join(F.broadcast(totals)).select(item, "terms", F.transform("weights", lambda tf: tf * (BM25_K + 1) / (tf + least)).alias("weights"))
-    asked = staged(queries.select(query, F.explode("terms").alias("term")), "keyword-terms")
-    wanted = asked.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else wanted
-    counts = items.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarity = F.log(1 + (F.col("__items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = asked.join(counts, "term").join(F.broadcast(totals)).select(query, F.struct("term", rarity.alias("weight")).alias("t"))
-    asks = known.groupBy(query).agg(F.sort_array(F.collect_list("t")).alias("t")).select(query, F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    return sparse_topk(asks, weighted, k, query, item)
+    from .postings import PostingIndex, build_postings
+
+    return PostingIndex(items.sparkSession, build_postings(items, item)).keyword_search(queries, k, query, item)

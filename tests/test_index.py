@@ -1,10 +1,12 @@
 """Stored indexes: recall and certainty of approximate dense search, against the exact one."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold import catalog, catalog_index  # noqa: F401
-from lumenfold.functions import ann
+from lumenfold.functions import ann, postings, sparse
 from lumenfold.functions.vectors import dense_topk
 
 BIG = 2**60
@@ -69,3 +71,91 @@ def test_index_of_few_rows(spark):
     index = ann.DenseIndex(spark, ann.build_index(two))
     found = ann.dense_topk_ann(index, ask, two, 3, 1).collect()
     assert [(r["query_id"], r["paper_id"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 4, 1), (1, 5, 2)]
+
+
+# Postings
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    draw = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)] + ["élan", "2024", "x1", "ÜBER", "日本"]
+    rows = [(i, " ".join(words[j] for j in (draw.zipf(1.3, size=draw.integers(1, 40)) - 1) % len(words))) for i in range(900)]
+    rows += [(1000 + i, "common words of one frequent line") for i in range(450)]  # a third of the table
+    return spark.createDataFrame([*rows, (None, "w1 w2"), (BIG + 1, "w1 élan, 2024!"), (BIG + 3, "w1 élan, 2024!"), (3000, None), (3001, " ... ")], "paper_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def asked(spark):
+    rows = [(i, f"w{i % 9} w{i % 5} élan common line über") for i in range(40)] + [(90, "2024"), (91, None), (92, "unknown"), (None, "w1")]
+    return sparse.term_counts(spark.createDataFrame(rows, "query_id long, text string"), "query_id")
+
+
+@pytest.mark.parametrize("limits", [(32768, 512, 4), (64, 64, 2), (32768, 10**6, 16)])
+def test_index_equals_scan(spark, texts, asked, monkeypatch, limits):
+    for name, value in zip(("SHARD_ITEMS", "LEAST_ITEMS", "WINDOW"), limits, strict=True):
+        monkeypatch.setattr(postings, name, value)
+    monkeypatch.setattr(postings, "QUERY_GROUP", 16)
+    monkeypatch.setattr(postings, "STEP", 2)
+    counts = sparse.term_counts(texts, "paper_id")
+    index = postings.PostingIndex(spark, postings.build_postings(counts))
+    asks, columns = sparse.scaled(asked), ("query_id", "paper_id", "rank")
+    plain = sparse.sparse_topk(asks, sparse.scaled(counts), 7)
+    assert pairs(index.search(asks, 7), columns) == pairs(plain, columns)
+    assert index.items == 900 + 450 + 2
+    found = [r["paper_id"] for r in index.search(asks, 7).where("query_id = 90").orderBy("rank").collect()]
+    assert {BIG + 1, BIG + 3} <= set(found)
+    assert 0 < index.share_read(asks, 7) <= 1
+
+
+def test_keyword_relevance_equals_plain_sums(spark, texts, asked):
+    import math
+    import re
+    from collections import Counter
+
+    index = postings.PostingIndex(spark, postings.build_postings(sparse.term_counts(texts, "paper_id")))
+    docs = {r["paper_id"]: Counter(re.findall(r"[^\W_]+", r["text"].lower())) for r in texts.where("paper_id IS NOT NULL AND text IS NOT NULL").collect()}
+    docs = {i: c for i, c in docs.items() if c}
+    mean, df = sum(sum(c.values()) for c in docs.values()) / len(docs), Counter(w for c in docs.values() for w in c)
+    expected = set()
+    for q, terms in [(r["query_id"], r["terms"]) for r in asked.collect()]:
+        scores = {}
+        for i, c in docs.items():
+            hits = [w for w in terms if c[w]]
+            if hits:
+                scores[i] = round(sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in hits), 9)
+        if q is not None:
+            expected |= {(q, i, rank + 1) for rank, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:5])}
+    assert pairs(index.keyword_search(asked, 5), ("query_id", "paper_id", "rank")) == expected
+
+
+def test_bounds_spare_most_postings(spark):
+    """Where few items fit a query, most windows cannot reach its best and are not read."""
+    rows = spark.range(20_000).selectExpr("id AS paper_id", "concat('the of and ', CASE WHEN id % 100 = 7 THEN 'rare rare' ELSE repeat(concat('word', id % 50, ' '), 5) END) AS text")
+    index = postings.PostingIndex(spark, postings.build_postings(sparse.term_counts(rows, "paper_id")))
+    ask = sparse.term_counts(spark.createDataFrame([(1, "the rare of")], "query_id long, text string"), "query_id")
+    assert index.share_read(index.keyword_weights(ask), 10, "keyword") < 0.2
+    assert index.keyword_search(ask, 10).count() == 10
+
+
+def test_words_are_counted_once(spark, tmp_path):
+    """One pass of the tokeniser for all that a search needs of the documents."""
+    rows = spark.range(500).selectExpr("id AS paper_id", "concat('a b ', id) AS text")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def noted(text: pd.Series) -> pd.Series:
+        seen.add(len(text))
+        return text
+
+    index = postings.PostingIndex(spark, postings.build_postings(sparse.term_counts(rows.withColumn("text", noted("text")), "paper_id")))
+    ask = spark.createDataFrame([(1, ["a", "7"], [1.0, 1.0])], "query_id long, terms array<string>, weights array<double>")
+    assert index.keyword_search(ask, 3).count() == 3 and index.search(ask, 3).count() == 3
+    assert seen.value == 500
+
+
+def test_empty_postings(spark):
+    none = sparse.term_counts(spark.createDataFrame([], "paper_id long, text string"), "paper_id")
+    index = postings.PostingIndex(spark, postings.build_postings(none))
+    ask = spark.createDataFrame([(1, ["a"], [1.0])], "query_id long, terms array<string>, weights array<double>")
+    assert index.search(ask, 3).count() == 0 and index.keyword_search(ask, 3).count() == 0
