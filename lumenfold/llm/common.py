@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _number(setting: str) -> int:
+    """A setting's number of rows or bytes, which may have a unit, as ``64m``."""
+    plain = setting.strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(plain[-1:], 0)
+    return int(plain[:-1] if unit else plain) << unit
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES):
     """For jobs run inside: at most so many rows, and about so many bytes, in a batch handed to Python, where rows hold
@@ -29,7 +36,7 @@ def arrow_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES):
     before = {name: spark.conf.get(name, None) for name in limits}
     try:
         for name, limit in limits.items():
-            own = int(before[name] or 0)
+            own = _number(before[name] or "0")
             spark.conf.set(name, str(min(limit, own) if own > 0 else limit))
         yield
     finally:

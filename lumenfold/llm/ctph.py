@@ -142,14 +142,15 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: What is known of a row beside the one after it.
-_PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Keys are text there: as numbers a batch with a null would round them.
+_PAIRS = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: First characters that order rows under one key, before a hash of the whole text does.
 _LEADING = 64
 #: Ranges for each of the session's shuffle partitions, as texts differ in length.
 _RANGES = 3
 
 
-def _beside(key: int | None, own: str, mark: str, after: str, after_mark: str) -> tuple:
+def _beside(key: str | None, own: str, mark: str, after: str, after_mark: str) -> tuple:
     """A row of ``_PAIRS`` for a text and the one after it."""
     n = len(own)
     edited = own[: n - n // 2] + after[: n // 2]
@@ -159,7 +160,7 @@ def _beside(key: int | None, own: str, mark: str, after: str, after_mark: str) -
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +180,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     place = {"leading": F.left("text", F.lit(_LEADING)), "hash": F.xxhash64("text"), "read_at": F.monotonically_increasing_id()}
     order = [F.col("doc_id").asc_nulls_last(), *place]
     parts = _RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.withColumns(place).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered = rows.withColumns(place).repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     edges = f"{_PAIRS}, part int, edge string, text string"
 
     def compare(batches):
@@ -187,7 +188,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         for batch in batches:
             out = []
             for doc, own in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                doc, mark = None if doc != doc else doc, fingerprint(own)
+                mark = fingerprint(own)
                 if last is not None:
                     out.append((*_beside(*last, own, mark), part, None, None))
                 elif not opened:
@@ -201,16 +202,17 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     def join_up(batches):
         for batch in batches:
             columns = zip(*(batch[c].tolist() for c in ("doc_id", "text", "fingerprint", "after", "after_fingerprint")), strict=True)
-            yield _frame([_beside(None if doc != doc else doc, *rest) for doc, *rest in columns], _PAIRS)
+            yield _frame([_beside(*row) for row in columns], _PAIRS)
 
     found = staged(ordered.mapInPandas(compare, edges), "ctph-ranges")
     used = sorted(r["part"] for r in found.where("edge = 'first'").select("part").collect())
     done = found.where("edge IS NULL").select(*[c.split()[0] for c in _PAIRS.split(", ")])
+    named = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("long"))
     if not used:
-        return done
+        return named(done)
     following = rows.sparkSession.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "part int, next int")
     firsts = found.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"), F.col("fingerprint").alias("after_fingerprint"))
     lasts = found.where("edge = 'last'").select("part", "doc_id", "text", "fingerprint")
     # A row per range; the texts of ranges' edges may be long, so only the range numbers are broadcast.
     meeting = lasts.join(F.broadcast(following), "part").hint("shuffle_merge").join(firsts, "next")
-    return done.union(meeting.select("doc_id", "text", "fingerprint", "after", "after_fingerprint").mapInPandas(join_up, _PAIRS))
+    return named(done.union(meeting.select("doc_id", "text", "fingerprint", "after", "after_fingerprint").mapInPandas(join_up, _PAIRS)))

@@ -82,7 +82,10 @@ def sketches(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "signature"])
             yield out.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_a", "set_b", "signature"]]
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    # The key travels as text: a batch that holds a null would round large numbers.
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = named.mapInPandas(sketch, "doc_id string, n_shingles long, set_a long, set_b long, signature binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _signatures(batch: pd.DataFrame) -> np.ndarray:
@@ -313,7 +316,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     words, or the whole sequence where there are fewer.  Documents are linked if 100 * |A and B| >= percent * |A or B|.
     Null and empty texts have the empty set and are linked with nothing.  Repeated rows come out once each; rows that
     share a key share its component.  A null key takes no part in links and is its own component (null, kept).
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read.  Keys are whole numbers (or cast to them).
     """
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         return _near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), k, percent)

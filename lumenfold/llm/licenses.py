@@ -13,6 +13,7 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .license_texts import BODIES
 from .shingles import gram_hashes, word_spans
@@ -299,10 +300,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
     Words are runs of ASCII letters and digits, whatever stands between them.  The index holds the templates alone, so
     it travels with the task; no rows are exchanged and a document, however often it occurs, is scanned by itself.
-    Null and empty texts give no rows; repeated rows give theirs again; null keys stay; other columns are not read.
+    Null and empty texts and an empty table give no rows; repeated rows give theirs again; null keys stay; other columns are not
+    read.  Texts of any length are scanned whole; of
+    overlapping notices that with most matched words stays, then the better covered, the first, and the first license and template.
     """
     index = TemplateIndex(TEMPLATES if templates is None else templates)
-    rows = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text")
+    kind = docs.select(F.col(key)).schema[0].dataType
+    # Keys travel as text: a batch that holds a null would round large numbers.
+    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
     schema = rows.drop("text").schema.add("license", "string").add("template", "integer").add("coverage", "double").add("first_char", "long").add("end_char", "long").add("matched_words", "integer").add("matched_text", "string")
 
     def scan(batches):
@@ -311,6 +316,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
             for doc, whole in zip(batch["doc_id"], batch["text"], strict=True):
                 if isinstance(whole, str) and whole:
                     out += [(doc, *row, whole[row[3] : row[4]]) for row in scan_text(whole, index, least)]
-            yield pd.DataFrame(out, columns=["doc_id", "license", "template", "coverage", "first_char", "end_char", "matched_words", "matched_text"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(out, columns=["doc_id", "license", "template", "coverage", "first_char", "end_char", "matched_words", "matched_text"])
 
-    return rows.mapInPandas(scan, schema)
+    found = rows.mapInPandas(scan, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -177,9 +177,10 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """Pieces of at most ``capacity`` tokens: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids``, and the
     task that cut them (``part``) with a running number for each length in it (``nth``).
 
-    A document is its text's ids and ``end_id``, so a null or empty text is one token.  Without ``with_ids``, ids are null.
+    A document is its text's ids and ``end_id``, so a null or empty text is one token; a very long one is cut in as many pieces
+    as it fills.  ``doc_id`` is text: as a number a batch with a null would round it.  Without ``with_ids``, ids are null.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
     encoder = WordTokenizer(tokenizer)
     schema = rows.drop("text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("ids", T.ArrayType(T.IntegerType())).add("part", "integer").add("nth", "long")
 
@@ -187,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         part_id, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            docs = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
+            docs = batch["doc_id"].tolist()
             for group in _in_groups(texts):
                 out = []
                 for doc, ids in zip(docs[group], encoder.ids_of_all(texts[group]), strict=True):
@@ -231,4 +232,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
             rank = rank - run[:, 1]
             yield batch.drop(columns="number").assign(sequence_id=run[:, 3] + rank // run[:, 2], offset=run[:, 4] + rank % run[:, 2] * length)
 
-    return numbered.mapInPandas(place, schema)
+    placed = numbered.mapInPandas(place, schema)
+    return placed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

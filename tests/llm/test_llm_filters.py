@@ -262,3 +262,39 @@ def test_repair_of_odd_rows(spark):
     assert {c: (r["audit"], r["duplicate"], r["gaps"]) for c, r in got.items()} == {None: ("D", 0, 0), 7: ("KDK", 1, 0), 8: ("DD", 1, 0)}
     gone = spark.createDataFrame([(3, 1, "user", "A.", False)], TURNS + ", present boolean")
     assert tuple(conversations.repair_report(gone).first()) == (3, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+# Keys
+
+
+def test_large_keys_beside_a_null_stay_whole(spark):
+    from lumenfold.llm import ctph, forest, langid, licenses, packing, sharding
+
+    notice = max(licenses.TEMPLATES["MIT"], key=len)
+    rows = [(BIG + 1, notice), (BIG + 3, notice + " one more word"), (BIG + 5, "other words that stand alone here"), (None, notice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    keys = {BIG + 1, BIG + 3, BIG + 5, None}
+    assert {r["doc_id"] for r in licenses.scan_licenses(docs).collect()} == keys - {BIG + 5}
+    assert {r["doc_id"] for r in packing.pack_documents(docs).collect()} == keys
+    assert {r["doc_id"] for r in ctph.edited_fingerprints(docs).collect()} == keys
+    found = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(docs).collect()}
+    assert found == {BIG + 1: BIG + 1, BIG + 3: BIG + 1, BIG + 5: BIG + 5, None: None}
+    assert {r["doc_id"] for r in forest.drop_near_duplicates(docs).collect()} == {BIG + 1, BIG + 5, None}
+    assert {r["doc_id"] for r in sharding.shard_documents(docs).collect()} == keys
+    labelled = docs.withColumn("lang", F.lit("en"))
+    assert {r["doc_id"] for r in langid.identify(docs, langid.fit_language_model(labelled)).collect()} == keys
+
+
+def test_batch_limits_with_units(spark):
+    from lumenfold.llm.common import arrow_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for told, held in (("64m", str(8 << 20)), ("1k", "1024"), ("2mb", str(2 << 20))):
+            spark.conf.set(name, told)
+            with arrow_batches(spark, 10):
+                assert spark.conf.get(name) == held
+            assert spark.conf.get(name) == told
+    finally:
+        spark.conf.set(name, before)
