@@ -72,7 +72,7 @@ def _packed(table: DataFrame, key: str, vector: str, size: int, extra: str | Non
                 lists = [list(x) if x is not None else [] for x in part[extra]] if extra else []
                 yield pd.DataFrame([{"ids": part[key].to_numpy(np.int64).tobytes(), "rows": np.stack(part[vector]).astype(float).tobytes(), "extra": lists}])
 
-    packed = table.mapInPandas(pack, "ids binary, rows binary, extra array<array<bigint>>")
+    packed = table.where(F.col(key).isNotNull()).mapInPandas(pack, "ids binary, rows binary, extra array<array<bigint>>")
     return staged(packed.withColumn("block", F.monotonically_increasing_id()), "vectors")
 
 
@@ -82,9 +82,10 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame
     Up to ``QUERY_BLOCK`` queries travel with the tasks that read the items.  More are packed in blocks that are sent to
     blocks of items by number.  Either way each batch keeps its own k best per query before the exchange.  ``exclude``
     (query, item) pairs are left out before the cut, so lists are never short because of them.  ``k_column`` gives a k
-    per query, at most ``k``.
+    per query, at most ``k``.  Rows without an id take no part.
     """
     schema = f"{query} long, {item} long, score double"
+    queries, items = queries.where(F.col(query).isNotNull()), items.where(F.col(item).isNotNull())
     asks = queries.select(query, vector)
     if exclude is None:
         asks = asks.withColumn("barred", F.lit(None).cast("array<bigint>"))

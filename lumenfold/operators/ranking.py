@@ -156,9 +156,10 @@ def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     ``examples``: ``query_id``, ``paper_id``, ``embedding``, ``positive``.  The score is the best positive similarity if it
     beats the best negative one, else minus the square of the latter.  Examples themselves are not returned; queries
-    without positives give no rows.  Examples and items are packed into blocks in tasks and meet by number; a query's
+    without positives give no rows, rows without an id take no part.  Examples and items are packed into blocks in tasks and meet by number; a query's
     examples are dealt over several blocks, and its best similarities per item are joined in Spark.
     """
+    examples, items = examples.where("query_id IS NOT NULL AND paper_id IS NOT NULL"), items.where("paper_id IS NOT NULL")
     useful = examples.join(examples.where("positive").select("query_id").distinct(), "query_id", "left_semi")
     totals = useful.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     # The rows of a query lie together, or in parts of about a block; only queries in several blocks send all items on.

@@ -1,14 +1,16 @@
 """Per-user state folded from the event log: recent events, bounded save and dismiss lists, profile vectors, tiers.
 
-Ordered folds sort a user's own events inside an array; their number is bounded by ``HISTORY`` or by what the caller
-keeps, never by the log.
+Ordered folds over lists sort a user's last events inside an array, at most ``HISTORY``; profiles are folded row by row.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # List lengths, learning rates and thresholds.
 MAX_POSITIVES = 20
@@ -61,25 +63,49 @@ def all_seen(state: DataFrame) -> DataFrame:
     return exploded(state, "positives").union(exploded(state, "negatives")).select("user_id", "paper_id").distinct()
 
 
-def ewma_profile(events: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
-    """``user_id``, ``profile``, ``n``: exponentially weighted unit vector over saves (dismissals for ``negative``).
+def _folded(events: DataFrame, vectors: DataFrame, kind: str, each: bool) -> DataFrame:
+    """``user_id``, ``timestamp``, ``id``, ``profile``, ``n`` after each of a user's events, or the last one alone.
 
-    Events whose paper has no vector are left out.  An update to the zero vector keeps what was there.
+    A user's events lie together in order; the fold holds one vector, however long the log is.
     """
     alpha, event = ALPHA[kind], "not_interested" if kind == "negative" else "save"
-    own = events.where(F.col("event_type") == event).join(vectors.select("paper_id", "embedding"), "paper_id")
-    log = F.array_sort(F.collect_list(F.struct("timestamp", "id", "embedding")))
+    own = events.where((F.col("event_type") == event) & F.col("user_id").isNotNull())
+    own = own.join(vectors.select("paper_id", "embedding").where("embedding IS NOT NULL"), "paper_id").select("user_id", "timestamp", "id", "embedding")
+
+    def fold(batches):
+        user, profile, n, last = None, np.zeros(0), 0, None
+        for batch in batches:
+            out = []
+            for u, at, i, row in zip(*(batch[c].tolist() for c in ("user_id", "timestamp", "id", "embedding")), strict=True):
+                if u != user and last is not None:
+                    out += [] if each else [last]
+                    profile, n = np.zeros(0), 0
+                row = np.asarray(row, dtype=float)
+                blended = (1 - alpha) * profile + alpha * row if len(profile) else row
+                size = np.sqrt((blended * blended).sum())
+                profile = blended / size if size >= 1e-10 else profile
+                user, n = u, n + 1
+                last = (u, at, i, profile, n)
+                out += [last] if each else []
+            yield pd.DataFrame(out, columns=["user_id", "timestamp", "id", "profile", "n"])
+        if last is not None and not each:
+            yield pd.DataFrame([last], columns=["user_id", "timestamp", "id", "profile", "n"])
+
+    schema = own.drop("embedding").schema.add("profile", T.ArrayType(T.DoubleType())).add("n", "long")
+    return own.repartition("user_id").sortWithinPartitions("user_id", "timestamp", "id").mapInPandas(fold, schema)
 
-    def unit(v, old):
-        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return F.when(n < 1e-10, old).otherwise(F.transform(v, lambda x: x / n))
 
-    def step(v, e):
-        blended = F.when(F.size(v) == 0, e["embedding"]).otherwise(F.zip_with(v, e["embedding"], lambda a, b: (1 - alpha) * a + alpha * b))
-        return unit(blended, v)
+def ewma_profile(events: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
+    """``user_id``, ``profile``, ``n``: exponentially weighted unit vector over saves (dismissals for ``negative``).
+
+    Events whose paper has no vector are left out, as are those without a user.  An update to the zero vector keeps what was there.
+    """
+    return _folded(events, vectors, kind, each=False).select("user_id", "profile", "n")
+
 
-    fold = F.aggregate(log, F.array().cast("array<double>"), step)
-    return own.groupBy("user_id").agg(fold.alias("profile"), F.count(F.lit(1)).alias("n"))
+def profile_history(events: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
+    """``user_id``, ``timestamp``, ``profile``, ``n``: the profile as it was after each event that changed it."""
+    return _folded(events, vectors, kind, each=True).drop("id")
 
 
 def suppressed_categories(events: DataFrame, papers: DataFrame, as_of: str, days: int = 14, least: int = 3) -> DataFrame:

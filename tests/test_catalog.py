@@ -2,7 +2,7 @@
 
 import pytest
 
-from lumenfold import catalog, catalog_index  # noqa: F401
+from lumenfold import catalog, catalog_index, catalog_learning  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
