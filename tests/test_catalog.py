@@ -2,7 +2,7 @@
 
 import pytest
 
-from lumenfold import catalog, catalog_index, catalog_learning, catalog_streams  # noqa: F401
+from lumenfold import catalog, catalog_index, catalog_learning, catalog_rollups, catalog_streams  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
