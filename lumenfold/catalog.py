@@ -844,6 +844,17 @@ def weighted_profile(spark, sf):
     return found.select("user_id", F.round(F.col("profile")[0], 6).alias("first"), F.round(F.element_at("profile", -1), 6).alias("last"), F.round("weight", 6).alias("weight"))
 
 
+@query("dwell_weighted_profile", f"""
+    WITH g AS (SELECT *, epoch_ms(lead(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, id)) - epoch_ms(timestamp) AS dwell FROM interactions),
+    w AS (SELECT user_id, paper_id, CASE WHEN dwell > 0 AND dwell < 10000 THEN 0.1 WHEN dwell > 120000 THEN 1.5 ELSE 1.0 END::DOUBLE * CASE event_type WHEN 'save' THEN 1.0 WHEN 'click' THEN 0.3 WHEN 'not_interested' THEN -1.0 END::DOUBLE * pow(0.5::DOUBLE, date_diff('day', timestamp::DATE, DATE '{AS_OF}') / 30.0::DOUBLE) AS w
+      FROM g WHERE event_type IN ('save', 'click', 'not_interested'))
+    SELECT user_id, round(sum(w * embedding[1]) / sum(abs(w)), 6) AS first, round(sum(w * embedding[len(embedding)]) / sum(abs(w)), 6) AS last, round(sum(abs(w)), 6) AS weight FROM w JOIN vectors USING (paper_id) GROUP BY user_id""", "interactions", "vectors")
+def dwell_weighted_profile(spark, sf):
+    """How long a user stayed changes the weights; the stay is the time to the user's next event."""
+    found = evaluation.weighted_profile(evaluation.with_dwell(interactions(spark, sf)), vector_table(spark, sf), AS_OF)
+    return found.select("user_id", F.round(F.col("profile")[0], 6).alias("first"), F.round(F.element_at("profile", -1), 6).alias("last"), F.round("weight", 6).alias("weight"))
+
+
 @query("dwell", """
     WITH g AS (SELECT *, least((epoch_us(lead(timestamp) OVER u) - epoch_us(timestamp)) / 1e6::DOUBLE, 1800.0) AS gap, lead(id) OVER u AS after FROM interactions WINDOW u AS (PARTITION BY user_id ORDER BY timestamp, id))
     SELECT user_id, round(avg(gap), 6) AS dwell_seconds FROM g WHERE event_type = 'click' AND after IS NOT NULL GROUP BY user_id""", "interactions")
@@ -857,16 +868,28 @@ def novelty(spark, sf):
     return evaluation.novelty(found, interactions(spark, sf).select(F.col("user_id").alias("query_id"), "paper_id"))
 
 
-@query("epsilon_greedy", f"""
+_EPSILON_SQL = f"""
     WITH {_SCORED}, beyond AS (SELECT user_id, paper_id AS fresh, row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '|' || paper_id || '|0')) AS e FROM reranked WHERE rank > 20),
     slots AS (SELECT user_id, slot::INT AS slot, ('0x' || substr(md5(user_id || '|' || slot || '|0'), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < 0.3 AS explored FROM (SELECT DISTINCT user_id FROM reranked), range(1, 21) t(slot)),
     counted AS (SELECT *, count(*) FILTER (explored) OVER (PARTITION BY user_id ORDER BY slot) AS e FROM slots),
     filled AS (SELECT c.user_id, slot, explored AND fresh IS NOT NULL AS explored, fresh, slot - count(*) FILTER (explored AND fresh IS NOT NULL) OVER (PARTITION BY c.user_id ORDER BY slot) AS x FROM counted c LEFT JOIN beyond b ON b.user_id = c.user_id AND b.e = c.e)
-    SELECT f.user_id, slot, CASE WHEN explored THEN fresh ELSE r.paper_id END AS paper_id, explored FROM filled f LEFT JOIN reranked r ON r.user_id = f.user_id AND r.rank = f.x WHERE explored OR r.paper_id IS NOT NULL""", "vectors", "papers")
+    SELECT f.user_id, slot, CASE WHEN explored THEN fresh ELSE r.paper_id END AS paper_id, explored FROM filled f LEFT JOIN reranked r ON r.user_id = f.user_id AND r.rank = f.x WHERE explored OR r.paper_id IS NOT NULL"""
+
+
+@query("epsilon_greedy", _EPSILON_SQL, "vectors", "papers")
 def epsilon_greedy(spark, sf):
     return ranking.epsilon_greedy(ranking.rerank(_featured(spark, sf)), 20, 0.3)
 
 
+@query("epsilon_greedy_decayed", _EPSILON_SQL.replace("WITH ", "WITH served AS (SELECT user_id, count(*) AS lists FROM interactions WHERE event_type = 'view' GROUP BY user_id), ", 1)
+    .replace("< 0.3 AS explored FROM (SELECT DISTINCT user_id FROM reranked)", "< greatest(0.05::DOUBLE, 0.3::DOUBLE * pow(0.999::DOUBLE, coalesce(lists, 0))) AS explored FROM (SELECT DISTINCT r.user_id, lists FROM reranked r LEFT JOIN served s ON s.user_id = r.user_id)"), "vectors", "papers", "interactions")
+def epsilon_greedy_decayed(spark, sf):
+    """Who was served more lists (here, who viewed more) explores less."""
+    served = interactions(spark, sf).where("event_type = 'view'").groupBy("user_id").agg(F.count(F.lit(1)).alias("lists"))
+    ranked = ranking.rerank(_featured(spark, sf)).join(served, "user_id", "left")
+    return ranking.epsilon_greedy(ranked, 20, ranking.decayed_epsilon(F.col("lists"), 0.3))
+
+
 @query("learned_rerank")
 def learned_rerank(spark, sf):
     featured = _featured(spark, sf)

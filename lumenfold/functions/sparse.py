@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
+from .vectors import met
 
 #: Queries, and terms in them, that travel with a task at once; more are sent in blocks.
 QUERY_BLOCK, QUERY_TERMS = 2048, 1_000_000
@@ -146,9 +147,7 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
                     yield pd.DataFrame([{"ids": part[item].to_numpy(np.int64).tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "words": list(words), "values": values.tobytes()}])
 
         packed = items.mapInPandas(pack, "ids binary, sizes binary, words array<string>, values binary")
-        packed = staged(packed.withColumn("block", F.monotonically_increasing_id()), "sparse-items")
-        numbers = packed.agg(F.collect_list("block").alias("numbers"))
-        sent = dealt.join(F.broadcast(numbers)).select(F.explode("numbers").alias("block"), "asks")
+        packed = staged(packed, "sparse-items")
 
         def meet(batches):
             for batch in batches:
@@ -157,7 +156,7 @@ def sparse_topk(queries: DataFrame, items: DataFrame, k: int, query: str = "quer
                     found = index.best(np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.sizes, dtype=np.int64), np.asarray(r.words, dtype=object), np.frombuffer(r.values), k)
                     yield _frame(found, query, item)
 
-        out = packed.join(sent, "block").drop("block").mapInPandas(meet, schema)
+        out = met(packed, dealt.select("asks")).mapInPandas(meet, schema)
     rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), item))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -63,7 +63,7 @@ def _frame(found, query: str, item: str) -> pd.DataFrame:
 
 
 def _packed(table: DataFrame, key: str, vector: str, size: int, extra: str | None = None) -> DataFrame:
-    """Rows of ``size`` vectors each: ``ids``, ``rows`` (64-bit floats as bytes), ``extra`` lists; numbered by ``block``."""
+    """Rows of ``size`` vectors each: ``ids``, ``rows`` (64-bit floats as bytes), ``extra`` lists."""
 
     def pack(batches):
         for batch in batches:
@@ -73,7 +73,20 @@ def _packed(table: DataFrame, key: str, vector: str, size: int, extra: str | Non
                 yield pd.DataFrame([{"ids": part[key].to_numpy(np.int64).tobytes(), "rows": np.stack(part[vector]).astype(float).tobytes(), "extra": lists}])
 
     packed = table.where(F.col(key).isNotNull()).mapInPandas(pack, "ids binary, rows binary, extra array<array<bigint>>")
-    return staged(packed.withColumn("block", F.monotonically_increasing_id()), "vectors")
+    return staged(packed, "vectors")
+
+
+#: Packed rows that share a number, about, where there are enough of them for all tasks.
+ROWS_PER_NUMBER = 4
+
+
+def met(packed: DataFrame, asks: DataFrame, ids: str = "ids") -> DataFrame:
+    """Each row of ``packed`` (a stored table) beside each of ``asks``: rows get a number by a hash of ``ids``, and asks are
+    sent once to every number, so nothing is broadcast and no task holds one side whole."""
+    n = packed.count()
+    numbers = max(1, min(n, max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_NUMBER))))
+    sent = asks.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))))
+    return packed.withColumn("number", F.pmod(F.xxhash64(ids), F.lit(numbers)).cast("int")).join(sent, "number").drop("number")
 
 
 def dense_topk(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame | None = None, query="query_id", item="paper_id", vector="embedding", k_column: str | None = None) -> DataFrame:
@@ -107,8 +120,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame
         out = items.select(item, vector).mapInPandas(score, schema)
     else:
         packed_items, packed_queries = _packed(items, item, vector, 4096), _packed(asks, query, vector, 256, "barred")
-        numbers = packed_items.agg(F.collect_list("block").alias("numbers"))
-        sent = packed_queries.join(F.broadcast(numbers)).select(F.explode("numbers").alias("block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("extra").alias("q_barred"))
+        sent = packed_queries.select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("extra").alias("q_barred"))
 
         def meet(batches):
             for batch in batches:
@@ -117,7 +129,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame
                     rows, matrix = np.frombuffer(r.rows).reshape(len(names), -1), np.frombuffer(r.q_rows).reshape(len(query_ids), -1)
                     yield _frame(_best_of_batch(query_ids, matrix, list(r.q_barred), names, rows, k), query, item)
 
-        out = packed_items.select("block", "ids", "rows").join(sent, "block").drop("block").mapInPandas(meet, schema)
+        out = met(packed_items.select("ids", "rows"), sent).mapInPandas(meet, schema)
     rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), item))
     ranked = out.withColumn("rank", rank).where(F.col("rank") <= k)
     if k_column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Affinity weights of events.
 AFFINITY = {"save": 1.0, "click": 0.3, "not_interested": -1.0}
+# A stay shorter than the first is likely noise, one longer than the second a deep read (milliseconds, factor).
+SHORT_DWELL, LONG_DWELL = (10_000, 0.1), (120_000, 1.5)
 
 
 def affinity(events: DataFrame) -> DataFrame:
@@ -19,9 +21,12 @@ def affinity(events: DataFrame) -> DataFrame:
 def weighted_profile(events: DataFrame, vectors: DataFrame, as_of: str, half_life_days: float = 30.0) -> DataFrame:
     """``user_id``, ``profile``, ``weight``: mean of the vectors of a user's papers, by event weight and age.
 
-    Weights are ``AFFINITY``, halved every ``half_life_days``; the mean is over their absolute values.
+    Weights are ``AFFINITY``, halved every ``half_life_days``; the mean is over their absolute values.  If ``events`` has
+    ``dwell_ms``, how long the user stayed, weights are changed by it (``dwell_factor``).
     """
     weight = F.coalesce(*[F.when(F.col("event_type") == k, w) for k, w in AFFINITY.items()])
+    if "dwell_ms" in events.columns:
+        weight = weight * dwell_factor(F.col("dwell_ms"))
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("timestamp").cast("date"))
     own = events.where(F.col("event_type").isin(list(AFFINITY))).withColumn("w", weight * F.pow(F.lit(0.5), age / half_life_days))
     summed = own.groupBy("user_id", "paper_id").agg(F.sum("w").alias("w"), F.sum(F.abs("w")).alias("size"))
@@ -31,6 +36,18 @@ def weighted_profile(events: DataFrame, vectors: DataFrame, as_of: str, half_lif
     return means.groupBy("user_id").agg(F.transform(row, lambda p: p["m"]).alias("profile"), F.max("weight").alias("weight"))
 
 
+def dwell_factor(dwell_ms: Column) -> Column:
+    """What an event's weight is multiplied by; 1 if the stay is not known (null or 0)."""
+    return F.when((dwell_ms > 0) & (dwell_ms < SHORT_DWELL[0]), SHORT_DWELL[1]).when(dwell_ms > LONG_DWELL[0], LONG_DWELL[1]).otherwise(1.0)
+
+
+def with_dwell(events: DataFrame) -> DataFrame:
+    """Events with ``dwell_ms``, the time to the user's next one; null for the last."""
+    order = W.partitionBy("user_id").orderBy("timestamp", "id")
+    millis = lambda c: F.unix_millis(c.cast("timestamp"))
+    return events.withColumn("dwell_ms", millis(F.lead("timestamp").over(order)) - millis(F.col("timestamp")))
+
+
 def dwell(events: DataFrame, most_minutes: int = 30) -> DataFrame:
     """``user_id``, ``dwell_seconds``: mean time from a click to the user's next event, at most ``most_minutes`` each."""
     order = W.partitionBy("user_id").orderBy("timestamp", "id")

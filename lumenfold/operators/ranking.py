@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, met
 from ..sources.staging import staged
 
 # Feature weights, decay and diversity.
@@ -17,8 +17,8 @@ WEIGHTS = {"lt": 0.40, "st": 0.25, "recency": 0.15, "rank": 0.10, "negative": 0.
 DECAY = 0.002
 MMR_LAMBDA = 0.6
 EXPLORE = 2
-#: Items, and examples, that meet at once.
-ITEM_BLOCK, EXAMPLE_BLOCK = 2048, 256
+#: Items, and examples, that meet at once; numbers in the vectors of a block of examples (16 MB).
+ITEM_BLOCK, EXAMPLE_BLOCK, EXAMPLE_NUMBERS = 2048, 256, 1 << 21
 
 
 def features(candidates: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
@@ -99,16 +99,26 @@ def explore(selected: DataFrame, candidates: DataFrame, n: int = EXPLORE, seed:
     return left.withColumn("explore_rank", F.row_number().over(W.partitionBy(group).orderBy(draw))).where(F.col("explore_rank") <= n)
 
 
-def epsilon_greedy(ranked: DataFrame, k: int, epsilon: float = 0.1, seed: str = "0", group: str = "user_id") -> DataFrame:
+# The share of exploring slots at first, its factor per list served, and the least.
+EPSILON, EPSILON_DECAY, LEAST_EPSILON = 0.1, 0.999, 0.05
+
+
+def decayed_epsilon(served: Column, epsilon: float = EPSILON, decay: float = EPSILON_DECAY, least: float = LEAST_EPSILON) -> Column:
+    """The share of exploring slots of who was served so many lists (none: null) before; it falls with each."""
+    return F.greatest(F.lit(least), F.lit(epsilon) * F.pow(F.lit(decay), F.coalesce(served, F.lit(0)))).cast("double")
+
+
+def epsilon_greedy(ranked: DataFrame, k: int, epsilon: float | Column = EPSILON, seed: str = "0", group: str = "user_id") -> DataFrame:
     """``slot`` (1 to k), ``paper_id``, ``explored``: each slot explores with probability ``epsilon``, by a hash of group and slot.
 
-    Slots that exploit take the best rows in order; those that explore take rows beyond the first k in hash order, and
+    ``epsilon`` may be a column of ``ranked``, one value in a group (``decayed_epsilon``).  Slots that exploit take the best rows in order; those that explore take rows beyond the first k in hash order, and
     the next best ones where there are none.
     """
     fraction = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
     key = F.col(group).cast("string")
-    slots = ranked.select(group).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    slots = slots.withColumn("explored", fraction(key, F.col("slot").cast("string"), F.lit(seed)) < epsilon)
+    share = epsilon if isinstance(epsilon, Column) else F.lit(epsilon)
+    slots = ranked.select(group, share.alias("epsilon")).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    slots = slots.withColumn("explored", fraction(key, F.col("slot").cast("string"), F.lit(seed)) < F.col("epsilon")).drop("epsilon")
     order = W.partitionBy(group).orderBy("slot")
     n = F.count_if("explored").over(order)
     slots = slots.withColumns({"explores": n, "exploits": F.col("slot") - n})
@@ -145,10 +155,24 @@ def factorised(affinity: DataFrame, k: int, dims: int = 16, rounds: int = 5) ->
     """``user_id``, ``paper_id``, ``rank``: the k best papers per user by matrix factorisation of positive ``affinity``."""
     from pyspark.ml.recommendation import ALS
 
-    positive = affinity.where("affinity > 0").select(F.col("user_id").cast("int"), F.col("paper_id").cast("int"), F.col("affinity").cast("float"))
-    model = ALS(rank=dims, maxIter=rounds, implicitPrefs=True, seed=0, userCol="user_id", itemCol="paper_id", ratingCol="affinity").fit(positive)
-    found = model.recommendForAllUsers(k).select("user_id", F.posexplode("recommendations").alias("i", "r"))
-    return found.select(F.col("user_id").cast("long"), F.col("r.paper_id").cast("long").alias("paper_id"), (F.col("i") + 1).alias("rank"))
+    positive = affinity.where("affinity > 0 AND user_id IS NOT NULL AND paper_id IS NOT NULL").select("user_id", "paper_id", F.col("affinity").cast("float").alias("affinity"))
+    users, items = numbered(positive, "user_id", "u"), numbered(positive, "paper_id", "i")
+    rows = positive.join(users, "user_id").join(items, "paper_id").select("u", "i", "affinity")
+    model = ALS(rank=dims, maxIter=rounds, implicitPrefs=True, seed=0, userCol="u", itemCol="i", ratingCol="affinity").fit(rows)
+    found = model.recommendForAllUsers(k).select("u", F.posexplode("recommendations").alias("at", "r")).select("u", F.col("r.i").alias("i"), (F.col("at") + 1).alias("rank"))
+    return found.join(users, "u").join(items, "i").select("user_id", "paper_id", "rank")
+
+
+def numbered(table: DataFrame, key: str, name: str) -> DataFrame:
+    """``key``, ``name``: the distinct keys numbered from 0 without gaps, whatever the keys are.
+
+    Each task numbers its own; where a task starts follows from the counts, a row per task.
+    """
+    ids = staged(table.select(key).distinct().withColumn("own", F.monotonically_increasing_id()), "numbered").withColumn("task", F.shiftright("own", 33))
+    counts = ids.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n")).alias("start"))
+    within = F.col("own") - F.shiftleft(F.col("task"), 33)
+    return ids.join(F.broadcast(starts), "task").select(key, (F.col("start") + within).cast("int").alias(name))
 
 
 def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -156,15 +180,17 @@ def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     ``examples``: ``query_id``, ``paper_id``, ``embedding``, ``positive``.  The score is the best positive similarity if it
     beats the best negative one, else minus the square of the latter.  Examples themselves are not returned; queries
-    without positives give no rows, rows without an id take no part.  Examples and items are packed into blocks in tasks and meet by number; a query's
-    examples are dealt over several blocks, and its best similarities per item are joined in Spark.
+    without positives give no rows, rows without an id take no part, repeated rows count once.  Examples and items are
+    packed into blocks in tasks and meet by number.  A query's examples lie in one block, where each block of items keeps its
+    k best; only the examples beyond ``EXAMPLE_NUMBERS`` numbers fill several, whose best similarities are joined in Spark.
     """
     examples, items = examples.where("query_id IS NOT NULL AND paper_id IS NOT NULL"), items.where("paper_id IS NOT NULL")
     useful = examples.join(examples.where("positive").select("query_id").distinct(), "query_id", "left_semi")
-    totals = useful.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    # The rows of a query lie together, or in parts of about a block; only queries in several blocks send all items on.
-    part = F.pmod(F.xxhash64("paper_id"), F.ceil(F.col("total") / EXAMPLE_BLOCK))
-    ordered = useful.join(totals, "query_id").withColumn("part", part).repartition("query_id", "part").sortWithinPartitions("query_id", "part")
+    useful = useful.select("query_id", "paper_id", "embedding", "positive").distinct()
+    totals = useful.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"), F.max(F.size("embedding")).alias("size"))
+    parts = F.ceil(F.col("total") * F.col("size") / EXAMPLE_NUMBERS)
+    dealt = useful.join(totals, "query_id").withColumn("part", F.pmod(F.xxhash64("paper_id", "embedding", "positive"), parts)).drop("size")
+    ordered = dealt.repartition("query_id", "part").sortWithinPartitions("query_id", "part")
 
     def pack_items(batches):
         for batch in batches:
@@ -173,16 +199,27 @@ def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame([{"ids": part["paper_id"].to_numpy(np.int64).tobytes(), "rows": np.stack(part["embedding"]).astype(float).tobytes()}])
 
     def pack_examples(batches):
-        for batch in batches:
-            for at in range(0, len(batch), EXAMPLE_BLOCK):
-                part = batch.iloc[at : at + EXAMPLE_BLOCK]
-                rows = {"known": part["paper_id"].to_numpy(np.int64).tobytes(), "totals": part["total"].to_numpy(np.int64).tobytes(), "asked": part["query_id"].to_numpy(np.int64).tobytes(), "signs": part["positive"].to_numpy(bool).tobytes(), "vectors": np.stack(part["embedding"]).astype(float).tobytes()}
-                yield pd.DataFrame([rows])
+        held, size, last = [], 0, None
 
-    packed = staged(items.select("paper_id", "embedding").mapInPandas(pack_items, "ids binary, rows binary").withColumn("block", F.monotonically_increasing_id()), "items")
+        def block():
+            whole = pd.concat(held)
+            number = lambda c: whole[c].to_numpy(np.int64).tobytes()
+            return pd.DataFrame([{"known": number("paper_id"), "totals": number("total"), "asked": number("query_id"), "signs": whole["positive"].to_numpy(bool).tobytes(), "vectors": np.stack(whole["embedding"]).astype(float).tobytes()}])
+
+        for batch in batches:
+            groups = batch.groupby(["query_id", "part"], sort=False)
+            for group, rows in groups:
+                # A block ends where a query's part does.
+                if group != last and size + len(rows) > EXAMPLE_BLOCK and held:
+                    yield block()
+                    held, size = [], 0
+                held.append(rows)
+                size, last = size + len(rows), group
+        if held:
+            yield block()
+
+    packed = staged(items.select("paper_id", "embedding").mapInPandas(pack_items, "ids binary, rows binary"), "items")
     asks = staged(ordered.mapInPandas(pack_examples, "known binary, totals binary, asked binary, signs binary, vectors binary"), "asks")
-    numbers = packed.agg(F.collect_list("block").alias("numbers"))
-    sent = asks.join(F.broadcast(numbers)).select(F.explode("numbers").alias("block"), *asks.columns)
 
     def meet(batches):
         for batch in batches:
@@ -190,18 +227,23 @@ def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 names, asked, known_, totals_ = (np.frombuffer(x, dtype=np.int64) for x in (r.ids, r.asked, r.known, r.totals))
                 positive = np.frombuffer(r.signs, dtype=bool)
                 rows, examples_ = np.frombuffer(r.rows).reshape(len(names), -1), np.frombuffer(r.vectors).reshape(len(asked), -1)
-                near = np.round(rows @ examples_.T, 9)
-                for q in np.unique(asked):
-                    own = asked == q
-                    good, bad = (near[:, own & sign].max(axis=1, initial=-np.inf) for sign in (positive, ~positive))
-                    top = slice(None)
+                best = {q: np.full((2, len(names)), -np.inf) for q in np.unique(asked)}
+                for at in range(0, len(asked), EXAMPLE_BLOCK):
+                    here = slice(at, at + EXAMPLE_BLOCK)
+                    near = np.round(rows @ examples_[here].T, 9)
+                    for q in np.unique(asked[here]):
+                        for side, sign in enumerate((positive[here], ~positive[here])):
+                            own = (asked[here] == q) & sign
+                            np.maximum(best[q][side], near[:, own].max(axis=1, initial=-np.inf), out=best[q][side])
+                for q, (good, bad) in best.items():
+                    own, top = asked == q, slice(None)
                     if own.sum() == totals_[own][0]:
                         value = np.round(np.where(good > np.maximum(bad, -1.0), good, -(np.maximum(bad, -1.0) ** 2)), 9)
                         allowed = np.flatnonzero(~np.isin(names, known_[own]))
                         top = allowed[np.lexsort([names[allowed], -value[allowed]])[:k]]
                     yield pd.DataFrame({"query_id": q, "paper_id": names[top], "good": good[top], "bad": bad[top]})
 
-    parts = packed.join(sent, "block").drop("block").mapInPandas(meet, "query_id long, paper_id long, good double, bad double")
+    parts = met(packed, asks).mapInPandas(meet, "query_id long, paper_id long, good double, bad double")
     best = parts.groupBy("query_id", "paper_id").agg(F.max("good").alias("good"), F.greatest(F.max("bad"), F.lit(-1.0)).alias("bad"))
     known = useful.select("query_id", "paper_id").distinct()
     value = F.round(F.when(F.col("good") > F.col("bad"), F.col("good")).otherwise(-F.col("bad") * F.col("bad")), 9)

@@ -217,7 +217,8 @@ def test_dense_topk_equals_all_pairs(spark, monkeypatch, block):
         assert [got[i, n + 1] for n in range(5)] == order
 
 
-def test_best_score_of_many_examples(spark, monkeypatch):
+@pytest.mark.parametrize("numbers", [1 << 21, 64])
+def test_best_score_of_many_examples(spark, monkeypatch, numbers):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(80, 4))
     items = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "paper_id long, embedding array<double>")
@@ -225,6 +226,7 @@ def test_best_score_of_many_examples(spark, monkeypatch):
     examples = spark.createDataFrame([(q, i, [float(x) for x in v[i]], s) for q, i, s in own], "query_id long, paper_id long, embedding array<double>, positive boolean")
     monkeypatch.setattr(ranking, "ITEM_BLOCK", 32)
     monkeypatch.setattr(ranking, "EXAMPLE_BLOCK", 16)
+    monkeypatch.setattr(ranking, "EXAMPLE_NUMBERS", numbers)
     # Nothing goes through the driver, however many the examples.
     monkeypatch.setattr(type(examples), "toPandas", lambda self: pytest.fail("examples were fetched to the driver"))
     got = {(r["query_id"], r["rank"]): (r["paper_id"], r["score"]) for r in ranking.best_score(examples, items, 5).collect()}
@@ -238,3 +240,39 @@ def test_best_score_of_many_examples(spark, monkeypatch):
         expected |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(scores)[:5])}
     assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in expected.items()}
     assert all(abs(got[k][1] - expected[k][1]) < 1e-8 for k in got)
+
+
+def test_best_score_of_a_repeated_example(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)] + [(None, [9.0, 9.0])], "paper_id long, embedding array<double>")
+    examples = spark.createDataFrame([(1, 49, [1.0, 49.0], True)] * 3000 + [(1, 0, [1.0, 0.0], False), (None, 1, [1.0, 1.0], True)], "query_id long, paper_id long, embedding array<double>, positive boolean")
+    assert [(r["paper_id"], r["score"]) for r in ranking.best_score(examples, items, 3).orderBy("rank").collect()] == [(48, 2353.0), (47, 2304.0), (46, 2255.0)]
+
+
+def test_numbers_without_gaps(spark):
+    keys = [2**60 + 1, 2**60 + 3, -5, 0, 7, 2**40, 2**40]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    got = {r["k"]: r["n"] for r in ranking.numbered(rows, "k", "n").collect()}
+    assert set(got) == set(keys) and sorted(got.values()) == list(range(6))
+    assert ranking.numbered(rows.limit(0), "k", "n").count() == 0
+
+
+def test_factorised_finds_what_like_users_took(spark):
+    """Two groups of users, each with its own papers; ids beyond 32 bits.  What a user has not met yet of the own group comes first."""
+    big = 2**40
+    taken = [(big + u, big + 1000 * (u % 2) + i, 1.0) for u in range(20) for i in range(8) if i != u % 8]
+    affinity = spark.createDataFrame([*taken, (None, 1, 1.0), (1, None, 1.0), (big, 5, -1.0)], "user_id long, paper_id long, affinity double")
+    got = {}
+    for r in ranking.factorised(affinity, 8, 4, 10).collect():
+        got.setdefault(r["user_id"], set()).add(r["paper_id"])
+    assert got == {big + u: {big + 1000 * (u % 2) + i for i in range(8)} for u in range(20)}
+
+
+def test_stays_change_weights(spark):
+    stays = [None, 0, 1, 9_999, 10_000, 120_000, 120_001]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(stays)], "i int, s long")
+    assert [r[0] for r in rows.orderBy("i").select(evaluation.dwell_factor(F.col("s"))).collect()] == [1.0, 1.0, 0.1, 0.1, 1.0, 1.0, 1.5]
+
+
+def test_exploration_falls_with_what_was_served(spark):
+    rows = spark.createDataFrame([(None,), (0,), (1,), (100,), (10**6,)], "n long").coalesce(1)
+    assert [round(r[0], 9) for r in rows.select(ranking.decayed_epsilon(F.col("n"))).collect()] == [0.1, 0.1, 0.0999, round(0.1 * 0.999**100, 9), 0.05]
