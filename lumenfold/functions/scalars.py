@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: what an identifier looks like, alone or at the end of a link.
+IDENTIFIER = r"(?:arxiv:|https?://arxiv\.org/abs/)?([^\s/v]+(?:v\d+)?)"
+
+
 def normalise_id(raw: Column) -> Column:
     """The identifier in a raw string or link, without version; ids end at a slash or v, as the source system's do."""
     trimmed = F.trim(raw)
-    found = F.regexp_extract(trimmed, r"(?:arxiv:|https?://arxiv\.org/abs/)?([^\s/v]+(?:v\d+)?)", 1)
+    found = F.regexp_extract(trimmed, IDENTIFIER, 1)
     return F.when(found != "", F.regexp_replace(found, r"v\d+$", "")).otherwise(trimmed)
 
 
