@@ -15,6 +15,7 @@ from lumenfold.llm.common import BATCH_BYTES, arrow_batches, staged, table
 
 #: A document whose likeliest language has a smaller share of the likelihood is rejected, like one without letters.
 LEAST_LANGUAGE_SHARE = 0.5
+#: Public, for runs whose session names no key.
 PSEUDONYM_KEY = "corpus"
 #: Rows, and bytes, in a batch of whole texts handed to Python.
 BATCH_ROWS = 2000
@@ -43,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms; all rows stay, null and empty texts as they are."""
-    return pii.pseudonymise(docs, PSEUDONYM_KEY)
+    return pii.pseudonymise(docs, spark.conf.get(pii.KEY_SETTING, PSEUDONYM_KEY))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
