@@ -47,6 +47,9 @@ RARE_ROWS = 24
 #: Shingles, and rows, that a block of the last comparison holds, about.
 BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 256
 
+#: What tells shingle sets apart.
+SET = ("n_shingles", "set_a", "set_b")
+
 _ORDERS = [np.random.default_rng(1000 + t).permutation(HASHES)[: DEPTHS[-1]] for t in range(TREES)]
 _random = np.random.default_rng(99)
 _MULTIPLIERS = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -70,6 +73,11 @@ def _head(signatures: np.ndarray, tree: int, depth: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def set_hashes(shingles: np.ndarray) -> tuple[int, int, int]:
+    """The values of ``SET``: size, sum and combined bits of a shingle set."""
+    return len(shingles), int(shingles.sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(shingles), initial=0).astype(np.int64))
+
+
 def sketches(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``set_a``, ``set_b`` (hashes of the whole set), ``signature``."""
 
@@ -78,9 +86,9 @@ def sketches(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 s = shingle_set(text if isinstance(text, str) else None, k)
-                rows.append((len(s), int(s.sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(s), initial=0).astype(np.int64)), signature(s).tobytes() if len(s) else b""))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "signature"])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_a", "set_b", "signature"]]
+                rows.append((*set_hashes(s), signature(s).tobytes() if len(s) else b""))
+            out = pd.DataFrame(rows, columns=[*SET, "signature"])
+            yield out.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", *SET, "signature"]]
 
     # The key travels as text: a batch that holds a null would round large numbers.
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -180,17 +188,30 @@ def _slices(n: int, step: int):
     return [slice(i, min(i + step, n)) for i in range(0, n, step)]
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id``, ``shingles`` (sorted 64-bit hashes as bytes) of the documents named; their texts alone are exchanged, if at all."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(ids, 5 * BROADCAST_ROWS), "id", "left_semi")
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``id``, ``shingles`` (sorted 64-bit hashes as bytes) of the sets named, by ``id``, ``doc_id``, ``shared`` and their
+    hashes; the texts under these keys alone are exchanged, if at all."""
+    keys = wanted.groupBy("doc_id").agg(F.max("shared").alias("shared"), *[F.first(c).alias(f"{c}_") for c in SET])
+    texts = docs.select("doc_id", "text").join(small(staged(keys, "forest-keys"), 5 * BROADCAST_ROWS), "doc_id")
 
     def shingle(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "shingles": [shingle_set(t if isinstance(t, str) else None, k).tobytes() for t in batch["text"]]})
+            rows = []
+            for text, shared, *own in zip(*(batch[c] for c in ("text", "shared", *(f"{c}_" for c in SET), "doc_id")), strict=True):
+                found = shingle_set(text if isinstance(text, str) else None, k)
+                # A repeated key may carry other texts; the one whose set was sketched is told by its set.
+                if len(found) and (shared or set_hashes(found) == tuple(own[:3])):
+                    rows.append((own[3], shared, *set_hashes(found), found.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "shared", *SET, "shingles"])
+
+    sets = texts.mapInPandas(shingle, "doc_id long, shared boolean, n_shingles long, set_a long, set_b long, shingles binary")
+    sets = sets.select(_node(F.col("shared"), F.col("doc_id")).alias("id"), "shingles")
+    return staged(sets.dropDuplicates(["id"]), "forest-sets")
+
 
-    sets = texts.mapInPandas(shingle, "id long, shingles binary")
-    # A repeated key may carry other texts; the row whose set was sketched is told by its set, so one of each is kept.
-    return staged(sets.dropDuplicates(), "forest-sets")
+def _node(shared, key):
+    """A set's number: the key of its text, or a hash of the set where several sets have the same least key."""
+    return F.when(shared, F.xxhash64(*SET)).otherwise(key)
 
 
 def _linked(shared, total: int | np.ndarray, percent: int):
@@ -315,30 +336,56 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a set holds the distinct runs of ``k``
     words, or the whole sequence where there are fewer.  Documents are linked if 100 * |A and B| >= percent * |A or B|.
     Null and empty texts have the empty set and are linked with nothing.  Repeated rows come out once each; rows that
-    share a key share its component.  A null key takes no part in links and is its own component (null, kept).
+    share a key share its component, which holds what any of its texts is linked with.  A null key takes no part in links and is its own component (null, kept).
     An empty table gives no rows; other columns are not read.  Keys are whole numbers (or cast to them).
     """
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         return _near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), k, percent)
 
 
+def _distinct_sets(usable: DataFrame) -> DataFrame:
+    """``rep`` (a number for each set, see ``_node``), ``doc_id`` (the least key), ``shared``, hashes and ``signature`` of the sets."""
+    sets = staged(usable.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "forest-distinct")
+    shared = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("shared"))
+    found = sets.join(small(staged(shared, "forest-shared")), "doc_id", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    return found.withColumn("rep", _node(F.col("shared"), F.col("doc_id")))
+
+
+def _one_key(member: DataFrame) -> DataFrame:
+    """Links ``a`` - ``b`` between the sets of a key, the least with each other one."""
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    several = staged(several, "forest-several")
+    return member.join(small(several), "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _least_keys(strict: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``strict`` with the least key in place of the least number of a set, for components with sets whose number is a hash."""
+    hashed = staged(distinct.where("shared").select(F.col("rep").alias("node"), "doc_id"), "forest-hashed")
+    if hashed.isEmpty():
+        return strict
+    named = strict.join(small(hashed), "node", "left")
+    touched = named.groupBy("component").agg(F.min(F.coalesce("doc_id", "node")).alias("least"), F.count("doc_id").alias("n")).where("n > 0")
+    touched = staged(touched.select("component", "least"), "forest-least")
+    return strict.join(small(touched), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
 def _near_duplicates(rows: DataFrame, k: int, percent: int) -> DataFrame:
     sketched = staged(sketches(rows, k), "forest-sketches")
     usable = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["n_shingles", "set_a", "set_b"]
-    distinct = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    distinct = staged(distinct, "forest-distinct")
+    distinct = staged(_distinct_sets(usable), "forest-nodes")
     found = staged(_candidates(distinct.select("rep", "signature")), "forest-found")
     pairs = staged(found.where("pair").select("a", "b").distinct(), "forest-pairs")
-    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "forest-ids")
-    sets = _sets(rows, ids, k)
-    links = staged(_confirmed(pairs, sets, percent), "forest-links").distinct()
+    ids = staged(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "forest-ids")
+    wanted = distinct.drop("signature").join(small(ids, 5 * BROADCAST_ROWS), "rep", "left_semi")
+    sets = _sets(rows, wanted, k)
+    member = staged(usable.select("doc_id", *SET).join(distinct.select(*SET, "rep"), [*SET]).select("doc_id", "rep"), "forest-members")
+    links = staged(_confirmed(pairs, sets, percent), "forest-links").union(_one_key(member)).distinct()
     strict = connected_components(links)
     more = staged(_last_links(connected_components(found.where("loose").select("a", "b")), strict, sets, percent), "forest-last")
     if not more.isEmpty():
         strict = connected_components(strict.select("node", "component").union(more), "node", "component")
-    # Equal sets under one key: each document's set leads to its representative, that to its component.
-    member = usable.select("doc_id", *same).join(distinct.select(*same, "rep"), same)
+    strict = _least_keys(strict, distinct)
+    # Equal sets under several keys: each document's set leads to its representative, that to its component.
     member = member.join(strict.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     member = member.groupBy("doc_id").agg(F.min("component").alias("component"))
     component = F.coalesce("component", "doc_id")

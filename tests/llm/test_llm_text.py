@@ -474,6 +474,54 @@ def test_many_loosely_alike_rows(spark):
     assert got == expected
 
 
+def counted(monkeypatch):
+    """Rows of each table that the operator writes."""
+    rows, staged = {}, forest.staged
+
+    def count(df, name, *args):
+        out = staged(df, name, *args)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(forest, "staged", count)
+    return rows
+
+
+def test_one_key_with_many_texts(spark, monkeypatch):
+    """Every set is confirmed once, whatever key it has, and what any text of a key is linked with is in the key's component."""
+    sizes, base = [], words_of(200, 60)
+    for n in (60, 120):
+        rows = [(7, edited(base, 1, i)) for i in range(n)] + [(100 + i, edited(base, 1, 5000 + i)) for i in range(n)]
+        rows += [(7, "one two three four five six"), (3, "one two three four five six"), (5, "one two three four five seven eight")]
+        tables = counted(monkeypatch)
+        got = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(docs(spark, rows)).collect()}
+        monkeypatch.undo()
+        assert got == {7: 3, 3: 3, 5: 5} | {100 + i: 3 for i in range(n)}
+        sizes.append((tables["forest-pairs"], tables["forest-links"], tables["forest-sets"]))
+    for pairs, links, sets in sizes:
+        assert links <= pairs and sets <= 2 * 120 + 2
+
+
+def test_recall_in_deep_regions(spark, monkeypatch):
+    """Regions of a few rows, so that nearly all are cut at 7, 10 and 14 values: what the candidates find, and that the last
+    comparison finds the rest."""
+    monkeypatch.setattr(forest, "SMALL_REGION", 4)
+    monkeypatch.setattr(forest, "REGION_ROWS", 24)
+    base, rows = words_of(60, 70), []
+    for i in range(0, 3000, 2):
+        own = base + words_of(24, 200000 + i)
+        rows += [(i, " ".join(own)), (i + 1, " ".join(own[:-1 - i % 8] + words_of(1 + i % 8, 300000 + i)))]
+    sets = {i: shingles.shingle_set(t) for i, t in rows}
+    linked = {i for i in range(0, 3000, 2) if 100 * len(np.intersect1d(sets[i], sets[i + 1])) >= 85 * len(np.union1d(sets[i], sets[i + 1]))}
+    last = {}
+    monkeypatch.setattr(forest, "_last_links", lambda *args, found=forest._last_links: last.setdefault("rows", forest.staged(found(*args), "kept")))
+    got = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i - 1 if i % 2 and i - 1 in linked else i for i in sets}
+    missed = last["rows"].distinct().count()
+    print(f"candidates found {1 - missed / len(linked):.4f} of {len(linked)} links in deep regions")
+    assert 0 <= missed <= 0.2 * len(linked) and len(linked) > 500
+
+
 # --- licenses
 
 
