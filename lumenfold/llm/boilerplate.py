@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks, classified by a decision tree on shallow features of block and neighbours.
 
 A page is cut at block-level tags into blocks of text.  A block's features are its word count and link density, those
-of the blocks before and after it, and what its open elements say: a container for something else (navigation, footer,
-advert, comments), the article, or neither, which on a page with an article is outside it.  Links count against a block
-outside articles only.  The tree is grown from the small labelled table below whenever it is needed.
+of the blocks before and after it, the share of its words that notices and adverts are made of, whether it or the block
+before it is a heading, and what its open elements say: a container for something else (navigation, footer, advert,
+comments), perhaps one (a name with other words in it, as ``side-effects``, or what follows a heading like "Responses"), the
+article, or neither, which on a page with an article is outside it.  Words of names and notices so decide together with
+length, links and neighbours.  The tree is grown from the small labelled table below whenever it is needed.
 """
 
 from __future__ import annotations
@@ -35,6 +37,13 @@ _BESIDE_WORDS = frozenset(
     widget toolbar pagination pager""".split()
 )
 _HEADER_WORDS = frozenset("header masthead".split())
+#: Of the first, those that other words may turn into something else, and words that leave them what they are.
+_EITHER_WORDS = frozenset("banner promo promotion cookie cookies notice alert side menu related recommended recommendations share sharing social modal overlay widget".split())
+_PLAIN_WORDS = frozenset(
+    """box wrap wrapper container inner outer list item items bar top bottom left right main section block area content text panel header col column row primary secondary site page global
+    link links button buttons icon icons media post posts article articles story stories news group grid card cards title heading body info warning success danger error dismissible toggle mobile
+    desktop sticky fixed small large image images unit slot zone tools policy settings accept dialog""".split()
+)
 _NOT_WORDS = frozenset("no non not has with without hide".split())
 _CONTENT_WORDS = frozenset("article entry post story".split())
 _TEXT_WORDS = frozenset("body content text main inner wrapper container full single copy page section area header title box".split())
@@ -45,8 +54,16 @@ _ENDING = re.compile(
     r"|(?:related|similar|recommended|more) (?:articles?|posts?|stories|news|reading)|you (?:may|might) also like)\W*\d*\W*",
     re.I,
 )
-#: What notices and imprints say.
-_NOTICE = re.compile(r"©|\(c\) ?\d{4}|\bcopyright\b|\ball rights reserved\b|\b(?:uses?|accept(?: all)?|of|our) cookies\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bnewsletter\b|\bsign (?:in|up)\b|\blog ?in\b", re.I)
+#: Of these, the ones that may as well head a part of the text.
+_PERHAPS_ENDING = re.compile(r"\W*(?:responses?|replies)\W*", re.I)
+#: What notices, imprints, adverts and links to share a page say.
+_NOTICE = re.compile(
+    r"©|\(c\) ?\d{4}|\bcopyright\b|\ball rights reserved\b|\b(?:uses?|accept(?: all)?|of|our) cookies\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bnewsletter\b|\bsign (?:in|up)\b|\blog ?in\b"
+    r"|\badvertisements?\b|\bsponsored\b|\bsubscribe\b|\bshare (?:this|on|via|with)\b|\b(?:share|tweet|print|e?mail)\Z|\bfollow us\b|\b(?:buy|shop|order) now\b|\bwerbung\b|\banzeige\b|\bpublicité\b|\bpublicidad\b",
+    re.I,
+)
+#: A text that has none of these, in lower case, has none of the above.
+_NOTICE_SIGNS = ("©", "(c)", "copyright", "all rights", " cookies", "privacy policy", "terms of", "newsletter", "sign in", "sign up", "log in", "login", "advertisement", "sponsored", "subscribe", "share", "tweet", "print", "mail", "follow us", "buy now", "shop now", "order now", "werbung", "anzeige", "publici")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 #: A tag with a quote that is never closed.
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
@@ -56,11 +73,12 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 ARTICLE_WORDS = 8
 
 #: Features of a block; among equally good splits the tree takes the first of ``PREFERENCE``.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "article", "outside", "notice", "heading")
-PREFERENCE = (6, 7, 8, 9, 1, 0, 10, 3, 5, 2, 4)
-#: The labelled table: pages as runs of blocks of (place, words, link density, heading, 1 for main text or 0).  Places:
-#: a - in a container for something else, t - in the article's text, o - outside the page's article, n - a notice in no
-#: such container, and "-" none of these.  A block's neighbours on its page give the other features.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "article", "outside", "notice", "heading", "perhaps", "titled")
+PREFERENCE = (6, 7, 8, 9, 11, 1, 0, 10, 12, 3, 5, 2, 4)
+#: The labelled table: pages as runs of blocks of (place, words, link density, heading, 1 for main text or 0) and, where it
+#: is not 0, the share of notices' words.  Places: a - in a container for something else, t - in the article's text, o -
+#: outside the page's article, n - a notice in none of them, with three such words, w - perhaps in something else, v - the same
+#: in the article's text, and "-" none of these.  A block's neighbours on its page give the other features.
 LABELLED_PAGES = [
     # an article with short and linked paragraphs, link lists, quotes; menus, related stories, comments, imprint around it
     [("a", 2, 1.0, 0, 0), ("a", 1, 1.0, 0, 0), ("a", 3, 1.0, 0, 0), ("t", 8, 0.0, 1, 1), ("t", 35, 0.0, 0, 1), ("t", 120, 0.02, 0, 1), ("t", 3, 1.0, 0, 1), ("t", 4, 1.0, 0, 1), ("t", 60, 0.4, 0, 1), ("t", 1, 0.0, 0, 1), ("a", 8, 0.0, 0, 0), ("a", 40, 0.0, 0, 0)],
@@ -77,24 +95,46 @@ LABELLED_PAGES = [
     # short pages
     [("-", 2, 0.0, 0, 1)], [("-", 4, 0.0, 1, 1), ("-", 5, 0.0, 0, 1)], [("-", 12, 0.0, 0, 1), ("n", 5, 0.0, 0, 0)], [("t", 2, 0.0, 0, 1)], [("t", 2, 1.0, 0, 1)], [("-", 2, 1.0, 0, 0)], [("n", 4, 0.0, 0, 0)],
     [("a", 3, 1.0, 0, 0), ("-", 6, 0.0, 0, 1), ("a", 5, 0.0, 0, 0)],
+    # notices, adverts and links to share inside an article, and paragraphs about such things
+    [("t", 7, 0.0, 1, 1), ("t", 90, 0.0, 0, 1), ("t", 1, 0.0, 0, 0, 1.0), ("t", 60, 0.02, 0, 1, 0.03), ("t", 5, 1.0, 0, 0, 0.4), ("t", 6, 0.0, 0, 0, 0.33), ("t", 70, 0.0, 0, 1), ("t", 4, 1.0, 0, 0, 0.5), ("t", 9, 0.2, 0, 0, 0.25), ("t", 2, 0.0, 1, 1, 0.5), ("t", 80, 0.0, 0, 1, 0.02), ("t", 7, 0.0, 0, 0, 0.3)],
+    [("t", 5, 0.0, 1, 1, 0.2), ("t", 110, 0.0, 0, 1, 0.01), ("t", 12, 0.0, 0, 1, 0.083), ("t", 3, 0.0, 0, 0, 0.67), ("t", 40, 0.1, 0, 1), ("t", 14, 0.1, 0, 0, 0.2), ("t", 200, 0.0, 0, 1, 0.02), ("t", 2, 1.0, 0, 0, 0.5), ("t", 8, 0.0, 0, 1), ("t", 6, 1.0, 0, 1)],
+    [("t", 6, 0.0, 1, 1), ("t", 30, 0.0, 0, 1), ("t", 2, 1.0, 0, 0, 1.0), ("t", 4, 1.0, 0, 0, 0.25), ("t", 50, 0.3, 0, 1), ("t", 25, 0.04, 0, 1, 0.04), ("t", 8, 0.0, 0, 0, 0.25), ("o", 12, 0.2, 0, 0, 0.25)],
+    [("t", 9, 0.0, 1, 1), ("t", 120, 0.0, 0, 1), ("t", 1, 0.0, 0, 0, 1.0), ("t", 130, 0.0, 0, 1), ("t", 12, 0.0, 0, 1, 0.083), ("t", 6, 0.0, 0, 0, 0.33), ("t", 150, 0.02, 0, 1), ("t", 15, 0.0, 0, 1, 0.067), ("t", 7, 0.0, 0, 0, 0.43), ("t", 11, 0.0, 0, 1, 0.09), ("t", 20, 0.0, 0, 0, 0.15)],
+    [("t", 6, 0.0, 1, 1), ("t", 2, 0.0, 1, 1), ("t", 6, 1.0, 0, 1), ("t", 4, 0.0, 0, 1), ("t", 5, 0.8, 0, 1), ("t", 140, 0.0, 0, 1), ("t", 3, 0.0, 0, 0, 0.33)],
+    # the same without an article
+    [("-", 6, 0.0, 1, 1), ("-", 200, 0.0, 0, 1, 0.005), ("-", 2, 0.0, 1, 1, 0.5), ("-", 120, 0.0, 0, 1, 0.02), ("-", 60, 0.1, 0, 1, 0.017), ("-", 30, 0.1, 0, 0, 0.1), ("n", 6, 0.0, 0, 0)],
+    [("-", 2, 1.0, 0, 0, 0.5), ("-", 8, 0.0, 1, 1), ("-", 50, 0.0, 0, 1, 0.02), ("-", 45, 0.0, 0, 1, 0.022), ("-", 3, 0.0, 1, 0, 0.33), ("-", 12, 0.0, 0, 0, 0.17), ("n", 45, 0.1, 0, 0)],
+    [("-", 4, 0.0, 1, 1, 0.25), ("-", 70, 0.0, 0, 1, 0.03), ("-", 90, 0.02, 0, 1, 0.01), ("-", 1, 0.0, 0, 0, 1.0), ("-", 40, 0.0, 0, 1), ("-", 2, 0.0, 1, 0, 0.5), ("-", 8, 0.1, 0, 0, 0.25)],
+    # containers with doubtful names: parts of the text, and boxes of links and teasers
+    [("-", 5, 0.0, 1, 1), ("-", 60, 0.0, 0, 1), ("w", 2, 0.0, 1, 1), ("w", 90, 0.0, 0, 1), ("w", 80, 0.05, 0, 1), ("w", 30, 0.0, 0, 1), ("-", 70, 0.0, 0, 1)],
+    [("-", 6, 0.0, 1, 1), ("-", 80, 0.0, 0, 1), ("w", 3, 1.0, 0, 0), ("w", 5, 0.8, 0, 0), ("w", 2, 0.0, 1, 0), ("w", 10, 0.0, 0, 0), ("w", 4, 1.0, 0, 0)],
+    [("w", 2, 1.0, 0, 0), ("w", 3, 1.0, 0, 0), ("-", 7, 0.0, 1, 1), ("-", 40, 0.0, 0, 1), ("w", 90, 0.0, 0, 1), ("w", 30, 0.7, 0, 0), ("w", 12, 0.5, 0, 0)],
+    [("t", 8, 0.0, 1, 1), ("t", 70, 0.0, 0, 1), ("v", 2, 0.0, 1, 1), ("v", 90, 0.0, 0, 1), ("v", 4, 1.0, 0, 0), ("v", 5, 0.9, 0, 0), ("t", 30, 0.0, 0, 1)],
+    # under a heading like "Responses": readers' comments behind their names, and a part of the text
+    [("-", 7, 0.0, 1, 1), ("-", 100, 0.0, 0, 1), ("w", 1, 0.0, 1, 0), ("w", 3, 0.0, 0, 0), ("w", 40, 0.0, 0, 0), ("w", 2, 0.0, 0, 0), ("w", 60, 0.0, 0, 0), ("w", 3, 0.0, 0, 0), ("w", 25, 0.0, 0, 0)],
+    [("-", 6, 0.0, 1, 1), ("-", 80, 0.0, 0, 1), ("w", 1, 0.0, 1, 0), ("w", 5, 0.2, 0, 0), ("w", 90, 0.0, 0, 0), ("w", 4, 0.2, 0, 0), ("w", 30, 0.0, 0, 0)],
+    [("-", 7, 0.0, 1, 1), ("-", 100, 0.0, 0, 1), ("w", 1, 0.0, 1, 1), ("w", 100, 0.0, 0, 1), ("w", 100, 0.0, 0, 1)],
+    [("t", 7, 0.0, 1, 1), ("t", 100, 0.0, 0, 1), ("v", 1, 0.0, 1, 1), ("v", 60, 0.0, 0, 1), ("v", 45, 0.1, 0, 1), ("o", 4, 0.0, 0, 0)],
 ]
 
 
 def _rows(blocks: list[tuple]) -> list[tuple]:
-    """Features of a page's blocks of (words, link density, aside, article, outside, notice, heading)."""
+    """Features of a page's blocks of (words, link density, aside, article, outside, notice, heading, perhaps)."""
     sizes = [(0, 0.0), *[b[:2] for b in blocks], (0, 0.0)]
-    return [(*b[:2], *sizes[i], *sizes[i + 2], *b[2:]) for i, b in enumerate(blocks)]
+    return [(*b[:2], *sizes[i], *sizes[i + 2], *b[2:], i > 0 and blocks[i - 1][6]) for i, b in enumerate(blocks)]
 
 
-def labelled() -> np.ndarray:
+def labelled(pages=None) -> np.ndarray:
+    """Features and label of each block of ``pages`` (the labelled table)."""
     rows = []
-    for page in LABELLED_PAGES:
-        found = _rows([(n, links, place == "a", place == "t", place == "o", place == "n", heading) for place, n, links, heading, _ in page])
-        rows += [(*features, block[-1]) for features, block in zip(found, page, strict=True)]
+    for page in LABELLED_PAGES if pages is None else pages:
+        shares = [b[5] if len(b) > 5 else min(1.0, 3 / b[1]) if b[0] == "n" else 0.0 for b in page]
+        found = _rows([(b[1], b[2], b[0] == "a", b[0] in "tv", b[0] == "o", share, b[3], b[0] in "wv") for b, share in zip(page, shares, strict=True)])
+        rows += [(*features, block[4]) for features, block in zip(found, page, strict=True)]
     return np.array(rows, dtype=float)
 
 
-def grow(rows: np.ndarray, deep: int = 7):
+def grow(rows: np.ndarray, deep: int = 12):
     """A decision tree by Gini impurity: (feature, limit, tree up to it, tree beyond it), or a label."""
     labels = rows[:, -1]
     if deep == 0 or labels.min() == labels.max():
@@ -118,8 +158,8 @@ def _tree():
     return grow(labelled())
 
 
-def is_main(features) -> bool:
-    node = _tree()
+def is_main(features, tree=None) -> bool:
+    node = _tree() if tree is None else tree
     while isinstance(node, tuple):
         feature, limit, low, high = node
         node = low if features[feature] <= limit else high
@@ -127,63 +167,76 @@ def is_main(features) -> bool:
 
 
 @lru_cache(maxsize=4096)
-def _named(value: str) -> tuple[bool, bool, bool]:
-    """What a class list or id says: something else, something else but an article's own header, the article's text."""
-    beside = header = content = False
+def _named(value: str) -> tuple[bool, bool, bool, bool]:
+    """What a class list or id says: something else, something else but an article's own header, the article's text, perhaps
+    something else."""
+    beside = header = content = perhaps = False
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name)]
         plain = [w for before, w in pairwise(["", *words]) if before not in _NOT_WORDS]
-        beside |= not _BESIDE_WORDS.isdisjoint(plain)
+        hits = _BESIDE_WORDS.intersection(plain)
+        sure = not hits <= _EITHER_WORDS or _BESIDE_WORDS | _PLAIN_WORDS >= set(words)
+        beside |= bool(hits) and sure
+        perhaps |= bool(hits) and not sure
         header |= not _HEADER_WORDS.isdisjoint(plain)
         own = set(words)
         content |= bool(own & _CONTENT_WORDS) and own <= _CONTENT_WORDS | _TEXT_WORDS
-    return beside or header, beside, content
+    return beside or header, beside, content, perhaps
 
 
-def _signs(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element holds something beside the text, and whether it holds an article; ``inside``: it is in one."""
+def _signs(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element holds something beside the text, whether it holds an article, and whether perhaps the former;
+    ``inside``: it is in an article."""
+    perhaps = False
     beside, content = name in _ASIDE and not (name == "header" and inside), name == "article"
     for attribute, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value, attribute = "".join(values), attribute.lower()
         if attribute == "hidden" or attribute == "aria-hidden" and value == "true" or attribute == "role" and value.lower() in _ROLES:
             beside = True
         elif attribute in ("class", "id"):
-            anywhere, own, text = _named(value)
+            anywhere, own, text, doubtful = _named(value)
             if name not in ("html", "body", "main"):
                 beside |= own if inside or name == "article" else anywhere
+                perhaps |= doubtful
             content |= text and name not in ("html", "body", *_HEADINGS, "p", "li")
     # An article in an article is a comment on it.
-    return beside or name == "article" and inside, content
+    return beside or name == "article" and inside, content, perhaps
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
-    """(text, words, link density, beside the text, in an article, in the main part, heading) of the page's blocks, in order."""
+def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool, bool]]:
+    """(text, words, link density, beside the text, in an article, in the main part, heading, perhaps beside) of the page's
+    blocks, in order."""
     out, parts, words, linked = [], [], 0, 0
-    open_: list[tuple[str, bool, bool]] = []  # block-level and silent elements: name, beside, article
+    open_: list[tuple[str, bool, bool, bool]] = []  # block-level and silent elements: name, beside, article, perhaps
     count: Counter[str] = Counter()
-    beside = article = silent = heading = 0
-    link = ending = -1  # how many elements were open where a link, or a list of comments, began
+    beside = article = silent = heading = perhaps = 0
+    link = ending = doubt = -1  # how many elements were open where a link, or what surely or perhaps are comments, began
 
     def flush():
-        nonlocal words, linked, ending
+        nonlocal words, linked, ending, doubt
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
             n = len(text.split(" "))
             if ending < 0 and n <= 6 and _ENDING.fullmatch(text):
                 # The container is what holds the heading's own element.
-                ending = max(len(open_) - 1, 0)
-            out.append((text, n, min(1.0, linked / max(words, 1)), beside > 0 or ending >= 0, article > 0, count["main"] > 0, heading > 0))
+                if _PERHAPS_ENDING.fullmatch(text):
+                    doubt = max(len(open_) - 1, 0)
+                else:
+                    ending = max(len(open_) - 1, 0)
+            out.append((text, n, min(1.0, linked / max(words, 1)), beside > 0 or ending >= 0, article > 0, count["main"] > 0, heading > 0, perhaps > 0 or doubt >= 0))
         words = linked = 0
 
     def leave(i: int):
-        nonlocal beside, article, silent, heading, link, ending
-        for name, b, c in open_[i:]:
+        nonlocal beside, article, silent, heading, perhaps, link, ending, doubt
+        for name, b, c, d in open_[i:]:
             count[name] -= 1
+            perhaps -= d
             beside, article, silent, heading = beside - b, article - c, silent - (name in _SILENT), heading - (name in _HEADINGS)
         del open_[i:]
         link = link if i >= link else -1
         ending = ending if i >= ending else -1
+        doubt = doubt if i >= doubt else -1
 
     def add(text: str):
         nonlocal words, linked
@@ -226,9 +279,10 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
             continue
         if open_ and (open_[-1][0] == "p" and name not in _SILENT or name in _ROWS and open_[-1][0] == name):
             leave(len(open_) - 1)
-        b, c = _signs(name, attributes, article > 0)
-        open_.append((name, b, c))
+        b, c, d = _signs(name, attributes, article > 0)
+        open_.append((name, b, c, d))
         count[name] += 1
+        perhaps += d
         beside, article, silent, heading = beside + b, article + c, silent + (name in _SILENT), heading + (name in _HEADINGS)
         if name in _RAW:
             close = re.compile(rf"</{name}\s*>|\Z", re.I).search(page, at)
@@ -238,9 +292,14 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
     return out
 
 
-def _is_notice(text: str) -> bool:
-    """Also of what has neither a letter nor a digit."""
-    return bool(_NOTICE.search(text)) or not any(map(str.isalnum, text))
+def _notice_share(text: str, words: int, article: bool) -> float:
+    """The notices' phrases a word; outside articles 1 for what has neither a letter nor a digit."""
+    if not article and not any(map(str.isalnum, text)):
+        return 1.0
+    low = text.lower()
+    if not any(sign in low for sign in _NOTICE_SIGNS):
+        return 0.0
+    return min(1.0, sum(1 for _ in _NOTICE.finditer(text)) / words)
 
 
 def main_text(page: str | None) -> str:
@@ -249,19 +308,24 @@ def main_text(page: str | None) -> str:
     Where no article is marked, the main part is taken for one.  A heading right before the article is its title.
     """
     found = blocks(page or "")
-    own = [a and not aside for *_, aside, a, _, _ in found]
+    own = [a and not aside for *_, aside, a, _, _, _ in found]
     if sum(n for (_, n, *_), yes in zip(found, own, strict=True) if yes) < ARTICLE_WORDS:
-        own = [(a or m) and not aside for *_, aside, a, m, _ in found]
+        own = [(a or m) and not aside for *_, aside, a, m, _, _ in found]
     marked = sum(n for (_, n, *_), yes in zip(found, own, strict=True) if yes) >= ARTICLE_WORDS
     if True in own:
         first = own.index(True)
         if first and found[first - 1][6] and not found[first - 1][3] and found[first - 1][2] < 0.5:
             own[first - 1] = True
-    rows = _rows([(n, links, aside, yes, marked and not (yes or aside), not (yes or aside) and _is_notice(text), heading) for (text, n, links, aside, _, _, heading), yes in zip(found, own, strict=True)])
+    rows = _rows(
+        [
+            (n, links, aside, yes, marked and not (yes or aside), 0.0 if aside else _notice_share(text, n, yes), heading, perhaps and not aside)
+            for (text, n, links, aside, _, _, heading, perhaps), yes in zip(found, own, strict=True)
+        ]
+    )
     kept = [is_main(r) for r in rows]
     if True not in kept:
         # A page of a few short blocks without any link: what stands beside nothing is its text.
-        kept = [not r[6] and not r[9] and r[1] < 0.5 for r in rows]
+        kept = [not r[6] and r[9] < 0.1 and r[1] < 0.5 for r in rows]
     return "\n\n".join(text for (text, *_), yes in zip(found, kept, strict=True) if yes)
 
 

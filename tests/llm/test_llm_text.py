@@ -255,6 +255,71 @@ def test_main_text_of_page(page, text):
     assert boilerplate.main_text(page) == "\n\n".join(text)
 
 
+def held_out_f1():
+    """Of main blocks, where each labelled page is judged by a tree grown from the others."""
+    pages, hits, marks = boilerplate.LABELLED_PAGES, 0, 0
+    for i, page in enumerate(pages):
+        tree = boilerplate.grow(boilerplate.labelled(pages[:i] + pages[i + 1 :]))
+        for *features, label in boilerplate.labelled([page]):
+            kept = boilerplate.is_main(features, tree)
+            hits, marks = hits + (kept and label), marks + kept + label
+    return 2 * hits / marks
+
+
+def test_tree_on_pages_held_out():
+    f1 = held_out_f1()
+    print(f"block F1 on held-out pages {f1:.3f}")
+    assert f1 > 0.85
+
+
+def test_tree_looks_at_neighbours():
+    def used(node):
+        return {boilerplate.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert used(boilerplate._tree()) >= {"words", "links", "notice"} and {f for f in used(boilerplate._tree()) if f.endswith(("_before", "_after")) or f == "titled"}
+
+
+def of(n, seed=0, put=""):
+    return " ".join(words_of(n // 2, 500 + seed) + ([put] if put else []) + words_of(n - n // 2, 700 + seed)) + "."
+
+
+ADVERTS = ["Advertisement", '<a href="/x" rel="sponsored">Sponsored: buy now</a>', "Subscribe to our newsletter", '<a href="/s">Share on Twitter</a> <a href="/s">Share on Facebook</a>', "We use cookies. Accept all cookies", "Copyright 2024 Example. All rights reserved."]
+
+
+@pytest.mark.parametrize("advert", ADVERTS)
+@pytest.mark.parametrize("at", [1, 2, 3])
+def test_notices_in_articles_go(advert, at):
+    text = [f"<p>{of(n, n)}</p>" for n in (60, 130, 25)]
+    page = f"<body><article><h1>Some title here</h1>{''.join(text[:at])}<p>{advert}</p>{''.join(text[at:])}</article></body>"
+    assert boilerplate.main_text(page) == "\n\n".join(["Some title here", *(of(n, n) for n in (60, 130, 25))])
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<body>{}</body>"])
+def test_paragraphs_about_notices_stay(wrap):
+    parts = [of(200, 1, "copyright law"), of(150, 2, "a newsletter"), of(90, 3, "sign in")]
+    inner = f"<h1>A title of it</h1><p>{parts[0]}</p><p>{parts[1]}</p><h2>Login history</h2><p>{parts[2]}</p>"
+    assert boilerplate.main_text(wrap.format(inner)) == "\n\n".join(["A title of it", *parts[:2], "Login history", parts[2]])
+
+
+@pytest.mark.parametrize("name", ['class="side-effects"', 'id="menu-of-the-day"', 'class="alertFatigue"'])
+def test_names_alone_remove_nothing(name):
+    a, b, c = of(70, 4), of(90, 5), of(90, 6)
+    page = f"<body><h1>A title of it</h1><p>{a}</p><div {name}><p>{b}</p><p>{c}</p></div></body>"
+    assert boilerplate.main_text(page) == "\n\n".join(["A title of it", a, b, c])
+    links = f"<body><h1>A title of it</h1><p>{a}</p><p>{b}</p><div {name}><p><a href='/'>more of</a></p><p><a href='/'>such things</a></p></div></body>"
+    assert boilerplate.main_text(links) == "\n\n".join(["A title of it", a, b])
+
+
+def test_responses():
+    a, b, c = of(100, 7), of(100, 8), of(100, 9)
+    page = f"<body><h1>A title of it</h1><p>{a}</p><h2>Responses</h2><p>{b}</p><p>{c}</p></body>"
+    assert boilerplate.main_text(page) == "\n\n".join(["A title of it", a, "Responses", b, c])
+    comments = f"<body><h1>A title of it</h1><p>{a}</p><h2>Responses</h2><p>Ann, May 3</p><p>{of(40, 1)}</p><p>Bob, May 4</p><p>{of(60, 2)}</p></body>"
+    assert boilerplate.main_text(comments) == f"A title of it\n\n{a}"
+    sure = f"<body><h1>A title of it</h1><p>{a}</p><h2>3 Comments</h2><p>{b}</p><p>{c}</p></body>"
+    assert boilerplate.main_text(sure) == f"A title of it\n\n{a}"
+
+
 def test_long_and_deep_pages():
     import time
 
