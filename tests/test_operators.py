@@ -217,6 +217,30 @@ def test_dense_topk_equals_all_pairs(spark, monkeypatch, block):
         assert [got[i, n + 1] for n in range(5)] == order
 
 
+def test_many_queries_meet_all_items_in_a_stream(spark, monkeypatch):
+    """No table of pairs of blocks: a task holds its queries' best and items go by.  Copies tie, each query has its own k."""
+    from lumenfold.functions import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 100)
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.integers(-3, 4, size=(900, 4)).astype(float), 3, axis=0)
+    rows = [(2**60 + 7 * i % 2700, [float(x) for x in r]) for i, r in enumerate(v)]
+    items = spark.createDataFrame([*rows, (None, [1.0] * 4), (5, None)], "paper_id long, embedding array<double>")
+    asks = [(q, [float(x) for x in rng.integers(-3, 4, size=4)], int(q % 9)) for q in range(1300)]
+    bar = [(q, 2**60 + int(i)) for q in range(0, 1300, 4) for i in rng.integers(0, 2700, 300)]
+    queries = spark.createDataFrame([*asks, (None, [1.0] * 4, 3)], "query_id long, embedding array<double>, own long")
+    found = vectors.dense_topk(queries, items, 7, exclude=spark.createDataFrame(bar, "query_id long, paper_id long"), k_column="own")
+    pairs = found.select("query_id", "paper_id", "score", "rank")
+    plan = vectors.dense_topk(queries, items, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Product" not in plan
+    got, barred = {(r["query_id"], r["rank"]): (r["paper_id"], r["score"]) for r in pairs.collect()}, set(bar)
+    expected = {}
+    for q, x, own in asks:
+        scored = sorted((-round(float(np.dot(x, y)), 9), i) for i, y in rows if (q, i) not in barred)[: min(own, 7)]
+        expected |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(scored)}
+    assert got == expected
+
+
 @pytest.mark.parametrize("numbers", [1 << 21, 64])
 def test_best_score_of_many_examples(spark, monkeypatch, numbers):
     rng = np.random.default_rng(5)
