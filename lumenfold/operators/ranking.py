@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.vectors import cosine, met
+from ..functions.vectors import cosine, places, runs, stacked
 from ..sources.staging import staged
 
 # Feature weights, decay and diversity.
@@ -17,8 +18,10 @@ WEIGHTS = {"lt": 0.40, "st": 0.25, "recency": 0.15, "rank": 0.10, "negative": 0.
 DECAY = 0.002
 MMR_LAMBDA = 0.6
 EXPLORE = 2
-#: Items, and examples, that meet at once; numbers in the vectors of a block of examples (16 MB).
-ITEM_BLOCK, EXAMPLE_BLOCK, EXAMPLE_NUMBERS = 2048, 256, 1 << 21
+#: Items, and examples, that meet at once; numbers in the vectors of the items that a task holds (64 MB).
+ITEM_BLOCK, EXAMPLE_BLOCK, ITEM_NUMBERS = 2048, 256, 1 << 23
+#: Numbers in the vectors of the examples that meet at once, where vectors are long.
+EXAMPLE_NUMBERS = 1 << 21
 
 
 def features(candidates: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
@@ -180,73 +183,73 @@ def best_score(examples: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     ``examples``: ``query_id``, ``paper_id``, ``embedding``, ``positive``.  The score is the best positive similarity if it
     beats the best negative one, else minus the square of the latter.  Examples themselves are not returned; queries
-    without positives give no rows, rows without an id take no part, repeated rows count once.  Examples and items are
-    packed into blocks in tasks and meet by number.  A query's examples lie in one block, where each block of items keeps its
-    k best; only the examples beyond ``EXAMPLE_NUMBERS`` numbers fill several, whose best similarities are joined in Spark.
+    without positives give no rows, rows without an id take no part, repeated rows count once.  A task holds some items, at most
+    ``ITEM_NUMBERS`` numbers about, and the examples of some queries stream past them, a query's one after the other, however many
+    they are; what leaves it is each query's k best of its items.
     """
     examples, items = examples.where("query_id IS NOT NULL AND paper_id IS NOT NULL"), items.where("paper_id IS NOT NULL")
-    useful = examples.join(examples.where("positive").select("query_id").distinct(), "query_id", "left_semi")
-    useful = useful.select("query_id", "paper_id", "embedding", "positive").distinct()
-    totals = useful.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"), F.max(F.size("embedding")).alias("size"))
-    parts = F.ceil(F.col("total") * F.col("size") / EXAMPLE_NUMBERS)
-    dealt = useful.join(totals, "query_id").withColumn("part", F.pmod(F.xxhash64("paper_id", "embedding", "positive"), parts)).drop("size")
-    ordered = dealt.repartition("query_id", "part").sortWithinPartitions("query_id", "part")
-
-    def pack_items(batches):
-        for batch in batches:
-            for at in range(0, len(batch), ITEM_BLOCK):
-                part = batch.iloc[at : at + ITEM_BLOCK]
-                yield pd.DataFrame([{"ids": part["paper_id"].to_numpy(np.int64).tobytes(), "rows": np.stack(part["embedding"]).astype(float).tobytes()}])
-
-    def pack_examples(batches):
-        held, size, last = [], 0, None
+    n, size = items.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    m, asked = examples.agg(F.count(F.lit(1)), F.approx_count_distinct("query_id")).first()
+    # Few queries meet all items in every task; more are dealt too, so that as little as can be is sent twice.
+    tasks = 2 * items.sparkSession.sparkContext.defaultParallelism
+    wanted = tasks if asked < 4 * tasks else round((tasks * n / max(m, 1)) ** 0.5)
+    parts = max(1, min(wanted, tasks, n), -(-n * (size or 0) // ITEM_NUMBERS))
+    groups = 1 if asked < 4 * tasks else -(-tasks // parts)
+    step = max(1, min(EXAMPLE_BLOCK, EXAMPLE_NUMBERS // max(size or 0, 1)))
+    dealt = lambda key, among: F.pmod(F.xxhash64(key), F.lit(among)).cast("int")
+    every = lambda among: F.explode(F.sequence(F.lit(0), F.lit(among - 1)))
+    held = items.select(dealt("paper_id", parts).alias("part"), every(groups).alias("group"), F.lit(None).cast("long").alias("query_id"), F.col("paper_id").cast("long"), "embedding", F.lit(None).cast("boolean").alias("positive"))
+    sent = examples.select(every(parts).alias("part"), dealt("query_id", groups).alias("group"), F.col("query_id").cast("long"), F.col("paper_id").cast("long"), "embedding", "positive")
+    both = held.unionByName(sent).withColumn("number", F.col("part") * groups + F.col("group")).drop("part", "group")
+    # A task's items come first, in order, then the examples query by query.
+    ordered = both.repartitionById(parts * groups, "number").sortWithinPartitions("number", F.col("query_id").isNotNull(), "query_id", "paper_id")
+
+    def best(query: int, names: np.ndarray, good: np.ndarray, bad: np.ndarray, known: np.ndarray):
+        good, bad = np.round(good, 9), np.maximum(np.round(bad, 9), -1.0)
+        value = np.round(np.where(good > bad, good, -bad * bad), 9)
+        left = np.flatnonzero(~known)
+        if len(left) > k:
+            left = left[value[left] >= np.partition(value[left], len(left) - k)[len(left) - k]]
+        top = left[np.lexsort([names[left], -value[left]])[:k]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(top), query), names[top], value[top])], ["query_id", "paper_id", "score"])
+
+    def stream(batches):
+        number, query, waiting = None, None, []
+        names, rows, near, known = np.zeros(0, dtype=np.int64), np.zeros((0, 0)), np.zeros((2, 0)), np.zeros(0, dtype=bool)
+
+        def answer():
+            # Without a positive example there is no answer.
+            if query is not None and len(names) and np.isfinite(near[0]).any():
+                yield best(query, names, *near, known)
 
-        def block():
-            whole = pd.concat(held)
-            number = lambda c: whole[c].to_numpy(np.int64).tobytes()
-            return pd.DataFrame([{"known": number("paper_id"), "totals": number("total"), "asked": number("query_id"), "signs": whole["positive"].to_numpy(bool).tobytes(), "vectors": np.stack(whole["embedding"]).astype(float).tobytes()}])
-
-        for batch in batches:
-            groups = batch.groupby(["query_id", "part"], sort=False)
-            for group, rows in groups:
-                # A block ends where a query's part does.
-                if group != last and size + len(rows) > EXAMPLE_BLOCK and held:
-                    yield block()
-                    held, size = [], 0
-                held.append(rows)
-                size, last = size + len(rows), group
-        if held:
-            yield block()
-
-    packed = staged(items.select("paper_id", "embedding").mapInPandas(pack_items, "ids binary, rows binary"), "items")
-    asks = staged(ordered.mapInPandas(pack_examples, "known binary, totals binary, asked binary, signs binary, vectors binary"), "asks")
-
-    def meet(batches):
         for batch in batches:
-            for r in batch.itertuples():
-                names, asked, known_, totals_ = (np.frombuffer(x, dtype=np.int64) for x in (r.ids, r.asked, r.known, r.totals))
-                positive = np.frombuffer(r.signs, dtype=bool)
-                rows, examples_ = np.frombuffer(r.rows).reshape(len(names), -1), np.frombuffer(r.vectors).reshape(len(asked), -1)
-                best = {q: np.full((2, len(names)), -np.inf) for q in np.unique(asked)}
-                for at in range(0, len(asked), EXAMPLE_BLOCK):
-                    here = slice(at, at + EXAMPLE_BLOCK)
-                    near = np.round(rows @ examples_[here].T, 9)
-                    for q in np.unique(asked[here]):
-                        for side, sign in enumerate((positive[here], ~positive[here])):
-                            own = (asked[here] == q) & sign
-                            np.maximum(best[q][side], near[:, own].max(axis=1, initial=-np.inf), out=best[q][side])
-                for q, (good, bad) in best.items():
-                    own, top = asked == q, slice(None)
-                    if own.sum() == totals_[own][0]:
-                        value = np.round(np.where(good > np.maximum(bad, -1.0), good, -(np.maximum(bad, -1.0) ** 2)), 9)
-                        allowed = np.flatnonzero(~np.isin(names, known_[own]))
-                        top = allowed[np.lexsort([names[allowed], -value[allowed]])[:k]]
-                    yield pd.DataFrame({"query_id": q, "paper_id": names[top], "good": good[top], "bad": bad[top]})
-
-    parts = met(packed, asks).mapInPandas(meet, "query_id long, paper_id long, good double, bad double")
-    best = parts.groupBy("query_id", "paper_id").agg(F.max("good").alias("good"), F.greatest(F.max("bad"), F.lit(-1.0)).alias("bad"))
-    known = useful.select("query_id", "paper_id").distinct()
-    value = F.round(F.when(F.col("good") > F.col("bad"), F.col("good")).otherwise(-F.col("bad") * F.col("bad")), 9)
-    scored = best.join(known, ["query_id", "paper_id"], "left_anti").select("query_id", "paper_id", value.alias("score"))
+            numbers, isitem = batch.column("number").to_numpy(), batch.column("query_id").is_null().to_numpy(zero_copy_only=False)
+            asks = batch.column("query_id").fill_null(0).to_numpy()
+            for own in runs(numbers, isitem, asks):
+                part = batch.slice(own.start, own.stop - own.start)
+                if numbers[own.start] != number:
+                    yield from answer()
+                    number, query, waiting, names = numbers[own.start], None, [], np.zeros(0, dtype=np.int64)
+                if isitem[own.start]:
+                    waiting.append((part.column("paper_id").to_numpy(), stacked(part.column("embedding"))))
+                    continue
+                if waiting:
+                    names, rows = (np.concatenate([w[i] for w in waiting]) for i in range(2))
+                    waiting = []
+                if not len(names):
+                    continue
+                if asks[own.start] != query:
+                    yield from answer()
+                    query, near, known = asks[own.start], np.full((2, len(names)), -np.inf), np.zeros(len(names), dtype=bool)
+                known[places(names, part.column("paper_id").to_numpy())[1]] = True
+                vectors, positive = stacked(part.column("embedding")), part.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+                for side, examples_ in enumerate((vectors[positive], vectors[~positive])):
+                    for low in range(0, len(examples_), step):
+                        for at in range(0, len(names), ITEM_BLOCK):
+                            here = slice(at, at + ITEM_BLOCK)
+                            np.maximum(near[side, here], (examples_[low : low + step] @ rows[here].T).max(axis=0), out=near[side, here])
+        yield from answer()
+
+    found = ordered.select("number", "query_id", "paper_id", "embedding", "positive").mapInArrow(stream, "query_id long, paper_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "paper_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
