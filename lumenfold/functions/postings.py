@@ -12,14 +12,20 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import shared_root, staged
+from .sparse import _flat
+from .vectors import runs
 
 #: Items of a shard at most, about; of a shard at least, while there are fewer shards than cores; of a window.
 SHARD_ITEMS, LEAST_ITEMS, WINDOW = 32768, 512, 4
+#: Postings of a shard at most, about: one shard is held by the task that makes it and by those that search it.
+SHARD_POSTINGS = 1 << 20
 #: Queries that meet a shard in one task, and windows scored before the first look at the bound (then twice as many).
 QUERY_GROUP, STEP = 1024, 32
 #: Rows of a term table that may be broadcast.
@@ -28,38 +34,38 @@ BROADCAST_ROWS = 200_000
 BM25_K, BM25_B = 1.2, 0.75
 KINDS = ("unit", "keyword")
 _POSTINGS = "shard int, term string, windows binary, starts binary, top_unit binary, top_keyword binary, items binary, counts binary, norms binary, least binary"
+_NAMES = [c.split()[0] for c in _POSTINGS.split(", ")]
 
 
-def _shard_rows(shard: int, names: np.ndarray, terms: list, counts: list, mean: float):
-    """The shard's row of items (no term), then a row for each term, in order."""
-    sizes = np.array([len(t) for t in terms])
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in terms])
-    tf = np.concatenate([np.asarray(c, dtype=float) for c in counts])
+def _shard_rows(shard: int, names: np.ndarray, sizes: np.ndarray, terms: pa.Array, tf: np.ndarray, mean: float):
+    """The shard's row of items (no term), then a row for each term, in order.  ``terms`` and ``tf`` lie end to end."""
     item = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
     norms = np.sqrt(np.bincount(item, tf * tf, len(names)))
     least = BM25_K * (1 - BM25_B + BM25_B * np.bincount(item, tf, len(names)) / mean)
-    code, words = pd.factorize(flat)
-    rank = np.argsort(np.argsort(words.astype(str), kind="stable"), kind="stable")
-    order = np.lexsort([item, rank[code]])
-    code, item, tf = rank[code][order], item[order], tf[order]
-    words = np.sort(words.astype(str))
+    coded = terms.dictionary_encode()
+    sorted_ = pc.array_sort_indices(coded.dictionary)
+    words, rank = coded.dictionary.take(sorted_), np.argsort(sorted_.to_numpy()).astype(np.int32)
+    code = rank[coded.indices.to_numpy()]
+    order = np.lexsort([item, code])
+    code, item, tf = code[order], item[order], tf[order]
     unit, keyword = tf / norms[item], tf * (BM25_K + 1) / (tf + least[item])
     window = item // WINDOW
     first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (window[1:] != window[:-1])])
     tops = [np.maximum.reduceat(x, first) for x in (unit, keyword)]
-    head = dict.fromkeys(("term", "windows", "starts", "top_unit", "top_keyword", "counts"))
-    yield pd.DataFrame([{**head, "shard": shard, "items": names.tobytes(), "norms": norms.tobytes(), "least": least.tobytes()}])
+    schema = pa.schema([(n, pa.int32() if n == "shard" else pa.string() if n == "term" else pa.binary()) for n in _NAMES])
+    batch = lambda n, own: pa.RecordBatch.from_arrays([pa.array(own.get(c, [None] * n), schema.field(c).type) for c in _NAMES], schema=schema)
+    yield batch(1, {"shard": [shard], "items": [names.tobytes()], "norms": [norms.tobytes()], "least": [least.tobytes()]})
     blocks = np.searchsorted(code[first], np.arange(len(words) + 1))
     posts = np.searchsorted(code, np.arange(len(words) + 1))
     flat_columns = {"windows": (window[first].astype(np.int32), blocks), "starts": ((first - posts[code[first]]).astype(np.int32), blocks), "top_unit": (tops[0], blocks), "top_keyword": (tops[1], blocks), "items": (item.astype(np.int32), posts), "counts": (tf.astype(np.int32), posts)}
     for low in range(0, len(words), 8192):
-        own = range(low, min(low + 8192, len(words)))
-        cut = {}
+        n = min(8192, len(words) - low)
+        cut = {"shard": [shard] * n, "term": words.slice(low, n)}
         for name, (values, ends) in flat_columns.items():
-            data, size = values[ends[low] : ends[own[-1] + 1]].tobytes(), values.itemsize
-            at = ((ends[low : own[-1] + 2] - ends[low]) * size).tolist()
+            data, size = values[ends[low] : ends[low + n]].tobytes(), values.itemsize
+            at = ((ends[low : low + n + 1] - ends[low]) * size).tolist()
             cut[name] = [data[x:y] for x, y in zip(at, at[1:], strict=False)]
-        yield pd.DataFrame({"shard": shard, "term": words[low : own[-1] + 1], **cut, "norms": None, "least": None})
+        yield batch(n, cut)
 
 
 def build_postings(items: DataFrame, item: str = "paper_id", path: str | None = None) -> str:
@@ -72,28 +78,32 @@ def build_postings(items: DataFrame, item: str = "paper_id", path: str | None =
     # Written before it is filtered: a filter on what Python counted would count twice.
     rows = staged(items.select(F.col(item).cast("long").alias("item"), "terms", "weights", "total"), "posting-items")
     rows = rows.where(F.col("item").isNotNull() & (F.size("terms") > 0))
-    n, mean = rows.agg(F.count(F.lit(1)), F.avg("total")).first()
+    n, mean, postings = rows.agg(F.count(F.lit(1)), F.avg("total"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     # The least hash of an item's terms is often shared by items with many terms in common.
     near = F.array_min(F.transform("terms", lambda t: F.xxhash64(t)))
-    shards = max(1, -(-n // SHARD_ITEMS), min(n // LEAST_ITEMS, spark.sparkContext.defaultParallelism))
+    shards = max(1, -(-n // SHARD_ITEMS), -(-postings // SHARD_POSTINGS), min(n // LEAST_ITEMS, spark.sparkContext.defaultParallelism))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).withColumn("near", near)
-    dealt = dealt.select("shard", "near", "item", "terms", "weights").repartition(shards, "shard").sortWithinPartitions("shard", "near", "item")
+    dealt = dealt.select("shard", "near", "item", "terms", "weights").repartitionById(shards, "shard").sortWithinPartitions("shard", "near", "item")
 
     def index(batches):
-        shard, names, terms, counts = None, [], [], []
+        shard, held = None, []
+
+        def whole():
+            names, sizes, tf = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+            return _shard_rows(shard, names, sizes, pa.concat_arrays([h[2] for h in held]), tf, mean)
+
         for batch in batches:
-            for number, own in batch.groupby("shard", sort=False):
-                if number != shard and names:
-                    yield from _shard_rows(shard, np.concatenate(names), terms, counts, mean)
-                    names, terms, counts = [], [], []
-                shard = number
-                names.append(own["item"].to_numpy(np.int64))
-                terms += own["terms"].tolist()
-                counts += own["weights"].tolist()
-        if names:
-            yield from _shard_rows(shard, np.concatenate(names), terms, counts, mean)
-
-    dealt.mapInPandas(index, _POSTINGS).write.parquet(f"{path}/postings")
+            numbers = batch.column("shard").to_numpy()
+            for own in runs(numbers):
+                if numbers[own.start] != shard and held:
+                    yield from whole()
+                    held = []
+                shard, part = int(numbers[own.start]), batch.slice(own.start, own.stop - own.start)
+                held.append((part.column("item").to_numpy(), *_flat(part)))
+        if held:
+            yield from whole()
+
+    dealt.mapInArrow(index, _POSTINGS).write.parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings").where("term IS NOT NULL")
     written.groupBy("term").agg(F.sum((F.length("items") / 4).cast("long")).alias("df")).write.parquet(f"{path}/terms")
     spark.createDataFrame([(n, mean)], "items long, mean double").coalesce(1).write.parquet(f"{path}/totals")

@@ -154,6 +154,28 @@ def test_words_are_counted_once(spark, tmp_path):
     assert seen.value == 500
 
 
+def test_shards_and_score_tables_are_bounded(spark, monkeypatch):
+    """What a task holds follows from postings and products, not from how many items there are or share words."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "SHARD_POSTINGS", 3000)
+    rows = spark.range(600).selectExpr("id AS paper_id", "concat(repeat('x', 50000), ' ', array_join(transform(sequence(1, 30), i -> concat('w', i * (id % 7 + 1))), ' ')) AS text")
+    path = postings.build_postings(sparse.term_counts(rows, "paper_id"))
+    assert spark.read.parquet(f"{path}/postings").select("shard").distinct().count() >= 6
+    ask = sparse.term_vectors(spark.createDataFrame([(1, "w3 w5 w14")], "query_id long, text string"), "query_id")
+    assert pairs(postings.PostingIndex(spark, path).search(ask, 5)) == pairs(sparse.sparse_topk(ask, sparse.term_vectors(rows, "paper_id"), 5))
+    words = [f"w{i}" for i in range(100)]
+    index = sparse._Index(range(500), pa.array(words * 500), np.full(500, 100), np.ones(50_000))
+    tracemalloc.start()
+    best = index.best(3)
+    index.add(best, np.arange(400), np.full(400, 100), pa.array(words * 400), np.ones(40_000))  # 20 million products
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and best.names.tolist() == [[0, 1, 2]] * 500 and (best.scores == 100).all()
+
+
 def test_empty_postings(spark):
     none = sparse.term_counts(spark.createDataFrame([], "paper_id long, text string"), "paper_id")
     index = postings.PostingIndex(spark, postings.build_postings(none))
