@@ -2,39 +2,82 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import cosine
+from ..functions.vectors import EPS, stacked
 from ..operators import lambdamart
-from ..operators.asof import asof_join
 from ..operators.ranking import WEIGHTS
-from ..operators.state import profile_history
+from ..operators.state import ALPHA
 from ..sources.staging import staged
 
 # What an event says of a paper that was shown.
 GAINS = {"save": 2, "click": 1, "view": 0, "not_interested": 0}
 _PROFILES = {"lt": "long_term", "st": "short_term", "neg": "negative"}
 FEATURES = ["lt_sim", "st_sim", "neg_sim", "saves_before", "dismissals_before"]
+_AT = {s: FEATURES.index(f"{s}_sim") for s in _PROFILES}
+#: The profiles that an event changes.
+_CHANGES = {"save": ("lt", "st"), "not_interested": ("neg",)}
 
 
 def training_table(events: DataFrame, vectors: DataFrame, days: int = 6) -> DataFrame:
     """``group`` (a user's events of some days), ``id``, ``user_id``, ``paper_id``, ``timestamp``, ``label`` and ``features``.
 
-    Features are similarities to the user's profiles, and counts, as of just before the event: a join on time with the
-    history of each profile, so an event never sees itself or what came later.  Events whose paper has no vector are left out.
+    Features are similarities to the user's profiles, and counts, as of just before the event: one fold over a
+    user's events in order, which holds a vector for each profile, so an event never sees itself or what came later.  Events whose paper has no vector are left out.
     """
     label = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in GAINS.items()])
-    shown = events.where(F.col("event_type").isin(list(GAINS)) & F.col("user_id").isNotNull()).join(vectors.select("paper_id", "embedding"), "paper_id")
     group = F.concat_ws("/", F.col("user_id").cast("string"), F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / (86_400 * days)).cast("string"))
-    shown = shown.select(group.alias("group"), "id", "user_id", "paper_id", "timestamp", label.alias("label"), "embedding")
-    for short, kind in _PROFILES.items():
-        history = profile_history(events, vectors, kind).select("user_id", "timestamp", F.col("n").alias(f"{short}_n"), F.col("profile").alias(short))
-        shown = asof_join(shown, history, "user_id", "timestamp", [f"{short}_n", short])
-    similar = {f"{s}_sim": F.round(cosine(F.col("embedding"), F.col(s)), 9) for s in _PROFILES}
-    counts = {"saves_before": F.coalesce("lt_n", F.lit(0)), "dismissals_before": F.coalesce("neg_n", F.lit(0))}
-    told = shown.withColumns(similar | counts)
-    return told.select("group", "id", "user_id", "paper_id", "timestamp", "label", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("features"))
+    known = events.where(F.col("event_type").isin(list(GAINS)) & F.col("user_id").isNotNull()).join(vectors.select("paper_id", "embedding"), "paper_id")
+    columns = ["group", "id", "user_id", "paper_id", "timestamp", "label"]
+    rows = known.select(group.alias("group"), "id", "user_id", "paper_id", "timestamp", label.alias("label"), "event_type", "embedding")
+    schema = T.StructType([*rows.select(columns).schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def fold(batches):
+        user, profiles, counts, waiting, last = None, {}, {}, [], None
+        for batch in batches:
+            sims = np.zeros((len(batch), len(FEATURES)))
+            users, kinds, own = batch.column("user_id").to_pylist(), batch.column("event_type").to_pylist(), batch.column("embedding")
+            there, matrix = own.is_valid().to_numpy(zero_copy_only=False), stacked(own.drop_null())
+            place = np.cumsum(there) - 1
+            for i, (u, time, kind) in enumerate(zip(users, batch.column("timestamp").cast(pa.int64()).to_pylist(), kinds, strict=True)):
+                if u != user:
+                    user, profiles, counts, waiting, last = u, {}, dict.fromkeys(_PROFILES, 0), [], None
+                if time != last:
+                    # Events of one time do not see each other.
+                    for what, w in waiting:
+                        _update(profiles, counts, what, w)
+                    waiting, last = [], time
+                v = matrix[place[i]] if there[i] else None
+                if time is not None:
+                    if v is not None:
+                        size = np.sqrt(v @ v) + EPS
+                        for name, (p, length) in profiles.items():
+                            sims[i, _AT[name]] = (v @ p) / (size * (length + EPS))
+                    sims[i, 3:] = counts["lt"], counts["neg"]
+                if v is not None and kind in _CHANGES:
+                    waiting.append((kind, v))
+            sims[:, :3] = np.round(sims[:, :3], 9)
+            out = pa.array(list(sims), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), out], [*columns, "features"])
+
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "timestamp", "id")
+    return ordered.select(*columns, "event_type", "embedding").mapInArrow(fold, schema)
+
+
+def _update(profiles: dict, counts: dict, kind: str, v: np.ndarray) -> None:
+    """A user's profiles (vector, length) and their numbers of updates after an event."""
+    for name in _CHANGES[kind]:
+        p, length = profiles.get(name, (None, 0.0))
+        counts[name] += 1
+        blended = v if p is None else (1 - ALPHA[_PROFILES[name]]) * p + ALPHA[_PROFILES[name]] * v
+        size = np.sqrt((blended * blended).sum())
+        if size >= EPS:
+            unit = blended / size
+            profiles[name] = unit, np.sqrt(unit @ unit)
 
 
 def heuristic(features: str = "features"):
