@@ -300,3 +300,23 @@ def test_stays_change_weights(spark):
 def test_exploration_falls_with_what_was_served(spark):
     rows = spark.createDataFrame([(None,), (0,), (1,), (100,), (10**6,)], "n long").coalesce(1)
     assert [round(r[0], 9) for r in rows.select(ranking.decayed_epsilon(F.col("n"))).collect()] == [0.1, 0.1, 0.0999, round(0.1 * 0.999**100, 9), 0.05]
+
+
+def test_weighted_profile_folds_whole_vectors(spark):
+    """Vectors are not laid out a number a row; users of several batches and rows without a user keep their sums."""
+    events = spark.range(60_000).selectExpr("id", "CASE WHEN id < 25000 THEN 1 WHEN id % 500 = 0 THEN NULL ELSE id % 7 + 2 END AS user_id", "id % 12000 AS paper_id", "CASE WHEN id % 3 = 0 THEN 'save' ELSE 'not_interested' END AS event_type", "timestamp_ntz'2024-01-31' AS timestamp")
+    table = spark.range(11_000).selectExpr("id AS paper_id", "array(cos(id), sin(id), 1D) AS embedding")
+    found = evaluation.weighted_profile(events, table, "2024-01-31")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    got = {r["user_id"]: (r["profile"], r["weight"]) for r in found.collect()}
+    sums = {}
+    for i in range(60_000):
+        user = 1 if i < 25_000 else None if i % 500 == 0 else i % 7 + 2
+        if i % 12_000 < 11_000:
+            total = sums.setdefault(user, [np.zeros(3), 0])
+            total[0] = total[0] + (1 if i % 3 == 0 else -1) * np.array([np.cos(i % 12_000), np.sin(i % 12_000), 1.0])
+            total[1] += 1
+    assert got.keys() == sums.keys()
+    for user, (total, n) in sums.items():
+        assert got[user][0] == pytest.approx(total / n, abs=1e-9) and got[user][1] == n
