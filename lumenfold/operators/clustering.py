@@ -6,9 +6,11 @@ Both are sequential algorithms over at most a few dozen vectors per user; Spark
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.vectors import by_group, stacked
 from ..schemas import CLUSTERS
 
 # Clustering limits.
@@ -24,16 +26,14 @@ def ward_merges(points: np.ndarray) -> list[tuple[int, int, float]]:
     square = (points**2).sum(axis=1)
     d = np.sqrt(np.maximum(square[:, None] + square - 2 * points @ points.T, 0))
     np.fill_diagonal(d, np.inf)
-    alive, size, label, merges = list(range(n)), dict.fromkeys(range(n), 1), list(range(n)), []
+    alive, size, label, merges = list(range(n)), np.ones(n, dtype=int), list(range(n)), []
     while len(alive) > 1:
         sub = d[np.ix_(alive, alive)]
         a, b = divmod(int(sub.argmin()), len(alive))
         i, j = sorted((alive[a], alive[b]))
         height = d[i, j]
-        for k in alive:
-            if k not in (i, j):
-                total = size[i] + size[j] + size[k]
-                d[i, k] = d[k, i] = np.sqrt(((size[k] + size[i]) * d[i, k] ** 2 + (size[k] + size[j]) * d[j, k] ** 2 - size[k] * height**2) / total)
+        k = np.array([x for x in alive if x not in (i, j)], dtype=int)
+        d[i, k] = d[k, i] = np.sqrt(((size[k] + size[i]) * d[i, k] ** 2 + (size[k] + size[j]) * d[j, k] ** 2 - size[k] * height**2) / (size[i] + size[j] + size[k]))
         x, y = sorted((label[i], label[j]))
         merges.append((x, y, float(height)))
         size[i] += size[j]
@@ -95,13 +95,15 @@ def cluster_one(ids: list, vectors: np.ndarray) -> list[dict]:
 
 def user_clusters(positives: DataFrame) -> DataFrame:
     """Clusters per user from ``user_id``, ``pos``, ``paper_id``, ``embedding``."""
+    names = [c.split()[0] for c in CLUSTERS.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64()]
 
-    def one(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("pos")
-        found = cluster_one(own["paper_id"].tolist(), np.stack(own["embedding"]).astype(float))
-        return pd.DataFrame(found).assign(user_id=own["user_id"].iloc[0])[["user_id", "cluster_idx", "medoid_paper_id", "medoid_embedding", "paper_ids", "importance"]]
+    def one(own: pa.RecordBatch) -> pa.RecordBatch:
+        found = cluster_one(own.column("paper_id").to_pylist(), stacked(own.column("embedding")))
+        users = own.column("user_id").slice(0, 1).cast(pa.int64()).take(pa.array([0] * len(found)))
+        return pa.RecordBatch.from_arrays([users, *(pa.array([c[n] for c in found], t) for n, t in zip(names[1:], types, strict=True))], names)
 
-    return positives.select("user_id", "pos", "paper_id", "embedding").groupBy("user_id").applyInPandas(one, CLUSTERS)
+    return by_group(positives.select("user_id", "pos", "paper_id", "embedding"), "user_id", ["pos"], one, CLUSTERS)
 
 
 def best_matching(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -138,13 +140,19 @@ def stable_numbers(new: list[tuple[int, np.ndarray]], old: list[tuple[int, np.nd
 
 
 def stabilise(new: DataFrame, old: DataFrame, least: float = MIN_COSINE) -> DataFrame:
-    """``new`` with each user's clusters renumbered after ``old`` (``user_id``, ``cluster_idx``, ``medoid_embedding``)."""
+    """``new`` (as of ``user_clusters``) with each user's clusters renumbered after ``old`` (``user_id``, ``cluster_idx``, ``medoid_embedding``).
+
+    Clusters are matched in order of importance, whatever the order of the rows.
+    """
     columns = new.columns
+    before = old.select("user_id", "cluster_idx", "medoid_embedding").withColumn("__old", F.lit(True))
+    both = new.withColumn("__old", F.lit(False)).unionByName(before, allowMissingColumns=True)
 
-    def one(fresh: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        fresh = fresh.reset_index(drop=True)
-        rows = lambda t: [(int(i), np.asarray(v, dtype=float)) for i, v in zip(t["cluster_idx"], t["medoid_embedding"], strict=True)]
-        fresh["cluster_idx"] = stable_numbers(rows(fresh), rows(before), least) if len(fresh) else fresh["cluster_idx"]
-        return fresh[columns]
+    def one(own: pa.RecordBatch) -> pa.RecordBatch:
+        n = int((~own.column("__old").to_numpy(zero_copy_only=False)).sum())
+        rows = list(zip(own.column("cluster_idx").to_pylist(), stacked(own.column("medoid_embedding")), strict=True))
+        fresh = own.select(columns).slice(0, n)
+        at = columns.index("cluster_idx")
+        return fresh.set_column(at, fresh.schema.field(at), pa.array(stable_numbers(rows[:n], rows[n:], least), fresh.schema.field(at).type))
 
-    return new.groupBy("user_id").cogroup(old.groupBy("user_id")).applyInPandas(one, new.schema)
+    return by_group(both, "user_id", ["__old", F.desc("importance"), "cluster_idx"], one, new.schema)

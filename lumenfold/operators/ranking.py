@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.vectors import cosine, places, runs, stacked
+from ..functions.vectors import by_group, cosine, places, runs, stacked
 from ..sources.staging import staged
 
 # Feature weights, decay and diversity.
@@ -71,28 +71,29 @@ def mmr(candidates: DataFrame, k: int, weight: float = MMR_LAMBDA, group: str =
     """
     key_type = dict(candidates.dtypes)[group]
 
-    def choose(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("rank")
-        n = len(own)
+    def choose(own: pa.RecordBatch) -> pa.RecordBatch:
+        n, picked = len(own), []
         if n <= k:
-            return pd.DataFrame({group: own[group], "paper_id": own["paper_id"], "mmr_rank": np.arange(1, n + 1)})
-        v = np.stack(own["embedding"]).astype(float)
-        unit = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-10)
-        near = np.round(unit @ unit.T, 9)
-        score = own["score"].to_numpy(float)
-        spread = score.max() - score.min()
-        rel = (score - score.min()) / spread if spread else np.ones(n)
-        closest, left, picked = np.zeros(n), np.ones(n, dtype=bool), []
-        for _ in range(k):
-            value = np.where(left, np.round(weight * rel - (1 - weight) * closest, 9), -np.inf)
-            i = int(value.argmax())
-            picked.append(i)
-            left[i] = False
-            closest = near[i] if len(picked) == 1 else np.maximum(closest, near[i])
-        return pd.DataFrame({group: own[group].iloc[picked].to_numpy(), "paper_id": own["paper_id"].iloc[picked].to_numpy(), "mmr_rank": np.arange(1, k + 1)})
-
-    rows = candidates.select(group, "paper_id", "rank", "score", "embedding")
-    return rows.groupBy(group).applyInPandas(choose, f"{group} {key_type}, paper_id long, mmr_rank int")
+            picked = list(range(n))
+        else:
+            v = stacked(own.column("embedding"))
+            unit = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-10)
+            near = np.round(unit @ unit.T, 9)
+            score = own.column("score").to_numpy(zero_copy_only=False).astype(float)
+            spread = score.max() - score.min()
+            rel = (score - score.min()) / spread if spread else np.ones(n)
+            closest, left = np.zeros(n), np.ones(n, dtype=bool)
+            for _ in range(k):
+                value = np.where(left, np.round(weight * rel - (1 - weight) * closest, 9), -np.inf)
+                i = int(value.argmax())
+                picked.append(i)
+                left[i] = False
+                closest = near[i] if len(picked) == 1 else np.maximum(closest, near[i])
+        chosen = own.select([group, "paper_id"]).take(pa.array(picked, pa.int64()))
+        return chosen.append_column("mmr_rank", pa.array(np.arange(1, len(picked) + 1), pa.int32()))
+
+    rows = candidates.select(group, F.col("paper_id").cast("long").alias("paper_id"), "rank", "score", "embedding")
+    return by_group(rows, group, ["rank"], choose, f"{group} {key_type}, paper_id long, mmr_rank int")
 
 
 def explore(selected: DataFrame, candidates: DataFrame, n: int = EXPLORE, seed: str = "0", group: str = "user_id") -> DataFrame:

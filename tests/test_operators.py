@@ -187,6 +187,36 @@ def test_matching_and_stable_numbers():
     assert clustering.stable_numbers([(0, e[1]), (1, e[0]), (2, e[2])], [(0, e[0]), (5, e[1])]) == [5, 0, 1]
 
 
+def test_users_share_batches_and_are_whole(spark):
+    rng = np.random.default_rng(5)
+    sizes = [9, 1, 4, 20, 7, 13, None]
+    rows = [(u if n else None, i, 100 * u + i, rng.normal(size=6).tolist()) for u, n in enumerate(sizes) for i in range(n or 6)]
+    saved = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "user_id long, pos int, paper_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = clustering.user_clusters(saved)
+        got = sorted((r["user_id"] if r["user_id"] is not None else -1, r["cluster_idx"], r["medoid_paper_id"], tuple(r["paper_ids"]), round(r["importance"], 9)) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = []
+    for u, n in enumerate(sizes):
+        own = [r for r in rows if r[2] // 100 == u]
+        expected += [(u if n else -1, c["cluster_idx"], c["medoid_paper_id"], tuple(c["paper_ids"]), round(c["importance"], 9)) for c in clustering.cluster_one([r[2] for r in own], np.array([r[3] for r in own]))]
+    assert got == sorted(expected)
+    # A call of Python for each user costs more than the clusters.
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_stable_numbers_do_not_hang_on_the_order_of_rows(spark):
+    e = np.eye(6).tolist()
+    new = [(1, i, 10 + i, e[i], [10 + i], 5.0 - i) for i in range(4)]
+    old = spark.createDataFrame([(1, 3, e[1]), (2, 0, e[0])], "user_id long, cluster_idx int, medoid_embedding array<double>")
+    for rows in (new, new[::-1]):
+        found = clustering.stabilise(spark.createDataFrame(rows, clustering.CLUSTERS).coalesce(1), old)
+        assert {r["medoid_paper_id"]: r["cluster_idx"] for r in found.collect()} == {10: 0, 11: 3, 12: 1, 13: 2}
+        assert "CoGroup" not in found._jdf.queryExecution().toString()
+
+
 def test_upsert_merge_and_replace(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, version int")
     new = spark.createDataFrame([(2, "c", 2), (None, "x", 9), (3, "d", 2)], "k long, v string, version int")
