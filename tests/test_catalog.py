@@ -22,6 +22,10 @@ def test_streams_are_written_by_tasks(spark, sf):
         assert files and all(f.endswith(".parquet") and "/lumenfold/" in f for f in files)
 
 
+def test_interests_are_searched_once(spark, sf):
+    assert "MapInArrow" not in catalog.QUERIES["multi_interest_rrf"](spark, sf)._jdf.queryExecution().toString()
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
