@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.vectors import by_group, cosine, places, runs, stacked
+from ..functions.vectors import by_group, cosines, places, runs, stacked
 from ..sources.staging import staged
 
 # Feature weights, decay and diversity.
@@ -30,12 +30,9 @@ def features(candidates: DataFrame, profiles: DataFrame, as_of: str) -> DataFram
     ``profiles`` has ``user_id``, ``lt``, ``st``, ``neg``; a missing profile gives similarity 0.
     """
     joined = candidates.join(profiles, "user_id", "left")
-    return joined.select(
-        *candidates.columns,
-        *[cosine(F.col("embedding"), F.col(p)).alias(f"{p}_sim") for p in ("lt", "st")],
-        scalars.age_days(F.col("published"), as_of).alias("age"),
-        cosine(F.col("embedding"), F.col("neg")).alias("neg_sim"),
-    )
+    similar = cosines("embedding", "lt", "st", "neg")
+    rows = joined.select(*candidates.columns, similar.alias("__similar"), scalars.age_days(F.col("published"), as_of).alias("age"))
+    return rows.select(*candidates.columns, "__similar.lt_sim", "__similar.st_sim", "age", "__similar.neg_sim")
 
 
 def rerank(featured: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.vectors import dense_topk
+from ..functions.vectors import dense_topk, shared_topk
 from ..operators import clustering, fusion, ranking, state
 from ..sources.staging import staged
 
@@ -37,7 +37,8 @@ def cluster_candidates(clusters: DataFrame, vectors: DataFrame, seen: DataFrame)
         (F.col("user_id") * 8 + F.col("list_no")).alias("query_id"), "user_id", "list_no", "quota", "cluster_idx", F.col("medoid_embedding").alias("embedding"), (F.col("quota") * OVERSAMPLE).alias("k")
     )
     barred = seen.join(asked.select("user_id", "query_id"), "user_id").select("query_id", "paper_id")
-    found = dense_topk(asked, vectors, (fusion.TOTAL_SLOTS + 8) * OVERSAMPLE, exclude=barred, k_column="k")
+    # Medoids are papers, so many users ask with the same vector.
+    found = shared_topk(asked, vectors, (fusion.TOTAL_SLOTS + 8) * OVERSAMPLE, exclude=barred, k_column="k")
     return found.join(asked.select("query_id", "user_id", "list_no", "quota", "cluster_idx"), "query_id").drop("query_id")
 
 
@@ -63,9 +64,10 @@ def multi_interest(events: DataFrame, vectors: DataFrame, papers: DataFrame, as_
     candidates = merged.join(source, ["user_id", "paper_id"]).select("user_id", "paper_id", "cluster_idx", "position").union(extra)
     candidates = staged(candidates.withColumn("position", F.row_number().over(W.partitionBy("user_id").orderBy("position")) - 1), "candidates")
     known = candidates.join(vectors.select("paper_id", "embedding"), "paper_id").join(papers.select("paper_id", "category", "published"), "paper_id")
-    ranked = ranking.rerank(ranking.features(known, profiles.drop("n"), as_of))
-    ranked = staged(ranking.drop_suppressed(ranked, state.suppressed_categories(events, papers, as_of)).select("user_id", "paper_id", "rank", "score", "embedding"), "ranked")
-    chosen = staged(ranking.mmr(ranked, limit), "chosen")
+    # Ranks are made without the vectors, which only features and diversity need.
+    ranked = ranking.rerank(ranking.features(known, profiles.drop("n"), as_of).drop("embedding"))
+    ranked = staged(ranking.drop_suppressed(ranked, state.suppressed_categories(events, papers, as_of)).select("user_id", "paper_id", "rank", "score"), "ranked")
+    chosen = staged(ranking.mmr(ranked.join(vectors.select("paper_id", "embedding"), "paper_id"), limit), "chosen")
     explored = ranking.explore(chosen, ranked)
     final = chosen.select("user_id", "paper_id", F.col("mmr_rank").alias("position"), F.lit(False).alias("explored")).union(
         explored.select("user_id", "paper_id", F.col("explore_rank") + limit, F.lit(True))

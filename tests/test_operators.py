@@ -271,6 +271,51 @@ def test_many_queries_meet_all_items_in_a_stream(spark, monkeypatch):
     assert got == expected
 
 
+@pytest.mark.parametrize("alone", [1024, 2])
+def test_queries_of_one_vector_share_its_search(spark, monkeypatch, alone):
+    """Users whose clusters have the same medoid cost one search; each leaves out what itself has seen, and has its own k."""
+    from lumenfold.functions import vectors
+    from lumenfold.plans import recommend
+
+    rng = np.random.default_rng(11)
+    v = np.repeat(rng.integers(-3, 4, size=(30, 4)).astype(float), 2, axis=0)
+    items = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "paper_id long, embedding array<double>")
+    medoids = [[1.0, 0.0, 2.0, -1.0], [0.0, 1.0, -1.0, 1.0]]
+    rows = [(u, c, m, 1.0 + (u + c) % 3) for u in range(12) for c, m in enumerate(medoids)]
+    clusters = spark.createDataFrame(rows, "user_id long, cluster_idx int, medoid_embedding array<double>, importance double")
+    seen = [(u, int(i)) for u in range(12) for i in rng.choice(60, u % 5, replace=False)]
+    monkeypatch.setattr(vectors, "SHARED_BARRED", alone)
+    searched, plain = [], vectors.dense_topk
+    monkeypatch.setattr(vectors, "dense_topk", lambda queries, *rest, **more: (searched.append(queries.count()), plain(queries, *rest, **more))[1])
+    monkeypatch.setattr(recommend, "OVERSAMPLE", 0.1)
+    found = recommend.cluster_candidates(clusters, items, spark.createDataFrame(seen, "user_id long, paper_id long")).collect()
+    assert searched == ([2] if alone == 1024 else [2, 2 * sum(u % 5 > 2 for u in range(12))])
+    got = {}
+    for r in found:
+        got.setdefault((r["user_id"], r["cluster_idx"]), []).append((r["rank"], r["paper_id"], r["score"]))
+    for u, c, m, _ in rows:
+        scored = sorted((-float(v[i] @ m), i) for i in range(60) if (u, i) not in seen)
+        own = sorted(got[u, c])
+        assert 1 < len(own) < 12 and own == [(n + 1, i, -s) for n, (s, i) in enumerate(scored[: len(own)])]
+
+
+def test_similarities_of_candidates_go_in_batches(spark):
+    rng = np.random.default_rng(12)
+    own = [(u, p, p, rng.normal(size=3).tolist(), "2024-01-01") for u in range(4) for p in range(3)] + [(0, 9, 3, None, "2024-01-01"), (3, 9, 3, [0.0, 0.0, 0.0], "2024-01-01")]
+    table = spark.createDataFrame(own, "user_id long, paper_id long, position int, embedding array<double>, published string").withColumn("published", F.to_date("published"))
+    known = {u: [rng.normal(size=3).tolist() if u != 1 or i else None for i in range(3)] for u in (0, 1, 3)}
+    profiles = spark.createDataFrame([(u, *x) for u, x in known.items()], "user_id long, lt array<double>, st array<double>, neg array<double>")
+    found = ranking.features(table, profiles, "2024-02-01")
+    # A function called for each number of each vector took most of the time.
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    got = {(r["user_id"], r["paper_id"]): r for r in found.collect()}
+    assert len(got) == len(own)
+    for u, p, _, x, _ in own:
+        for name, y in zip(("lt_sim", "st_sim", "neg_sim"), known.get(u, [None] * 3), strict=True):
+            expected = 0.0 if y is None else None if x is None else np.dot(x, y) / ((np.linalg.norm(x) + 1e-10) * (np.linalg.norm(y) + 1e-10))
+            assert got[u, p][name] == (expected if expected is None else pytest.approx(expected, abs=1e-12))
+
+
 @pytest.mark.parametrize("numbers", [1 << 21, 64])
 def test_best_score_of_many_examples(spark, monkeypatch, numbers):
     rng = np.random.default_rng(5)
