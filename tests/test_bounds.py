@@ -9,6 +9,7 @@ from lumenfold.sources.tables import read
 #: Depth of each query's search of all vectors by all.
 DENSE = {
     "citation_rerank": 20,
+    "cluster_attribution": 30,
 }
 
 
