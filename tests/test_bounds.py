@@ -10,6 +10,7 @@ from lumenfold.sources.tables import read
 DENSE = {
     "citation_rerank": 20,
     "cluster_attribution": 30,
+    "exclude_seen": 40,
 }
 
 
