@@ -15,6 +15,7 @@ DENSE = {
 }
 INDEXED = [
     "keyword_search",
+    "seed_search",
 ]
 
 
