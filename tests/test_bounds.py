@@ -16,6 +16,7 @@ DENSE = {
 INDEXED = [
     "keyword_search",
     "seed_search",
+    "sparse_topk_index",
 ]
 
 
