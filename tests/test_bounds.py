@@ -17,6 +17,7 @@ INDEXED = [
     "keyword_search",
     "seed_search",
     "sparse_topk_index",
+    "hybrid_search",
 ]
 
 
