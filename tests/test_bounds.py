@@ -18,6 +18,7 @@ INDEXED = [
     "seed_search",
     "sparse_topk_index",
     "hybrid_search",
+    "search_text",
 ]
 
 
