@@ -19,6 +19,7 @@ INDEXED = [
     "sparse_topk_index",
     "hybrid_search",
     "search_text",
+    "recency_rerank",
 ]
 
 
