@@ -20,6 +20,7 @@ INDEXED = [
     "hybrid_search",
     "search_text",
     "recency_rerank",
+    "ndcg",
 ]
 
 
